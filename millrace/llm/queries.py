@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .jpeg import op8_media_jpeg
 from .langid import op5_language_id
 from .packing import op6_packing
+from .ppm import op1_ppm_scoring
 from .secrets import op2_secret_scans
 from .sharding import op4_sharding
 from .simhash import op3_simhash_near_dedup
 from .toxicity import op9_toxicity
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_simhash_near_dedup, op4_sharding, op5_language_id, op6_packing, op8_media_jpeg, op9_toxicity, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_secret_scans, op3_simhash_near_dedup, op4_sharding, op5_language_id, op6_packing, op7_decontamination, op8_media_jpeg, op9_toxicity, op10_warc)}
 ORACLE: dict[str, str] = {}
