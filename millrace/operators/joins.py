@@ -1,14 +1,116 @@
-"""Join operators of the relational views."""
+"""Join operators of the relational views. Small sides are left to Spark to broadcast by their size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import full_name, label
+from .position import first_by
+
 
 def deal_list(headers: DataFrame, deals: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """Deals with their header, customer and (where known) product, latest expected date first.
+    """Deals with their header, customer and (where known) product, latest expected date first.
 
     Keys: deal_id, customer_id, product_id. Serves every kind of deal.
     """
     return deals.join(headers, "deal_id").join(customers, "customer_id").join(products, "product_id", "left").orderBy(F.col("expected").desc(), "deal_id", "line")
+
+
+def deal_detail(headers: DataFrame, deals: DataFrame, customers: DataFrame, products: DataFrame, deal_id) -> DataFrame:
+    """One deal; the key reaches both scans."""
+    return deal_list(headers.where(F.col("deal_id") == deal_id), deals.where(F.col("deal_id") == deal_id), customers, products)
+
+
+def with_user(docs: DataFrame, users: DataFrame, name: str, uploaded: str) -> DataFrame:
+    """Documents with the user of the same natural name, newest first."""
+    return docs.join(users, name, "left").orderBy(F.col(uploaded).desc())
+
+
+def recent_history(hist: DataFrame, jobs: DataFrame, key: str, order: list[Column], n: int = 50) -> DataFrame:
+    """The newest ``n`` entries with their job; the limit comes first, since the join drops nothing."""
+    return hist.orderBy(*order).limit(n).join(jobs, key, "left")
+
+
+def parent_names(items: DataFrame, projects: DataFrame, deals: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Items (parent_type, parent_id) with the parent's name.
+
+    ``projects``: project_id, project; ``deals``: deal_id, customer. ``kinds``: deal-like parent type -> its label.
+    A parent of another type, or an unknown one, has no name.
+    """
+    p = projects.select(F.col("project_id").alias("__p"), F.col("project").alias("__project"))
+    d = deals.select(F.col("deal_id").alias("__d"), F.col("customer").alias("__customer"))
+    joined = items.join(p, (F.col("parent_type") == "project") & (F.col("parent_id") == F.col("__p")), "left")
+    joined = joined.join(d, F.col("parent_type").isin(*kinds) & (F.col("parent_id") == F.col("__d")), "left")
+    name = F.when(F.col("parent_type") == "project", F.col("__project"))
+    for kind, text in kinds.items():
+        name = name.when(F.col("parent_type") == kind, label(F.col("__customer"), text, F.col("parent_id")))
+    return joined.withColumn("parent_name", name).drop("__p", "__project", "__d", "__customer")
+
+
+def latest_attribute(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
+    """The value of the latest row of each key; one pre-aggregated pass."""
+    return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+
+
+def any_attribute(df: DataFrame, key: str, value: str, tie: list[str]) -> DataFrame:
+    """One value of each key, by a declared tie-break."""
+    return df.groupBy(key).agg(F.min_by(value, F.struct(*tie)).alias(value))
+
+
+def latest_snapshot(df: DataFrame, c: str) -> DataFrame:
+    """Rows of the latest snapshot; the one-row maximum is broadcast."""
+    return df.join(F.broadcast(df.agg(F.max(c).alias("__last"))), F.col(c) == F.col("__last"), "left_semi")
+
+
+def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -> DataFrame:
+    """Children without a parent; a null key is no orphan."""
+    return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias("__k")), F.col(key) == F.col("__k"), "left_anti")
+
+
+def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """J10."""
+    return df.join(seen.select(key), key, "left_anti")
+
+
+def decode(df: DataFrame, codes: DataFrame, c: str, defaults: dict[str, str]) -> DataFrame:
+    """Codes (code, description, value1 ...) joined on ``c``; missing or blank texts take their default."""
+    joined = df.join(codes.withColumnRenamed("code", "__code"), F.col(c) == F.col("__code"), "left").drop("__code")
+    return joined.withColumns({k: F.coalesce(F.nullif(F.col(k), F.lit("")), F.lit(v)) for k, v in defaults.items()})
+
+
+def owner_name(df: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """The name from ``first`` (a_id, a_name), else name and surname from ``second`` (b_id, b_name, b_surname)."""
+    joined = df.join(first, "a_id", "left").join(second, "b_id", "left")
+    return joined.withColumn("owner", F.coalesce("a_name", full_name(F.col("b_name"), F.col("b_surname")))).drop("a_name", "b_name", "b_surname")
+
+
+def blocked(items: DataFrame, prereqs: DataFrame) -> DataFrame:
+    """Items (item_id, status) with an unfinished prerequisite (item_id, requires) among the items."""
+    open_ = items.where(F.col("status") != "done").select(F.col("item_id").alias("requires"))
+    return items.join(prereqs.join(open_, "requires", "left_semi"), "item_id", "left_semi")
+
+
+def project_board(projects: DataFrame, objectives: DataFrame, items: DataFrame) -> DataFrame:
+    """Projects with objective and item counts, from one pre-aggregate."""
+    from .aggregates import child_counts
+
+    joined = projects.join(objectives, "objective_id", "left").join(child_counts(items, "project_id"), "project_id", "left")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "done", "in_progress")})
+
+
+def score_pairs(queries: DataFrame, vectors: DataFrame, score) -> DataFrame:
+    """Each vector against a stated set of queries (query_id, query); ``score(query, embedding)`` is a Column.
+
+    The queries of one request are a handful; a vector row meets each of them once.
+    """
+    held = queries.groupBy().agg(F.collect_list(F.struct("query_id", "query")).alias("__queries"))
+    each = vectors.join(F.broadcast(held)).select(*vectors.columns, F.explode("__queries").alias("__q"))
+    return each.select(*vectors.columns, F.col("__q.query_id").alias("query_id"), score(F.col("__q.query"), F.col("embedding")).alias("score"))
+
+
+def lookup_with_flag(src: DataFrame, local: DataFrame, key: str) -> DataFrame:
+    """Source rows with blanks for null texts and a 1/0 flag of whether the key is known locally."""
+    flags = first_by(local.select(key), key, [key]).withColumn("known", F.lit(1))
+    texts = {c: F.coalesce(c, F.lit("")) for c, t in src.dtypes if t == "string"}
+    return src.join(flags, key, "left").withColumns({**texts, "known": F.coalesce("known", F.lit(0))})
