@@ -22,8 +22,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Rests shorter than C // LAST_CUT are not cut further.
 LAST_CUT = 24
-#: Words kept with their ids by one task before it starts afresh.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker keeps in each of two generations, across its tasks.
+CACHE_WORDS = 500_000
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -48,30 +48,45 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        got = b"".join(i.to_bytes(4, "little") for i in ids)
+        got = self.older.get(word)
+        if got is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
+            got = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
+        if text.isascii() and "<|" not in text:
+            text = text.lower()  # as the vocabulary's normaliser does; special tokens are told by their case
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str | None) -> WordIds:
+    """The worker's vocabulary; without a path the public 49k word-end BPE."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in WORDS:
+        WORDS[path] = WordIds(path)
+    return WORDS[path]
+
+
 def piece_table(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens and class ``per_bin`` (pieces in a sequence)."""
 
     def run(batches):
-        path = vocabulary
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
-        words, end = WordIds(path), END_ID.to_bytes(4, "little")
+        words, end = word_ids(vocabulary), END_ID.to_bytes(4, "little")
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
