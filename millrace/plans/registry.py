@@ -5,17 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder, read when they are asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
 def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` gives the same rows in DuckDB."""
+    """Register ``f(t)``, t the tables; ``sql`` gives the same rows in DuckDB."""
 
     def add(f):
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = sql
         return f
@@ -23,21 +35,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def load(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame] | DataFrame:
-    got = [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
-    return got[0] if len(got) == 1 else got
-
-
-@query(
-    "j1_deal_list",
-    """SELECT l.l_orderkey AS deal_id, l.l_linenumber AS line, c.c_name AS customer, p.p_name AS product, l.l_extendedprice AS amount, o.o_orderdate AS expected
-       FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey LEFT JOIN part p ON l.l_partkey = p.p_partkey""",
-)
-def deal_list(spark, sf_dir):
-    from millrace.operators.joins import deal_list
-
-    customer, orders, lineitem, part = load(spark, sf_dir, "customer", "orders", "lineitem", "part")
-    deals = lineitem.select(F.col("l_orderkey").alias("deal_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("product_id"), F.col("l_extendedprice").alias("amount"))
-    headers = orders.select(F.col("o_orderkey").alias("deal_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").alias("expected"))
-    out = deal_list(headers, deals, customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer")), part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product")))
-    return out.select("deal_id", "line", "customer", "product", "amount", "expected")
+from . import changes, domain, relational, scalars  # noqa: E402, F401
