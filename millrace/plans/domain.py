@@ -76,20 +76,20 @@ def tree(t):
 ROLLED = """WITH RECURSIVE up(id, anc) AS (SELECT CAST(p_partkey AS INTEGER), CAST(p_partkey AS INTEGER) FROM part UNION ALL SELECT id, anc // 2 FROM up WHERE anc > 1),
 periods AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS period_id FROM lineitem), own AS (SELECT CAST(l_partkey AS INTEGER) AS id, CAST(year(l_shipdate) AS INTEGER) AS period_id, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
 s AS (SELECT anc AS id, period_id, sum(v) AS amount FROM own JOIN up USING (id) GROUP BY 1, 2),
-rolled AS (SELECT CAST(p_partkey AS INTEGER) AS id, period_id, coalesce(amount, 0.0) AS amount FROM part CROSS JOIN periods LEFT JOIN s ON s.id = p_partkey AND s.period_id = periods.period_id) """
+rolled AS (SELECT CAST(p_partkey AS INTEGER) AS id, periods.period_id, coalesce(amount, 0.0) AS amount FROM part CROSS JOIN periods LEFT JOIN s ON s.id = p_partkey AND s.period_id = periods.period_id) """
 
 
-@query("t6_rollup_tree", ROLLED.replace("LEFT JOIN s ON s.id = p_partkey AND s.period_id = periods.period_id", "LEFT JOIN s ON s.id = p_partkey AND s.period_id = periods.period_id").replace("p_partkey AS INTEGER) AS id, period_id, coalesce", "p_partkey AS INTEGER) AS id, periods.period_id, coalesce") + "SELECT id, period_id, round(amount, 2) AS amount FROM rolled")
+@query("t6_rollup_tree", ROLLED + "SELECT id, period_id, round(amount, 2) AS amount FROM rolled")
 def _(t):
     return TR.rollup_tree(*tree(t)).withColumn("amount", F.round("amount", 2))
 
 
-@query("t7_preorder", "SELECT CAST(p_partkey AS INTEGER) AS id, CAST(floor(log2(p_partkey)) AS INTEGER) AS depth, 2 * p_partkey <= (SELECT max(p_partkey) FROM part) AS has_children FROM part")
+@query("t7_preorder", "SELECT CAST(p_partkey AS INTEGER) AS id, CASE WHEN p_partkey = 0 THEN 0 ELSE CAST(floor(log2(greatest(p_partkey, 1))) AS INTEGER) END AS depth, p_partkey > 0 AND 2 * p_partkey <= (SELECT max(p_partkey) FROM part) AS has_children FROM part")
 def _(t):
     return TR.preorder(tree(t)[0]).select("id", "depth", "has_children")
 
 
-@query("t8_asset_series", ROLLED.replace("p_partkey AS INTEGER) AS id, period_id, coalesce", "p_partkey AS INTEGER) AS id, periods.period_id, coalesce") + "SELECT period_id, round(sum(amount), 2) AS assets FROM rolled WHERE id IN (1, 2) GROUP BY 1")
+@query("t8_asset_series", ROLLED + "SELECT period_id, round(sum(amount), 2) AS assets FROM rolled WHERE id IN (1, 2) GROUP BY 1")
 def _(t):
     defs, amounts = tree(t)
     return TR.asset_series(TR.rollup_tree(defs, amounts), defs).withColumn("assets", F.round("assets", 2))

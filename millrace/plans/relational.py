@@ -111,7 +111,7 @@ def _(t):
     return S.read_feed(feeds.select("source", F.concat(F.lit("<rss><channel>"), F.regexp_replace("items", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit("</channel></rss>")).alias("xml")), "xml", "source")
 
 
-@query("s9_decode_vector", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))), 3) AS total FROM embeddings")
+@query("s9_decode_vector", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) AS total FROM embeddings")
 def _(t):
     v = S.decode_vector(F.to_json("embedding"))
     return t.embeddings.select("vec_id", F.size(v).cast("long").alias("n"), F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
@@ -366,7 +366,7 @@ def _(t):
     return A.child_counts(items(t), "project_id")
 
 
-@query("a9_join_text", "SELECT l_orderkey, string_agg('S-' || l_suppkey, ',' ORDER BY l_linenumber) AS owner FROM lineitem GROUP BY 1")
+@query("a9_join_text", "SELECT l_orderkey, string_agg('S-' || l_suppkey, ',' ORDER BY l_linenumber, 'S-' || l_suppkey) AS owner FROM lineitem GROUP BY 1")
 def _(t):
     return A.join_text(t.lineitem.withColumn("owner", F.concat(F.lit("S-"), F.col("l_suppkey").cast("string"))), "l_orderkey", "owner", "l_linenumber", ",")
 
@@ -374,7 +374,7 @@ def _(t):
 @query(
     "a10_collect_children",
     """SELECT o_orderkey AS item_id, coalesce((SELECT string_agg(l_partkey, ',' ORDER BY l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber > 2), '') AS prereqs,
-    coalesce((SELECT string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 3), '') AS subitems FROM orders""",
+    coalesce((SELECT string_agg(l_linenumber || ':' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber <= 3), '') AS subitems FROM orders""",
 )
 def _(t):
     li = t.lineitem.withColumnRenamed("l_orderkey", "item_id")
@@ -479,10 +479,10 @@ def _(t):
     return W.rank_zero(t.embeddings, ["label"], [F.get("embedding", F.lit(0)).desc(), F.col("vec_id")]).select("vec_id", "label", F.col("rank").cast("int").alias("rank"))
 
 
-@query("w6_fill_forward", "SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS section FROM lineitem")
+@query("w6_fill_forward", "SELECT l_orderkey, l_linenumber, last_value(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS section FROM lineitem")
 def _(t):
     df = t.lineitem.withColumn("section", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
-    return W.fill_forward(df, ["l_orderkey"], ["l_linenumber", "l_partkey"], ["section"]).select("l_orderkey", "l_linenumber", "section")
+    return W.fill_forward(df, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], ["section"]).select("l_orderkey", "l_linenumber", "section")
 
 
 @query(

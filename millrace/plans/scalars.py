@@ -114,7 +114,7 @@ def _(t):
     return t.documents.select("doc_id", X.sha256(F.col("text")).alias("sha256"), X.md5(F.col("text")).alias("md5"))
 
 
-@query("f18_normalise_cosine", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE) * x))), 4) AS norm, 1.0::DOUBLE AS self FROM embeddings")
+@query("f18_normalise_cosine", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm, 1.0::DOUBLE AS self FROM embeddings")
 def _(t):
     return t.embeddings.select("vec_id", F.round(X.norm(X.normalise(F.col("embedding"))), 4).alias("norm"), F.round(X.cosine(F.col("embedding"), F.col("embedding")), 4).alias("self"))
 
@@ -208,7 +208,7 @@ def _(t):
     return t.part.select("p_partkey", X.clean_parent(F.when(k == 0, "NULL").when(k == 1, "").when(k == 2, "0").when(k == 3, "x7").otherwise(F.col("p_partkey").cast("string"))).alias("parent"))
 
 
-@query("f32_lists", "SELECT doc_id, lower(source) || '|' || lower(lang) AS parts, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) AS INTEGER) AS words FROM documents")
+@query("f32_lists", "SELECT doc_id, lower(source) || '|' || lower(lang) AS parts, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) AS words FROM documents")
 def _(t):
     return t.documents.select("doc_id", F.array_join(X.split_list(F.concat(F.lit(" "), F.upper("source"), F.lit(",, "), F.col("lang"))), "|").alias("parts"), X.word_count(F.col("text")).alias("words"))
 
