@@ -14,4 +14,10 @@ from .toxicity import op9_toxicity
 from .warc import op10_warc
 
 QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_secret_scans, op3_simhash_near_dedup, op4_sharding, op5_language_id, op6_packing, op7_decontamination, op8_media_jpeg, op9_toxicity, op10_warc)}
-ORACLE: dict[str, str] = {}
+#: The other operators hash (XXH64, CRC-32), tokenise, compress or learn, which SQL doesn't express; tests/llm compares
+#: them with brute-force versions or by held-out accuracy.
+ORACLE: dict[str, str] = {
+    "op10_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+}
