@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import split_owner
 from .aggregates import kr_from_products, kr_from_projects, project_states
+from .durable import durable
 from .joins import any_attribute, latest_snapshot, orphans
 from .position import latest_per
 
@@ -105,10 +106,13 @@ def retain(df: DataFrame, ts: str, asof: str, days: int = 90) -> DataFrame:
     return df.where(F.col(ts) >= F.to_timestamp_ntz(F.lit(asof)) - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def assign_ids(df: DataFrame, start: int, order: list[str], out: str = "id", parts: int | None = None) -> DataFrame:
-    """Ids from ``start`` in the order of the natural key, by ranges: only the ranges' counts meet in one place."""
+def assign_ids(df: DataFrame, start: int, order: list, out: str = "id", parts: int | None = None) -> DataFrame:
+    """Ids from ``start`` in the order of the natural key, by ranges: only the ranges' counts meet in one place.
+
+    The ranged rows are written out first, since ranges drawn from a sample could differ from one reading to the next.
+    """
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    ranged = durable(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import article_text, has_extension, html_text, paragraphs, resolve_url, split_list
+from .durable import durable
 from .position import first_by
 
 WINDOWS = {"d": "1d", "w": "7d", "m": "1m"}
@@ -31,9 +32,7 @@ def reachable(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     seen = frontier
     for d in range(1, depth + 1):
         step = frontier.join(links, F.col("url") == F.col("src")).where(F.col("dst").startswith(F.col("seed"))).select("seed", F.col("dst").alias("url"), F.lit(d).alias("depth")).distinct()
-        frontier = step.join(seen.select("seed", "url"), ["seed", "url"], "left_anti")
-        if frontier.sparkSession.sparkContext.getCheckpointDir() is not None:
-            frontier = frontier.checkpoint()
+        frontier = durable(step.join(seen.select("seed", "url"), ["seed", "url"], "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
 

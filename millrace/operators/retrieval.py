@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, md5, tokens
+from .changes import assign_ids
 from .joins import score_pairs
 from .position import latest_per
 
@@ -99,8 +100,8 @@ def semantic_multi(vectors: DataFrame, queries: DataFrame, n: int = 20) -> DataF
 
 
 def ranked(df: DataFrame, score: str = "score") -> DataFrame:
-    """(id, rank from 0), best first, ties by id. A rank over all candidates of one request."""
-    return df.select("id", (F.row_number().over(Window.orderBy(F.col(score).desc(), "id")) - 1).alias("rank"))
+    """(id, rank from 0), best first, ties by id; numbered by ranges, so that no task sees all rows."""
+    return assign_ids(df.select("id", score), 0, [F.col(score).desc(), F.col("id")], "rank").select("id", "rank")
 
 
 def fuse(*lists: DataFrame, k: int = 60) -> DataFrame:

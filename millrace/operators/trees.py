@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_parent
+from .durable import durable
 
 #: A path longer than this is a cycle.
 MOST_LEVELS = 100
@@ -23,16 +24,13 @@ def paths(defs: DataFrame) -> DataFrame:
 
     Each round joins one level of children; a round without rows ends it, so the number of rounds is the tree's depth.
     """
-    spark = defs.sparkSession
     nodes = with_parents(defs).select("id", "parent_id", "code", "has_parent")
     step = F.struct(F.col("code").cast("string").alias("code"), F.col("id").alias("id"))
     roots = nodes.where(F.col("parent_id").isNull()).select("id", F.array(step).alias("path"))
     children = nodes.where("has_parent").select(F.col("id").alias("child"), F.col("parent_id").alias("of"), step.alias("step"))
     level, done = roots, roots
     for _ in range(MOST_LEVELS):
-        level = level.join(children, F.col("id") == F.col("of")).select(F.col("child").alias("id"), F.concat("path", F.array("step")).alias("path"))
-        if spark.sparkContext.getCheckpointDir() is not None:
-            level = level.checkpoint()
+        level = durable(level.join(children, F.col("id") == F.col("of")).select(F.col("child").alias("id"), F.concat("path", F.array("step")).alias("path")))
         if level.isEmpty():
             return done
         done = done.unionByName(level)
@@ -49,7 +47,8 @@ def rollup_tree(defs: DataFrame, amounts: DataFrame) -> DataFrame:
     known = with_parents(defs)
     reach = reach.unionByName(known.where(F.col("parent_id").isNotNull() & ~F.col("has_parent")).select("id", F.col("id").alias("ancestor"))).distinct()
     sums = own.join(reach, "id").groupBy(F.col("ancestor").alias("id"), "period_id").agg(F.sum("value").alias("amount"))
-    grid = defs.select("id").crossJoin(F.broadcast(amounts.select("period_id").distinct()))  # every node reports every period
+    periods = amounts.agg(F.array_sort(F.collect_set("period_id")).alias("periods"))  # one row
+    grid = defs.select("id").join(F.broadcast(periods)).select("id", F.explode("periods").alias("period_id"))  # every node reports every period
     return grid.join(sums, ["id", "period_id"], "left").withColumn("amount", F.coalesce("amount", F.lit(0.0)))
 
 
