@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from .common import field, map_arrow, table, text_bytes
 
@@ -33,20 +34,29 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class WordHash(dict):
-    """64-bit hash of a word in lower case without edge punctuation; 0 where nothing is left."""
+    """64-bit hash of a word in lower case without edge punctuation; 0 where nothing is left. Two generations are kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    def __init__(self):
+        super().__init__()
+        self.older: dict[bytes, int] = {}
 
-        plain = word.lower().strip(EDGES)
-        got = xxh64_intdigest(plain, 7) | 1 if plain else 0
+    def __missing__(self, word: bytes) -> int:
+        got = self.older.get(word)
+        if got is None:
+            plain = word.lower().strip(EDGES)
+            got = xxh64_intdigest(plain, 7) | 1 if plain else 0
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = got
         return got
 
 
+#: A Python worker's words, kept across its tasks.
+KNOWN = WordHash()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
@@ -72,6 +82,8 @@ def word_hashes(text: bytes, known: WordHash) -> tuple[np.ndarray, np.ndarray]:
 def window_fingerprints(s: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """SimHash of the shingles s[start : start + n] for each start (ascending)."""
     out = np.zeros(len(starts), np.uint64)
+    if len(starts):
+        s, starts = s[starts[0] : starts[-1] + n], starts - starts[0]
     stride = max(STRIDE, 2 * n)
     for a in range(0, len(s), stride):
         some = (starts >= a) & (starts < a + stride)
@@ -102,7 +114,13 @@ class Benchmark:
                 every.append(s)
         self.fps, self.lengths = np.array(fps, np.uint64), np.array(self.words, np.int64)
         self.sizes = sorted(set(self.words))
-        self.every = {w: np.unique(np.concatenate([s for s, n in zip(every, self.words, strict=True) if min(n, SHINGLE) == w])) for w in {min(n, SHINGLE) for n in self.words}}
+        # for each shingle width: the benchmark's shingles, and the item lengths in which each occurs
+        self.every = {}
+        for w in {min(n, SHINGLE) for n in self.words}:
+            of = [(s, n) for s, n in zip(every, self.words, strict=True) if min(n, SHINGLE) == w]
+            pairs = np.unique(np.stack([np.concatenate([s for s, _ in of]), np.concatenate([np.full(len(s), n, np.uint64) for s, n in of])], axis=1), axis=0)
+            keys, first = np.unique(pairs[:, 0], return_index=True)
+            self.every[w] = keys, np.append(first, len(pairs)), pairs[:, 1].astype(np.int64)
         self.probes, self.blocks, shift = [], [], 0
         within = radius // len(BLOCK_BITS)
         for bits in BLOCK_BITS:
@@ -133,34 +151,43 @@ class Benchmark:
         """(item, similarity, first word, last word) of the best window for each item found; words counted between blanks."""
         h, at = word_hashes(text, known)
         best: dict[int, tuple[float, int]] = {}
-        made: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in self.sizes:
-            width = min(SHINGLE, size)
-            if len(h) < size:
+        for width, (keys, bounds, lengths) in self.every.items():
+            if len(h) < width:
                 continue
-            if width not in made:
-                s = shingles(h, width)
-                every = self.every[width]
-                made[width] = s, np.concatenate(([0], np.cumsum(every[np.minimum(np.searchsorted(every, s), len(every) - 1)] == s)))
-            s, seen = made[width]
-            if not seen[-1]:
+            s = shingles(h, width)
+            place = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == s)
+            if not len(hit):
                 continue
-            n = size - width + 1
-            need = int(np.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9))  # shared shingles that the bar asks for
-            starts = np.flatnonzero(seen[n:] - seen[:-n] >= need)
-            for part in np.array_split(starts, max(1, -(-len(starts) // 4096))):
-                if not len(part):
-                    continue
-                row, item = self.near(window_fingerprints(s, part, n))
-                for r, i in zip(row.tolist(), item.tolist(), strict=True):
-                    if self.words[i] == size:
-                        a = int(part[r])
-                        shared = sum(min(k, self.counts[i][x]) for x, k in Counter(s[a : a + n].tolist()).items() if x in self.counts[i])
-                        alike = shared / (2 * n - shared)
-                        if alike >= self.similarity and (i not in best or (alike, -a) > (best[i][0], -best[i][1])):
-                            best[i] = alike, a
+            spread = bounds[place[hit] + 1] - bounds[place[hit]]
+            size_of = lengths[np.repeat(bounds[place[hit]] - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum())]
+            where = np.repeat(hit, spread)
+            for size in np.unique(size_of).tolist():
+                self.windows(s, where[size_of == size], size, width, best)
         return [(i, alike, int(at[a]), int(at[a + self.words[i] - 1])) for i, (alike, a) in sorted(best.items())]
 
+    def windows(self, s: np.ndarray, hit: np.ndarray, size: int, width: int, best: dict[int, tuple[float, int]]) -> None:
+        """Look at the windows for items of ``size`` words; ``hit``: where shingles of such items are (ascending)."""
+        n = size - width + 1
+        need = int(np.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9))  # shared shingles that the bar asks for
+        if len(hit) < need or len(s) < n:
+            return
+        # a window that reaches ``need`` can be taken to start within n before a hit
+        starts = np.unique((hit[:, None] - np.arange(n)[None, :]).ravel()) if len(hit) * n < len(s) else np.arange(len(s) - n + 1)
+        starts = starts[(starts >= 0) & (starts <= len(s) - n)]
+        starts = starts[np.searchsorted(hit, starts + n) - np.searchsorted(hit, starts) >= need]
+        for part in np.array_split(starts, max(1, -(-len(starts) // 4096))):
+            if not len(part):
+                continue
+            row, item = self.near(window_fingerprints(s, part, n))
+            for r, i in zip(row.tolist(), item.tolist(), strict=True):
+                if self.words[i] == size:
+                    a = int(part[r])
+                    shared = sum(min(k, self.counts[i][x]) for x, k in Counter(s[a : a + n].tolist()).items() if x in self.counts[i])
+                    alike = shared / (2 * n - shared)
+                    if alike >= self.similarity and (i not in best or (alike, -a) > (best[i][0], -best[i][1])):
+                        best[i] = alike, a
+
 
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     """The benchmark in blocks of about ``block_chars`` characters, each a broadcast."""
@@ -183,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int =
     for shared in blocks(benchmark, block_chars):
 
         def run(batches, shared=shared):
-            known, bench = WordHash(), shared.value
+            known, bench = KNOWN, shared.value
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
@@ -205,7 +232,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int =
     for shared in blocks(benchmark, block_chars):
 
         def run(batches, shared=shared):
-            known, bench = WordHash(), shared.value
+            known, bench = KNOWN, shared.value
             for batch in batches:
                 yield batch.filter(pa.array([not bench.hits(x, known) for x in text_bytes(batch.column(at))], pa.bool_()))
 
