@@ -30,6 +30,8 @@ CONTEXT, CLEAN_WINDOWS, MOST_WINDOWS = 6, 1, 10_000
 ROUNDS, STEP, RIDGE = 40, 0.5, 1e-3
 #: Marginals are computed in pieces of this many tokens side by side.
 PIECE = 64
+#: Text whose marginals are held at once; a longer text stands alone.
+GROUP_BYTES = 1 << 20
 CACHE_WORDS = 300_000
 EDGES = b".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -214,10 +216,19 @@ def features(model: Field, texts: list[bytes], words: Weights | None = None) ->
 
 
 def token_marginals(model: Field, texts: list[bytes], words: Weights | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of all tokens end to end, and the number of tokens of each text; worked out for GROUP_BYTES of text at a time."""
     words = Weights(model.weights, model.other) if words is None else words
-    emission, lengths = emissions(words, texts)
-    starts = np.cumsum(lengths) - lengths
-    return marginals(model, emission, starts[lengths > 0]), lengths
+    parts, counts, group, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        group.append(text)
+        size += len(text)
+        if size >= GROUP_BYTES or i == len(texts) - 1:
+            emission, lengths = emissions(words, group)
+            starts = np.cumsum(lengths) - lengths
+            parts.append(marginals(model, emission, starts[lengths > 0]))
+            counts.append(lengths)
+            group, size = [], 0
+    return (np.concatenate(parts), np.concatenate(counts)) if parts else (np.zeros(0), np.zeros(0, np.int64))
 
 
 def aggregate(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
