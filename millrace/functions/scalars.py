@@ -128,14 +128,14 @@ def is_number(c: Column) -> Column:
     return s.isin(*BLANK_AMOUNTS) | (s.rlike(r"^-?[\d\.,\(\)\s]+$") & s.rlike(r"[\d-]"))
 
 
-def is_date_line(c: Column) -> Column:
-    """a month and a year."""
-    return any_of(MONTHS, fold(c)) & F.coalesce(c, F.lit("")).rlike(r"\b(20\d\d)\b")
+def is_date_line(c: Column, folded: Column | None = None) -> Column:
+    """a month and a year. ``folded``: fold(c) where the caller has it already."""
+    return any_of(MONTHS, fold(c) if folded is None else folded) & F.coalesce(c, F.lit("")).rlike(r"\b(20\d\d)\b")
 
 
-def is_boilerplate(c: Column) -> Column:
-    """banners, notes on the notes, remarks on units, and prose."""
-    folded, s = fold(c), F.trim(F.coalesce(c, F.lit("")))
+def is_boilerplate(c: Column, folded: Column | None = None) -> Column:
+    """banners, notes on the notes, remarks on units, and prose. ``folded``: fold(c) where the caller has it already."""
+    folded, s = fold(c) if folded is None else folded, F.trim(F.coalesce(c, F.lit("")))
     prose = (F.length(s) > 45) & (s.endswith(".") | (s.startswith("(") & s.endswith(")")))
     return (folded != "") & (any_of(BANNERS, folded) | (any_of(NOTE_WORDS, folded) & any_of(NOTE_COMPANIONS, folded)) | any_of(UNIT_WORDS, folded) | prose)
 
@@ -155,9 +155,9 @@ def code(c: Column) -> Column:
     )
 
 
-def is_subtotal(c: Column) -> Column:
-    """total wording, or a formula over line numbers in parentheses."""
-    return any_of(SUBTOTALS, fold(c)) | F.coalesce(c, F.lit("")).rlike(r"\([IVX|\d]+[+\-.]+.*[IVX|\d]+\)")
+def is_subtotal(c: Column, folded: Column | None = None) -> Column:
+    """total wording, or a formula over line numbers in parentheses. ``folded``: fold(c) where the caller has it already."""
+    return any_of(SUBTOTALS, fold(c) if folded is None else folded) | F.coalesce(c, F.lit("")).rlike(r"\([IVX|\d]+[+\-.]+.*[IVX|\d]+\)")
 
 
 def scale(c: Column) -> Column:
