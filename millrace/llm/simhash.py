@@ -23,7 +23,7 @@ BITS, SEED = 64, 42
 WIDTH, RADIUS = 4, 4
 #: For near-duplicates by similarity: each half of the fingerprint has covering masks of radius 4, so that every pair within 9
 #: bits meets (one half has at most 4); pairs that meet are looked at up to LOOSE bits, and decided by a SimHash of WIDE bits.
-SIMILARITY, LOOSE, WIDE, NEIGHBOURS = 0.8, 13, 1024, 3
+SIMILARITY, LOOSE, WIDE, NEIGHBOURS = 0.8, 13, 1024, 1
 #: How far below the bar the estimate may fall: about one standard error at 0.8.
 SLACK = 0.015
 #: Members of a bucket that one task compares with each other; larger buckets go by shared midpoints.
@@ -189,7 +189,7 @@ def neighbours(new: np.ndarray, old: np.ndarray, loose: int, most: int) -> list[
 def similar_links(wides: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of fingerprints whose texts are alike: candidates from covering buckets, decided by the wide SimHash.
 
-    ``wides``: distinct fp with wide. In a bucket each member proposes its closest earlier members. Buckets beyond
+    ``wides``: distinct fp with wide. In a bucket each member proposes its closest earlier member. Buckets beyond
     ``bucket`` members are cut into blocks by a hash, and every pair of blocks is a task's work.
     """
     masks = half_masks()
