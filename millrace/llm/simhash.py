@@ -18,10 +18,11 @@ from xxhash import xxh64_intdigest
 
 from .common import field, map_arrow, materialise, table, text_bytes
 from .components import components
+from .similar import band_keys, minima, similar_sets, sketch
 
 BITS, SEED = 64, 42
 WIDTH, RADIUS = 4, 4
-#: For near-duplicates by similarity: each half of the fingerprint has covering masks of radius 4, so that every pair within 9
+#: For ``similar_links`` alone, which the pipeline does not use: each half of the fingerprint has covering masks of radius 4, so that every pair within 9
 #: bits meets (one half has at most 4); pairs that meet are looked at up to LOOSE bits, and decided by a SimHash of WIDE bits.
 SIMILARITY, LOOSE, WIDE, NEIGHBOURS = 0.8, 13, 1024, 1
 #: How far below the bar the estimate may fall: about one standard error at 0.8.
@@ -189,6 +190,8 @@ def neighbours(new: np.ndarray, old: np.ndarray, loose: int, most: int) -> list[
 def similar_links(wides: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) of fingerprints whose texts are alike: candidates from covering buckets, decided by the wide SimHash.
 
+    An estimate that misses links; near-duplicates by similarity are found by ``similar.similar_sets``.
+
     ``wides``: distinct fp with wide. In a bucket each member proposes its closest earlier member. Buckets beyond
     ``bucket`` members are cut into blocks by a hash, and every pair of blocks is a task's work.
     """
@@ -229,23 +232,27 @@ def alike(bar: int):
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id, null ids last.
 
-    Near-duplicates: shingles of ``width`` words with a Jaccard similarity of ``similarity`` or more, as SimHashes see it (see
-    the constants above). The columns are those of ``docs``. Rows equal in all columns count as one; texts without a word are a group.
+    Near-duplicates: sets of shingles of ``width`` words with a Jaccard similarity of ``similarity`` or more, verified on the
+    sets (see ``similar``). The columns are those of ``docs``. Rows equal in all columns count as one; texts without a word are a group.
     """
     key = docs.withColumn("__row", F.xxhash64(*docs.columns))
 
     def run(batches):
         for batch in batches:
-            hashes = [shingle_hashes(x, width) for x in text_bytes(batch.column("text"))]
-            columns = [batch.column("doc_id"), batch.column("__row"), pa.array([signed(majority(h)) for h in hashes], pa.int64()), pa.array([wide_fingerprint(h) for h in hashes], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__row", "fp", "wide"])
-
-    schema = T.StructType([field(docs, "doc_id"), *T._parse_datatype_string("__row long, fp long, wide binary")])
+            sets = [np.unique(shingle_hashes(x, width)) for x in text_bytes(batch.column("text"))]
+            least = [minima(s) if len(s) else None for s in sets]
+            columns = [
+                batch.column("doc_id"), batch.column("__row"), pa.array([signed(xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0 for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()),
+                pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())), pa.array([b"" if x is None else sketch(x) for x in least], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__row", "node", "n", "keys", "sketch", "hashes"])
+
+    schema = T.StructType([field(docs, "doc_id"), *T._parse_datatype_string("__row long, node long, n int, keys array<long>, sketch binary, hashes binary")])
     rows = materialise(map_arrow(key.select("doc_id", "__row", "text"), run, schema), "fingerprints")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    per_fp = materialise(rows.groupBy("fp").agg(F.min(best).alias("best"), F.min("wide").alias("wide")), "classes")
-    roots = components(similar_links(per_fp.select("fp", "wide"), similarity))
-    rooted = per_fp.join(roots, F.col("fp") == F.col("node"), "left").select("best", F.coalesce("root", "fp").alias("root"))
+    per_set = materialise(rows.groupBy("node").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    roots = similar_sets(per_set.select("node", "n", "keys", "sketch"), rows.select("node", "hashes"), similarity).withColumnRenamed("node", "of")
+    rooted = per_set.join(roots, F.col("node") == F.col("of"), "left").select("best", F.coalesce("root", "node").alias("root"))
     kept = materialise(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.row").alias("__of")), "kept")
     stay = key.join(kept, (F.col("__row") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return stay.dropDuplicates(["__row", "doc_id"]).select(*docs.columns)

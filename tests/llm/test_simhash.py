@@ -94,3 +94,37 @@ def test_edges(edge, docs_of):
     assert len(rows) == 8 and by[(2, "0" * 16)] == by[(5, "0" * 16)] == 1
     assert {c for (d, _), c in by.items() if d in (3, 4)} == {3}
     assert near_duplicates(docs_of([])).count() == 0 and drop_near_duplicates(docs_of([])).count() == 0
+
+
+def exact_groups(texts, bar=0.8):
+    """Least id of each group of texts linked by the Jaccard similarity of their 5-word shingles."""
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [t.split()]}
+    near = [(a, b) for a, b in itertools.combinations(texts, 2) if len(grams[a] & grams[b]) >= bar * len(grams[a] | grams[b])]
+    return set(roots(texts, near).values())
+
+
+def test_dedup_finds_all_at_the_bar(docs_of):
+    rng, texts = random.Random(12), {}
+    for g in range(300):
+        words = [f"g{g}w{i}" for i in range(400)]
+        changed = list(words)
+        for k in range(8 + g % 2):  # 8 or 9 of 400 words changed, apart from each other: similarity 0.817 or 0.796
+            changed[k * 44 + rng.randint(5, 38)] = "x"
+        texts |= {2 * g: " ".join(words), 2 * g + 1: " ".join(changed)}
+    kept = {r.doc_id for r in drop_near_duplicates(docs_of(list(texts.items()))).collect()}
+    assert kept == exact_groups(texts) and len(kept) == 450
+
+
+def test_dedup_looks_behind_close_siblings(docs_of, monkeypatch):
+    """Families that share most of a template: copies near the bar have many siblings that are as close but below it."""
+    rng = random.Random(13)
+    for bucket in (None, 7):
+        texts, template = {}, [f"t{i}" for i in range(300)]
+        for i in range(120):
+            words = list(template)
+            for at in rng.sample(range(300), rng.randint(2, 14)):
+                words[at] = f"d{i}"
+            texts[i] = " ".join(words)
+        if bucket:
+            monkeypatch.setattr("millrace.llm.similar.similar_sets.__defaults__", (bucket,))
+        assert {r.doc_id for r in drop_near_duplicates(docs_of(list(texts.items()))).collect()} == exact_groups(texts)
