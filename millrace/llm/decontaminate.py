@@ -4,7 +4,7 @@ Every window of a document that is as long as some benchmark item gets a SimHash
 indexed in five blocks of bits; two fingerprints within 19 bits differ by at most 3 in one of the blocks, so probing
 each block with all changes of up to 3 bits finds every item within the radius. Candidates are verified by the weighted
 Jaccard similarity of their shingles (weight: how often a shingle occurs). Windows that can't reach the bar whatever the item, since too
-few of their shingles occur in the benchmark at all, are passed over; that loses nothing.
+few of their shingles occur in the benchmark at all, are passed over; that loses nothing. A document shorter than an item is one window.
 """
 
 from __future__ import annotations
@@ -164,27 +164,28 @@ class Benchmark:
             where = np.repeat(hit, spread)
             for size in np.unique(size_of).tolist():
                 self.windows(s, where[size_of == size], size, width, best)
-        return [(i, alike, int(at[a]), int(at[a + self.words[i] - 1])) for i, (alike, a) in sorted(best.items())]
+        return [(i, alike, int(at[a]), int(at[min(a + self.words[i], len(at)) - 1])) for i, (alike, a) in sorted(best.items())]
 
     def windows(self, s: np.ndarray, hit: np.ndarray, size: int, width: int, best: dict[int, tuple[float, int]]) -> None:
         """Look at the windows for items of ``size`` words; ``hit``: where shingles of such items are (ascending)."""
         n = size - width + 1
-        need = int(np.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9))  # shared shingles that the bar asks for
-        if len(hit) < need or len(s) < n:
+        m = min(n, len(s))  # shingles of a window: a shorter document is one whole
+        need = int(np.ceil((m + n) * self.similarity / (1 + self.similarity) - 1e-9))  # shared shingles that the bar asks for
+        if len(hit) < need:
             return
-        # a window that reaches ``need`` can be taken to start within n before a hit
-        starts = np.unique((hit[:, None] - np.arange(n)[None, :]).ravel()) if len(hit) * n < len(s) else np.arange(len(s) - n + 1)
-        starts = starts[(starts >= 0) & (starts <= len(s) - n)]
-        starts = starts[np.searchsorted(hit, starts + n) - np.searchsorted(hit, starts) >= need]
+        # a window that reaches ``need`` can be taken to start within m before a hit
+        starts = np.unique((hit[:, None] - np.arange(m)[None, :]).ravel()) if len(hit) * m < len(s) else np.arange(len(s) - m + 1)
+        starts = starts[(starts >= 0) & (starts <= len(s) - m)]
+        starts = starts[np.searchsorted(hit, starts + m) - np.searchsorted(hit, starts) >= need]
         for part in np.array_split(starts, max(1, -(-len(starts) // 4096))):
             if not len(part):
                 continue
-            row, item = self.near(window_fingerprints(s, part, n))
+            row, item = self.near(window_fingerprints(s, part, m))
             for r, i in zip(row.tolist(), item.tolist(), strict=True):
                 if self.words[i] == size:
                     a = int(part[r])
-                    shared = sum(min(k, self.counts[i][x]) for x, k in Counter(s[a : a + n].tolist()).items() if x in self.counts[i])
-                    alike = shared / (2 * n - shared)
+                    shared = sum(min(k, self.counts[i][x]) for x, k in Counter(s[a : a + m].tolist()).items() if x in self.counts[i])
+                    alike = shared / (m + n - shared)
                     if alike >= self.similarity and (i not in best or (alike, -a) > (best[i][0], -best[i][1])):
                         best[i] = alike, a
 

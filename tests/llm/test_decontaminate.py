@@ -75,3 +75,14 @@ def test_edges(spark, edge, docs_of):
     assert sorted(r.doc_id for r in find_contamination(edge, bench).collect()) == [3, 3, 4]
     assert find_contamination(edge, bench.where("false")).count() == 0 and drop_contaminated(edge, bench.where("false")).count() == 8
     assert find_contamination(docs_of([]), bench).count() == 0
+
+
+def test_shortened_documents(spark, docs_of):
+    """A whole document that is an item less some words: 91, 77 and 75 of its 96 shingles."""
+    item = [f"word{i}" for i in range(100)]
+    docs = docs_of([(1, " ".join(item[:95])), (2, " ".join(item[10:91])), (3, " ".join(item[:79])), (4, "word1 word2 word3")])
+    bench = spark.createDataFrame([(100, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r for r in find_contamination(docs, bench).collect()}
+    assert set(got) == {1, 2} and abs(got[1].similarity - 91 / 96) < 1e-9 and abs(got[2].similarity - 77 / 96) < 1e-9
+    assert (got[1].start, got[1].end) == (0, len(" ".join(item[:95])))
+    assert sorted(r.doc_id for r in drop_contaminated(docs, bench).collect()) == [3, 4]
