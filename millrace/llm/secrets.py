@@ -54,9 +54,16 @@ def upper_tail(z: float) -> float:
 
 def binomial_tail(n: int, p: float, k: int) -> float:
     """P(X >= k) for a binomial X."""
-    if k <= 0:
+    mean, sd = n * p, math.sqrt(n * p * (1 - p))
+    i = max(k, int(mean - 40 * sd))  # what lies below is less than rounding
+    if i <= 0:
         return 1.0
-    return min(1.0, sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1)))
+    term, total = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)), 0.0
+    while i <= n and (i <= mean or term > 1e-17 * total):
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p)
+        i += 1
+    return min(1.0, total)
 
 
 def p_value(run: str, kind: str) -> float:
@@ -68,7 +75,10 @@ def p_value(run: str, kind: str) -> float:
     n, size = len(plain), len(alphabet)
     if n < 16 or plain.isdigit():
         return 1.0
-    codes = np.array([alphabet.index(c) for c in plain], dtype=float)
+    chars = np.frombuffer(plain.encode(), np.uint8)
+    place = np.zeros(128)
+    place[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(size)
+    codes = place[chars]
     counts = np.bincount(codes.astype(int), minlength=size)
     chi = float(((counts - n / size) ** 2).sum() * size / n)
     df = size - 1
@@ -80,26 +90,44 @@ def p_value(run: str, kind: str) -> float:
         return 1.0
     away = n * DEPARTURE[kind]
     p_even = upper_tail((df + away - chi) / math.sqrt(2 * (df + 2 * away)))
-    classes = [c.isdigit() + 2 * c.isupper() for c in plain]
-    p_runs = binomial_tail(n - 1, CLASS_CHANGE, sum(a != b for a, b in zip(classes, classes[1:], strict=False)))
+    classes = ((chars >= 48) & (chars <= 57)) + 2 * ((chars >= 65) & (chars <= 90))
+    p_runs = binomial_tail(n - 1, CLASS_CHANGE, int((classes[1:] != classes[:-1]).sum()))
     both = max(p_even, 1e-40) * max(p_runs, 1e-40)
     return min(1.0, both * (1 - math.log(both)))  # Fisher's combination of two
 
 
+def outside(start: int, end: int, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts of a run that no span of ``base`` (sorted) touches, less the separators where it was cut, and long enough to test."""
+    parts, a = [], start
+    for x, _, y in base:
+        if x < end and y > a:
+            parts.append((a, x))
+            a = y
+    parts.append((a, end))
+    out = []
+    for a, b in parts:
+        while a < b and a > start and text[a] in "-_=":
+            a += 1
+        while a < b and b < end and text[b - 1] in "-_=":
+            b -= 1
+        if CANDIDATE.fullmatch(text, a, b) if a < b else None:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """(start, kind, end) of the patterns' spans; (start, end, class, step) of tested runs that overlap none of them."""
+    """(start, kind, end) of the patterns' spans; (start, end, class, step) of tested runs, or parts of runs, that overlap none of them."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= MIN_ASSIGN]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)] + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    base.sort()
     tested = []
     for m in CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, _, b in base):
-            kind = encoding(m[0])
-            p = p_value(m[0], kind) if len(m[0]) <= 4096 else 1.0  # longer runs are embedded media, not keys
-            if p < 1:
-                tested.append((m.start(), m.end(), list(ALPHABETS).index(kind) * 10 + sum(len(m[0]) >= x for x in LENGTHS), int(min(-math.log10(p), MOST) * STEPS)))
-            else:
-                tested.append((m.start(), m.end(), list(ALPHABETS).index(kind) * 10 + sum(len(m[0]) >= x for x in LENGTHS), 0))
-    return sorted(base), tested
+        for a, b in outside(m.start(), m.end(), text, base):
+            kind = encoding(text[a:b])
+            p = p_value(text[a:b], kind)
+            step = int(min(-math.log10(p), MOST) * STEPS) if p < 1 else 0
+            tested.append((a, b, list(ALPHABETS).index(kind) * 10 + sum(b - a >= x for x in LENGTHS), step))
+    return base, tested
 
 
 BASE_TYPE = "array<struct<start:bigint,kind:bigint,end:bigint>>"

@@ -1,8 +1,9 @@
 import hashlib
+import math
 import random
 import re
 
-from millrace.llm.secrets import find_secrets, redact_secrets
+from millrace.llm.secrets import CLASS_CHANGE, binomial_tail, find_secrets, redact_secrets
 
 
 def brute(text):
@@ -41,3 +42,29 @@ def test_redaction_and_edges(docs_of, edge):
     assert redact_secrets(docs).columns == docs.columns
     assert find_secrets(edge).count() == 8 and find_secrets(docs_of([])).count() == 0
     assert redact_secrets(docs_of([])).count() == 0
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_long_runs_are_tested(docs_of):
+    rng = random.Random(7)
+    sizes = [4096, 4097, 20_000, 300_000]
+    docs = docs_of([(n, f"see {''.join(rng.choices(LETTERS + '+/', k=n))} here") for n in sizes] + [(1, "see " + "abcdefgh" * 2000 + " here")])
+    assert {r.doc_id: r.spans for r in find_secrets(docs).collect()} == {n: f"random:4:{4 + n}" for n in sizes} | {1: ""}
+    assert {r.doc_id: r.text for r in redact_secrets(docs).collect() if r.doc_id > 1} == {n: "see [secret] here" for n in sizes}
+
+
+def test_rest_of_a_run_is_tested(docs_of):
+    rng = random.Random(8)
+    rows = [(i, f"see {''.join(rng.choices('0123456789abcdef', k=32))}_{''.join(rng.choices(LETTERS, k=40))} here") for i in range(20)]
+    docs = docs_of(rows + [(100, f"see {'0123456789abcdef' * 2}_internationalization_of_everything here")])
+    found = {r.doc_id: r.spans for r in find_secrets(docs).collect()}
+    assert sum(found[i] == "hex:4:36,random:37:77" for i in range(20)) >= 19 and found[100] == "hex:4:36"
+    assert sum(r.text == "see [secret]_[secret] here" for r in redact_secrets(docs).collect()) >= 19
+
+
+def test_binomial_tail_is_exact():
+    for n, k in ((19, 0), (19, 1), (19, 9), (300, 20), (300, 60), (300, 200)):
+        expect = sum(math.comb(n, i) * CLASS_CHANGE**i * (1 - CLASS_CHANGE) ** (n - i) for i in range(k, n + 1))
+        assert abs(binomial_tail(n, CLASS_CHANGE, k) / expect - 1) < 1e-9
