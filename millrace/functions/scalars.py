@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,6 +24,11 @@ ROMAN = r"(?i)^(I|II|III|IV|V|VI|VII|VIII|IX|X|XI|XII)"
 # -----------------------------------------------------------------------------------------------------------------
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def any_of(words: tuple[str, ...], c: Column) -> Column:
     return reduce(lambda a, w: a | c.contains(w), words[1:], c.contains(words[0]))
 
@@ -48,7 +55,15 @@ def prefix(c: Column, n: int) -> Column:
     return F.substring(c.cast("string"), 1, n)
 
 
-MARKED, PLAIN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝğĞşŞİ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYgGsSI"
+def marked_letters() -> tuple[str, str]:
+    """Latin letters with marks and the same letters without, by their canonical decomposition."""
+    parts = {c: unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+    plain = {c: d[0] for c, d in parts.items() if len(d) > 1 and all(unicodedata.combining(m) for m in d[1:])}
+    return "".join(plain), "".join(plain.values())
+
+
+MARKED, PLAIN = marked_letters()
+PLAIN_FOLD = "".join(b for a, b in zip(MARKED, PLAIN, strict=True) if a != "İ")
 
 
 def slug(c: Column, n: int = 50, default: str = "document") -> Column:
@@ -71,40 +86,45 @@ def date_digits(c: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """F8: lower case without marks; dotted and dotless i are one letter; null is empty."""
-    plain = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), "i̇", "i"), "ıIİ" + MARKED, "iii" + PLAIN)
+    plain = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), "i̇", "i"), "ıIİ" + MARKED.replace("İ", ""), "iii" + PLAIN_FOLD)
     return F.lower(F.regexp_replace(plain, r"\p{M}", ""))
 
 
 def period(c: Column) -> Column:
     """struct(code, date, label) of ``31 Aralık 2025``; a missing day is 31; null without month or year."""
-    folded, text = fold(c), F.trim(c)
-    month = reduce(lambda chain, x: chain.when(folded.contains(x[1]), f"{x[0]:02}"), list(enumerate(MONTHS, 1))[1:], F.when(folded.contains(MONTHS[0]), "01"))
-    year = F.nullif(F.regexp_extract(text, r"\b(20\d\d)\b", 1), F.lit(""))
-    day = F.coalesce(F.lpad(F.nullif(F.regexp_extract(text, r"\b(\d{1,2})\b", 1), F.lit("")), 2, "0"), F.lit("31"))
-    return F.when(month.isNotNull() & year.isNotNull(), F.struct(F.concat(year, month).alias("code"), F.concat_ws("-", year, month, day).alias("date"), text.alias("label")))
+    month_of = lambda f: reduce(lambda chain, x: chain.when(f.contains(x[1]), f"{x[0]:02}"), list(enumerate(MONTHS, 1))[1:], F.when(f.contains(MONTHS[0]), "01"))
+    year_of = lambda s: F.nullif(F.regexp_extract(s, r"\b(20\d\d)\b", 1), F.lit(""))
+    day_of = lambda s: F.coalesce(F.lpad(F.nullif(F.regexp_extract(s, r"\b(\d{1,2})\b", 1), F.lit("")), 2, "0"), F.lit("31"))
+    found = F.when(c.rlike(r"\b20\d\d\b"), F.struct(let(fold(c), month_of).alias("month"), year_of(c).alias("year"), day_of(c).alias("day"), F.trim(c).alias("label")))
+    made = lambda x: F.struct(F.concat(x["year"], x["month"]).alias("code"), F.concat_ws("-", x["year"], x["month"], x["day"]).alias("date"), x["label"].alias("label"))
+    return let(found, lambda x: F.when(x["month"].isNotNull(), made(x)))
 
 
 def amount(c: Column, scale: Column | float = 1.0) -> Column:
     """blanks and dashes 0, parentheses or a leading minus negative, either decimal separator; unreadable 0."""
-    s = F.trim(c)
-    bracketed = s.startswith("(") & s.endswith(")")
-    minus = s.startswith("-") | s.startswith("—")
-    body = F.when(bracketed, F.trim(F.regexp_replace(s, r"^\((.*)\)$", "$1"))).when(minus, F.trim(F.regexp_replace(s, "^[-—]", ""))).otherwise(s)
-    dots, commas = body.contains("."), body.contains(",")
-    comma_last = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
-    by_comma, by_dot = F.split(body, ","), F.split(body, r"\.")
-    plain = (
-        F.when(dots & commas & comma_last, F.translate(F.translate(body, ".", ""), ",", "."))
-        .when(dots & commas, F.translate(body, ",", ""))
-        .when(commas & (F.size(by_comma) == 2) & (F.length(F.get(by_comma, F.lit(1))) == 2), F.translate(body, ",", "."))
-        .when(commas, F.translate(body, ",", ""))
-        .when(dots & (F.size(by_dot) == 2) & (F.length(F.get(by_dot, F.lit(1))) == 2) & (F.length(F.get(by_dot, F.lit(0))) <= 2), body)
-        .when(dots, F.translate(body, ".", ""))
-        .otherwise(body)
-    )
-    value = plain.try_cast("double") * (F.lit(scale) if not isinstance(scale, Column) else scale)
-    blank = s.isNull() | (s == "") | s.isin(*BLANK_AMOUNTS)
-    return F.when(blank, 0.0).otherwise(F.coalesce(F.when(bracketed | minus, -value).otherwise(value), F.lit(0.0)))
+    unit = F.lit(scale) if not isinstance(scale, Column) else scale
+
+    def plain(body: Column) -> Column:
+        dots, commas = body.contains("."), body.contains(",")
+        comma_last = F.length(F.substring_index(body, ",", -1)) < F.length(F.substring_index(body, ".", -1))
+        cents = lambda sep: body.rlike(rf"^[^{sep}]*[{sep}][^{sep}]{{2}}$")
+        return (
+            F.when(dots & commas & comma_last, F.translate(F.translate(body, ".", ""), ",", "."))
+            .when(dots & commas, F.translate(body, ",", ""))
+            .when(commas & cents(","), F.translate(body, ",", "."))
+            .when(commas, F.translate(body, ",", ""))
+            .when(dots & cents(".") & (F.length(body) <= 5), body)
+            .when(dots, F.translate(body, ".", ""))
+            .otherwise(body)
+        )
+
+    def read(s: Column) -> Column:
+        bracketed, minus = s.startswith("(") & s.endswith(")"), s.startswith("-") | s.startswith("—")
+        body = F.when(bracketed, F.trim(F.regexp_replace(s, r"^\((.*)\)$", "$1"))).when(minus, F.trim(F.regexp_replace(s, "^[-—]", ""))).otherwise(s)
+        value = let(body, plain).try_cast("double") * unit * F.when(bracketed | minus, -1).otherwise(1)
+        return F.when((s == "") | s.isin(*BLANK_AMOUNTS), 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
+
+    return let(F.coalesce(F.trim(c), F.lit("")), read)
 
 
 def is_value(c: Column) -> Column:
@@ -116,10 +136,11 @@ def is_value(c: Column) -> Column:
 
 def is_note(c: Column) -> Column:
     """a footnote reference: numbers up to 100, not grouped in threes."""
-    s = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^(?:not|dipnot|dipnotlar|no)?[:\s]*", ""))
-    numbers = F.regexp_extract_all(s, F.lit(r"(\d+)"), 1)
-    grouped = s.rlike(r"[\.,]") & F.exists(F.slice(F.split(s, r"[\.,]"), 2, 1000), lambda x: F.length(x) == 3)
-    return s.rlike(r"^\d{1,3}(?:[\s,\-\.]+\d{1,3})*$") & F.forall(numbers, lambda x: x.cast("int") <= 100) & ~grouped
+    def test(s: Column) -> Column:
+        small = F.forall(F.regexp_extract_all(s, F.lit(r"(\d+)"), 1), lambda x: x.cast("int") <= 100)
+        return s.rlike(r"^\d{1,3}(?:[\s,\-\.]+\d{1,3})*$") & small & ~s.rlike(r"[\.,][^\.,]{3}([\.,]|$)")
+
+    return let(F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"^(?:not|dipnot|dipnotlar|no)?[:\s]*", "")), test)
 
 
 def is_number(c: Column) -> Column:
@@ -160,9 +181,9 @@ def is_subtotal(c: Column, folded: Column | None = None) -> Column:
     return any_of(SUBTOTALS, fold(c) if folded is None else folded) | F.coalesce(c, F.lit("")).rlike(r"\([IVX|\d]+[+\-.]+.*[IVX|\d]+\)")
 
 
-def scale(c: Column) -> Column:
-    """the unit that a page states; thousands if it says nothing."""
-    f = fold(c)
+def scale(c: Column, folded: Column | None = None) -> Column:
+    """the unit that a page states; thousands if it says nothing. ``folded``: fold(c) where the caller has it already."""
+    f = fold(c) if folded is None else folded
     money = r"\b.*\b(tl|turk lirasi|try)\b"
     return (
         F.when(f.rlike(r"(?s)\bmilyar" + money), 1_000_000_000)

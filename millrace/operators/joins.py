@@ -99,13 +99,19 @@ def project_board(projects: DataFrame, objectives: DataFrame, items: DataFrame)
     return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "done", "in_progress")})
 
 
+#: Queries that a vector meets in one row; a block of them is of bounded size.
+QUERY_BLOCK = 64
+
+
 def score_pairs(queries: DataFrame, vectors: DataFrame, score) -> DataFrame:
     """Each vector against a stated set of queries (query_id, query); ``score(query, embedding)`` is a Column.
 
-    The queries of one request are a handful; a vector row meets each of them once.
+    Queries are held in blocks of about QUERY_BLOCK; each vector meets each block once. Whether the blocks are broadcast is left to Spark and
+    their size. A null vector or query scores as ``score`` has it.
     """
-    held = queries.groupBy().agg(F.collect_list(F.struct("query_id", "query")).alias("__queries"))
-    each = vectors.join(F.broadcast(held)).select(*vectors.columns, F.explode("__queries").alias("__q"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    held = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct("query_id", "query")).alias("__queries"))
+    each = vectors.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "__block").select(*vectors.columns, F.explode("__queries").alias("__q"))
     return each.select(*vectors.columns, F.col("__q.query_id").alias("query_id"), score(F.col("__q.query"), F.col("embedding")).alias("score"))
 
 

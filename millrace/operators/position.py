@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,16 @@ def latest_side_by_side(df: DataFrame, key: str, value: str, order: list[str], n
 
 
 def rank_zero(df: DataFrame, part: list[str], order: list) -> DataFrame:
-    """Positions from 0."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order)) - 1)
+    """Positions from 0 within each group, best first; ``order`` ends in a unique key.
+
+    Rows are numbered over all groups by ranges, less their group's first number, so that a group is never sorted in one task.
+    """
+    from .changes import assign_ids
+
+    numbered = assign_ids(df, 0, [*[F.col(c) for c in part], *order], "__number")
+    first = numbered.groupBy(*[F.col(c).alias(f"__of_{c}") for c in part]).agg(F.min("__number").alias("__first"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in part])
+    return numbered.join(first, same).withColumn("rank", F.col("__number") - F.col("__first")).drop("__number", "__first", *[f"__of_{c}" for c in part])
 
 
 def fill_forward(df: DataFrame, part: list[str], order: list, cols: list[str]) -> DataFrame:
@@ -53,13 +63,13 @@ def attach_next(df: DataFrame, part: list[str], order: list, text: str, is_code:
     w = Window.partitionBy(*part).orderBy(*order)
     flagged = df.withColumns({"__code": F.coalesce(is_code, F.lit(False)), "__num": F.coalesce(is_number, F.lit(True))})
     flagged = flagged.withColumn("__takes", F.col("__code") & F.coalesce(~F.lead("__num").over(w), F.lit(False)))
-    # position within an unbroken row of lines that could take the next: even ones do
-    flagged = flagged.withColumn("__island", F.sum(F.when(F.col("__takes"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*part, "__island").orderBy(*order)
-    flagged = flagged.withColumn("__even", F.sum(F.when(F.col("__takes"), 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0)) % 2 == 1)
-    flagged = flagged.withColumn("__takes", F.col("__takes") & F.col("__even"))
+    # place in an unbroken row of lines that could take the next: odd ones do
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    flagged = flagged.withColumn("__at", F.row_number().over(w))
+    place = F.col("__at") - F.coalesce(F.max(F.when(~F.col("__takes"), F.col("__at"))).over(so_far), F.lit(0))
+    flagged = flagged.withColumn("__takes", F.col("__takes") & (place % 2 == 1))
     merged = F.when(F.col("__takes"), F.concat_ws(" ", F.trim(text), F.trim(F.lead(text).over(w)))).otherwise(F.col(text))
-    return flagged.withColumns({text: merged, "__taken": F.coalesce(F.lag("__takes").over(w), F.lit(False))}).where(~F.col("__taken")).drop("__code", "__num", "__takes", "__island", "__even", "__taken")
+    return flagged.withColumns({text: merged, "__taken": F.coalesce(F.lag("__takes").over(w), F.lit(False))}).where(~F.col("__taken")).drop("__code", "__num", "__takes", "__at", "__taken")
 
 
 def latest_active_group(df: DataFrame, key: str, status: str, running: tuple[str, ...], updated: str) -> DataFrame:

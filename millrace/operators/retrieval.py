@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, md5, tokens
 from .changes import assign_ids
+from .durable import durable
 from .joins import score_pairs
 from .position import latest_per
 
@@ -76,15 +77,18 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
 
     Negative idf values are replaced by ``floor`` times the mean idf of all words; a word counts as often as the query holds it.
     """
-    words = chunks.select("id", tokens(F.col("text")).alias("w"))
-    sizes = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
-    postings = words.select("id", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.join(F.broadcast(sizes)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    words = chunks.select("id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
+    # one pass gives the document frequency of each word and, in the row without a word, the number of chunks and of all their words
+    entry = lambda word, n: F.struct(word.alias("word"), n.alias("len"))
+    entries = F.concat(F.array(entry(F.lit(None).cast("string"), F.col("len"))), F.transform(F.array_distinct("w"), lambda x: entry(x, F.lit(0))))
+    df = durable(words.select(F.explode(entries).alias("x")).groupBy("x.word").agg(F.count(F.lit(1)).alias("df"), F.sum("x.len").alias("len")), "words")
+    sizes = df.where("word is null").agg(F.sum("df").alias("n"), (F.sum("len") / F.sum("df")).alias("mean"))
+    raw = df.where("word is not null").join(F.broadcast(sizes)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     low = raw.agg((F.avg("idf") * floor).alias("eps"))
     wanted = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("times"))
     idf = raw.join(wanted.select("word").distinct(), "word", "left_semi").join(F.broadcast(low)).select("word", F.when(F.col("idf") < 0, F.col("eps")).otherwise(F.col("idf")).alias("idf"), "mean")
-    hits = postings.join(idf, "word").join(wanted, "word")
+    asked = wanted.join(idf, "word")
+    hits = words.select("id", "len", F.explode("w").alias("word")).join(asked, "word").groupBy("query_id", "id", "len", "word", "times", "idf", "mean").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
@@ -112,25 +116,24 @@ def fuse(*lists: DataFrame, k: int = 60) -> DataFrame:
     return out.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, text: str, queries: DataFrame, docs: list | None = None, n: int = 20, depth: int = 1000) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, text: str, queries: DataFrame, docs: list | None = None, n: int = 20) -> DataFrame:
     """Keyword and multi-query vector search fused: id, score.
 
     Corpus statistics count all chunks (id, document_id, text); the filter on documents comes after them, before ranking.
-    Each list is ranked to ``depth``, since a rank of 1000 adds less than a thousandth.
+    Both lists are ranked to their ends.
     """
     spark = chunks.sparkSession
     asked = spark.createDataFrame([("q", text)], "query_id string, query string")
     allowed = chunks.select("id") if docs is None else chunks.where(F.col("document_id").isin(docs)).select("id")
     keyword = allowed.join(bm25(chunks, asked).select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     meaning = score_pairs(queries, vectors.join(allowed, "id", "left_semi"), cosine).groupBy("id").agg(F.max("score").alias("score"))
-    top = lambda d: d.orderBy(F.col("score").desc(), "id").limit(depth)
-    return fuse(ranked(top(meaning)), ranked(top(keyword))).orderBy(F.col("score").desc(), "id").limit(n)
+    return fuse(ranked(meaning), ranked(keyword)).orderBy(F.col("score").desc(), "id").limit(n)
 
 
-def context(chunks: DataFrame, order: str, sep: str) -> DataFrame:
-    """The retrieved chunks (text) joined in order, with their number and length."""
+def context(chunks: DataFrame, order: str, sep: str, by: list[str] | None = None) -> DataFrame:
+    """The retrieved chunks (text) of each request (``by``) joined in order, with their number and length. A request's chunks are a few dozen."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("text").alias("t"))))
-    joined = chunks.agg(F.array_join(F.transform(parts, lambda x: x["t"]), sep).alias("context"), F.count(F.lit(1)).alias("chunks"))
+    joined = chunks.groupBy(*(by or [])).agg(F.array_join(F.transform(parts, lambda x: x["t"]), sep).alias("context"), F.count(F.lit(1)).alias("chunks"))
     return joined.withColumn("chars", F.length("context"))
 
 

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine
+from ..operators import changes as C
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import pages as L
 from ..operators import retrieval as R
 from ..operators import statements as ST
 from ..operators import trees as TR
+from ..operators.durable import durable, new_path
+from ..sources import feeds as S
 from ..streaming import streams as M
 from .registry import query
+from .relational import items
+from .scalars import BOT, html_text, paragraphs
 
 # ---- statements: the lines of an order as the pages of a report ---------------------------------------------------
 
@@ -42,7 +48,7 @@ def _(t):
 
 
 def records(t):
-    pages = ST.classify_pages(report_pages(t))
+    pages = durable(ST.classify_pages(report_pages(t)), "pages")  # read for the lines and for the periods
     return ST.statement_lines(ST.clean_lines(pages), ST.periods(pages))
 
 
@@ -143,9 +149,10 @@ def vector_queries(t, n: int):
 COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
 
 
-@query("j15_score_pairs", f"SELECT e.vec_id AS id, q.vec_id AS query_id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 5")
+@query("j15_score_pairs", f"SELECT e.vec_id AS id, q.vec_id AS query_id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0")
 def _(t):
-    return J.score_pairs(vector_queries(t, 5), vectors(t), cosine).select("id", "query_id", F.round("score", 6).alias("score"))
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return J.score_pairs(asked, vectors(t), cosine).select("id", "query_id", F.round("score", 6).alias("score"))
 
 
 @query("r4_semantic", f"SELECT e.vec_id AS id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY {COS} DESC, e.vec_id LIMIT 4")
@@ -168,7 +175,7 @@ HYBRID = (
     BM25
     + f""", sem AS (SELECT e.vec_id AS id, max({COS}) AS score FROM embeddings e, embeddings q WHERE q.vec_id < 3 AND e.vec_id % 3 <> 0 AND e.vec_id IN (SELECT doc_id FROM documents) GROUP BY 1),
 key AS (SELECT doc_id AS id, coalesce(score, 0.0) AS score FROM documents LEFT JOIN bm ON bm.id = doc_id WHERE doc_id % 3 <> 0),
-r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM sem QUALIFY r < 1000 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM key QUALIFY r < 1000)
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM sem UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM key)
 SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM r GROUP BY 1 ORDER BY sum(1.0::DOUBLE / (60 + r)) DESC, id LIMIT 20"""
 )
 
@@ -179,9 +186,9 @@ def _(t):
     return R.hybrid(chunks, vectors(t), QUERY_TEXT, vector_queries(t, 3), docs=[1, 2]).withColumn("score", F.round("score", 8))
 
 
-@query("r8_context", "SELECT string_agg(text, chr(10) || '---' || chr(10) ORDER BY conv_id, turn) AS context, count(*) AS chunks, CAST(length(string_agg(text, chr(10) || '---' || chr(10) ORDER BY conv_id, turn)) AS INTEGER) AS chars FROM conversations WHERE conv_id < 3")
+@query("r8_context", "SELECT conv_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS context, count(*) AS chunks, CAST(length(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn)) AS INTEGER) AS chars FROM conversations GROUP BY 1")
 def _(t):
-    return R.context(t.conversations.where("conv_id < 3").select("text", (F.col("conv_id") * 100_000 + F.col("turn")).alias("o")), "o", "\n---\n")
+    return R.context(t.conversations, "turn", "\n---\n", ["conv_id"])
 
 
 @query("r9_rank_summaries", f"SELECT e.vec_id AS id, round({COS}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 7 ORDER BY {COS} DESC, e.vec_id LIMIT 15")
@@ -222,8 +229,8 @@ def _(t):
 
 
 def supply(t):
-    """Suppliers and the parts of urgent lines as a graph of text ids."""
-    e = t.lineitem.where("l_quantity >= 45").select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst"), F.col("l_returnflag").alias("relation")).dropDuplicates(["src", "dst"])
+    """Suppliers and the parts of their lines as a graph of text ids."""
+    e = t.lineitem.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("dst")).distinct().withColumn("relation", F.lit("supplies"))
     return e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e
 
 
@@ -232,7 +239,14 @@ def _(t):
     return G.communities(*supply(t))
 
 
-@query("g4_modularity", "WITH e AS (SELECT DISTINCT l_partkey, l_suppkey, s_nationkey AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 45), x AS (SELECT l_partkey % 25 AS a, c AS b FROM e), d AS (SELECT c, count(*) AS k FROM (SELECT a AS c FROM x UNION ALL SELECT b FROM x) GROUP BY 1), i AS (SELECT a AS c, count(*) AS n FROM x WHERE a = b GROUP BY 1) SELECT round(sum(coalesce(n, 0) / m - (k / (2.0 * m)) ** 2), 8) AS modularity FROM d LEFT JOIN i USING (c), (SELECT CAST(count(*) AS DOUBLE) AS m FROM e)")
+# Of a forest of stars the communities with the largest modularity are the stars themselves, if there are enough of them.
+@query("g4_star_communities", "WITH n AS (SELECT c_nationkey, min('C' || c_custkey) AS least FROM customer GROUP BY 1) SELECT 'C' || c_custkey AS id, least AS community FROM customer JOIN n USING (c_nationkey) UNION ALL SELECT 'N' || c_nationkey, least FROM n")
+def _(t):
+    e = t.customer.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("src"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("dst"), F.lit("lives in").alias("relation"))
+    return G.communities(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), e)
+
+
+@query("g4_modularity", "WITH e AS (SELECT DISTINCT l_partkey, l_suppkey, s_nationkey AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), x AS (SELECT l_partkey % 25 AS a, c AS b FROM e), d AS (SELECT c, count(*) AS k FROM (SELECT a AS c FROM x UNION ALL SELECT b FROM x) GROUP BY 1), i AS (SELECT a AS c, count(*) AS n FROM x WHERE a = b GROUP BY 1) SELECT round(sum(coalesce(n, 0) / m - (k / (2.0 * m)) ** 2), 8) AS modularity FROM d LEFT JOIN i USING (c), (SELECT CAST(count(*) AS DOUBLE) AS m FROM e)")
 def _(t):
     nodes, edges = supply(t)
     nation = t.supplier.select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_nationkey").cast("int").alias("community"))
@@ -245,26 +259,27 @@ def by_nation(t):
 
 
 def supplier_pairs(t):
-    """Suppliers that shared an order line number one and two."""
-    a, b = (t.lineitem.where(f"l_linenumber = {n}").select("l_orderkey", F.col("l_suppkey").alias(c)) for n, c in ((1, "x"), (2, "y")))
-    return a.join(b, "l_orderkey").where("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct().withColumn("relation", F.lit("met"))
+    """Suppliers of one line and the next of an order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
+    met = t.lineitem.select(F.col("l_suppkey").alias("x"), F.lead("l_suppkey").over(w).alias("y")).where("x <> y")
+    return met.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct().withColumn("relation", F.lit("met"))
 
 
-PAIRS = "(SELECT DISTINCT least(a.l_suppkey, b.l_suppkey) AS src, greatest(a.l_suppkey, b.l_suppkey) AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_suppkey <> b.l_suppkey)"
+PAIRS = "(SELECT DISTINCT least(x, y) AS src, greatest(x, y) AS dst FROM (SELECT l_suppkey AS x, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS y FROM lineitem) WHERE x <> y)"
 
 
-@query("g5_members", "SELECT s_nationkey AS community, string_agg(s_suppkey, ',' ORDER BY s_suppkey) AS members, count(*) AS size FROM supplier GROUP BY 1")
+@query("g5_members", "SELECT s_nationkey AS community, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS position, s_suppkey AS id FROM supplier")
 def _(t):
-    return G.members(by_nation(t)).select("community", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "size")
+    return G.members(by_nation(t))
 
 
 @query(
     "g6_community_context",
-    f"""SELECT s_nationkey AS community, string_agg(s_suppkey, ', ' ORDER BY s_suppkey) AS members, coalesce(any_value(r), '') AS relations FROM supplier LEFT JOIN
-    (SELECT a.s_nationkey AS c, string_agg(src || ' - met - ' || dst, chr(10) ORDER BY src || ' - met - ' || dst) AS r FROM {PAIRS} JOIN supplier a ON src = a.s_suppkey JOIN supplier b ON dst = b.s_suppkey WHERE a.s_nationkey = b.s_nationkey GROUP BY 1) ON c = s_nationkey GROUP BY 1""",
+    f"""SELECT a.s_nationkey AS community, 'relation' AS kind, src || ' - met - ' || dst AS line FROM {PAIRS} JOIN supplier a ON src = a.s_suppkey JOIN supplier b ON dst = b.s_suppkey WHERE a.s_nationkey = b.s_nationkey
+    UNION ALL SELECT s_nationkey, 'member', CAST(s_suppkey AS VARCHAR) FROM supplier""",
 )
 def _(t):
-    return G.community_context(supplier_pairs(t), by_nation(t)).select("community", "members", "relations")
+    return G.community_context(supplier_pairs(t), by_nation(t))
 
 
 @query("g7_graph_summary", f"SELECT (SELECT count(*) FROM supplier) AS nodes, (SELECT count(*) FROM {PAIRS}) AS edges, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS communities")
@@ -275,7 +290,14 @@ def _(t):
 # ---- pages ----------------------------------------------------------------------------------------------------------
 
 
-@query("l1_links")
+LINK = f"""(SELECT url AS page_url, CAST(i - 1 AS INTEGER) AS position, a[CAST(i AS INTEGER)] AS a FROM (SELECT url, regexp_extract_all(html, '(?is)(<a\\b[^>]*>.*?</a\\s*>)', 1) AS a FROM pages), unnest(range(1, len(a) + 1)) r(i))"""
+LINKS = f"""(SELECT page_url, position, href, {html_text('a')} AS text, CASE WHEN link = '' THEN page_url WHEN regexp_matches(link, '^[a-zA-Z][\\w+.-]*:') THEN link WHEN link LIKE '//%' THEN regexp_extract(page_url, '^([a-zA-Z][\\w+.-]*:)', 1) || link
+    WHEN link LIKE '/%' THEN regexp_extract(page_url, '^([a-zA-Z][\\w+.-]*://[^/?#]*)', 1) || link WHEN link LIKE '?%' THEN regexp_replace(page_url, '[?#].*$', '') || link WHEN link LIKE '#%' THEN regexp_replace(page_url, '#.*$', '') || link
+    ELSE CASE WHEN regexp_matches(page_url, '^[a-zA-Z][\\w+.-]*://[^/?#]*([?#].*)?$') THEN regexp_replace(page_url, '[?#].*$', '') || '/' ELSE regexp_replace(regexp_replace(page_url, '[?#].*$', ''), '[^/]*$', '') END || link END AS url
+    FROM (SELECT *, trim(regexp_replace(href, '(?i)^href:\\s*', '')) AS link FROM (SELECT page_url, position, a, regexp_extract(a, '(?is)^<a\\b[^>]*?\\bhref\\s*=\\s*["'']?([^"''>\\s]*)', 1) AS href FROM {LINK} WHERE regexp_matches(a, '(?is)^<a\\b[^>]*\\bhref\\s*='))))"""
+
+
+@query("l1_links", f"SELECT * FROM {LINKS}")
 def _(t):
     return L.links(t.pages)
 
@@ -295,14 +317,19 @@ def _(t):
     return got.where("depth > 1").withColumn("depth", F.col("depth") - 1)
 
 
-@query("l3_find_files")
+@query("l3_find_files", f"SELECT * FROM (SELECT page_url, position, href, text, url || '.pdf?x=1' AS url FROM {LINKS}) WHERE lower(regexp_extract(url, '^[^?#]*')) LIKE '%.pdf' AND (lower(url) LIKE '%th%' OR lower(text) LIKE '%th%') AND url <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_url, position) = 1")
 def _(t):
     return L.find_files(L.links(t.pages).withColumn("url", F.concat("url", F.lit(".pdf?x=1"))), ["pdf"], "th")
 
 
-@query("l4_articles")
+@query(
+    "l4_articles",
+    f"""WITH b AS (SELECT url, {paragraphs('html')} AS body FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY length(body) DESC, body) = 1)
+    SELECT p.url, substr(html, 1, 20) AS title, 'snippet' AS snippet, page_id AS arrived, CASE WHEN length(body) > 200 AND NOT regexp_matches(lower(body), '{BOT}') THEN substr(body, 1, 4000) ELSE 'snippet' END AS summary
+    FROM pages p JOIN b ON b.url = p.url WHERE p.url <> '' AND p.url NOT IN (SELECT url FROM pages WHERE page_id % 10 = 0 AND url IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY p.url ORDER BY page_id) = 1""",
+)
 def _(t):
-    results = t.pages.where("page_id % 2 = 0").select("url", F.substring("html", 1, 20).alias("title"), F.lit("snippet").alias("snippet"), F.col("page_id").alias("arrived"))
+    results = t.pages.select("url", F.substring("html", 1, 20).alias("title"), F.lit("snippet").alias("snippet"), F.col("page_id").alias("arrived"))
     return L.articles(results, t.pages, t.pages.where("page_id % 10 = 0").select("url"))
 
 
@@ -341,3 +368,90 @@ def _(t):
 @query("m6_assemble_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS tokens FROM conversations GROUP BY 1")
 def _(t):
     return M.assemble_text(t.conversations, "conv_id", "turn", "text", " ")
+
+
+def stream_of(t, name: str):
+    """A table's files as a stream."""
+    return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parquet*")
+
+
+def run_stream(stream, sink, spark) -> None:
+    """All that is there now, through a foreachBatch sink, with a checkpoint in the shared folder."""
+    job = stream.writeStream.foreachBatch(sink).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
+    job.awaitTermination()
+
+
+@query("m2_ledger_stream", "SELECT user_id, event_type, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM events GROUP BY 1, 2")
+def _(t):
+    path = new_path(t.spark, "ledger")
+    rows = stream_of(t, "events").select("user_id", "event_type", "event_id", "value")
+    for _ in range(2):  # the second time all of it is known
+        run_stream(rows, M.ledger_sink(path, ["user_id", "event_type"], ["event_id"]), t.spark)
+    return t.spark.read.parquet(path)
+
+
+@query("m5_status_upkeep", "WITH a AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS d, count(*) FILTER (l_linestatus <> 'F' AND l_returnflag = 'N') AS b FROM lineitem GROUP BY 1) SELECT o_orderkey AS project_id, CASE WHEN n IS NULL THEN 'Open' WHEN d >= n THEN 'Completed' WHEN d > 0 OR b > 0 THEN 'Active' ELSE 'Not Started' END AS status FROM orders LEFT JOIN a ON id = o_orderkey")
+def _(t):
+    path = new_path(t.spark, "projects")
+    t.orders.select(F.col("o_orderkey").alias("project_id"), F.lit("Open").alias("status"), F.lit(0).alias("updated_at")).write.parquet(f"{path}/0")
+    version = [0]
+
+    def apply(parents):
+        projects = t.spark.read.parquet(f"{path}/{version[0]}")
+        changed = parents.select(F.col("l_orderkey").alias("project_id"))
+        synced = C.sync_status(projects.join(changed, "project_id", "left_semi"), items(t).join(changed, "project_id", "left_semi"), F.lit(1))
+        projects.join(changed, "project_id", "left_anti").unionByName(synced).write.parquet(f"{path}/{version[0] + 1}")
+        version[0] += 1
+
+    run_stream(stream_of(t, "lineitem").select("l_orderkey"), M.status_upkeep(apply, "l_orderkey"), t.spark)
+    return t.spark.read.parquet(f"{path}/{version[0]}").select("project_id", "status")
+
+
+# ---- sinks: written, and what is read back -------------------------------------------------------------------------
+
+
+@query("s8_load_summaries", "SELECT 'D' || label AS document_id, CAST(vec_id AS INTEGER) AS community_id, 'old' AS summary_text, embedding[1] AS first FROM embeddings WHERE label IS DISTINCT FROM 0 UNION ALL SELECT 'D0', CAST(vec_id AS INTEGER), 'new ' || vec_id, embedding[1] FROM embeddings")
+def _(t):
+    path, v = new_path(t.spark, "summaries"), F.col("vec_id")
+    S.write_json(t.embeddings.select(v.cast("int").alias("community_id"), F.concat(F.lit("new "), v.cast("string")).alias("summary_text"), "embedding"), path)
+    current = t.embeddings.select(F.concat(F.lit("D"), F.col("label").cast("string")).alias("document_id"), v.cast("int").alias("community_id"), F.lit("old").alias("summary_text"), "embedding")
+    return S.load_summaries(t.spark, path, "D0", current).select("document_id", "community_id", "summary_text", F.get("embedding", F.lit(0)).alias("first"))
+
+
+@query("s10_list_documents", "SELECT DISTINCT coalesce(source, 'none') AS source, true AS named FROM documents")
+def _(t):
+    path = new_path(t.spark, "files")
+    t.documents.select(F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(path)
+    files = S.list_documents(t.spark, path, "txt")
+    return files.groupBy(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source")).agg(F.min(F.col("document_id").startswith("part-") & ~F.col("document_id").contains(".txt")).alias("named"))
+
+
+@query("s11_append", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'none' ELSE event_type END AS event_type, value FROM events")
+def _(t):
+    path = new_path(t.spark, "log")
+    rows = t.events.select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"), "value")
+    for part in (0, 1):
+        S.append(rows.where(F.pmod("event_id", F.lit(2)) == part), path, {"event_type": "none"})
+    return t.spark.read.parquet(path)
+
+
+@query("s14_json_round_trip", "SELECT vec_id, label, embedding[1] AS first, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
+def _(t):
+    path = new_path(t.spark, "json")
+    S.write_json(t.embeddings, path)
+    return t.spark.read.schema(t.embeddings.schema).json(path).select("vec_id", "label", F.get("embedding", F.lit(0)).alias("first"), F.size("embedding").alias("n"))
+
+
+@query("s15_graph_round_trip", f"SELECT 'node' AS kind, 'P' || l_partkey AS a, arg_max(l_returnflag, (l_orderkey, p)) AS b FROM {ORDERED} GROUP BY 2 UNION ALL SELECT DISTINCT 'node', 'S' || l_suppkey, 'Unknown' FROM lineitem UNION ALL SELECT DISTINCT 'edge', 'P' || l_partkey, 'S' || l_suppkey FROM lineitem")
+def _(t):
+    path, found = new_path(t.spark, "graph"), G.triples(payloads(t), "payload")
+    S.write_graph(G.nodes(found), G.edges(found), path)
+    read = t.spark.read.parquet
+    return read(f"{path}/nodes").select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("type").alias("b")).union(read(f"{path}/edges").select(F.lit("edge"), "src", "dst"))
+
+
+@query("s17_editable_columns", " UNION ALL ".join(f"SELECT '{c}' AS name, CAST({i} AS INTEGER) AS place, count({c}) AS filled FROM customer" for i, c in enumerate(("c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))))
+def _(t):
+    columns = S.editable_columns(t.customer, "c_custkey")
+    filled = t.customer.agg(*[F.count(c).alias(c) for c in columns])
+    return filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(i).alias("place"), F.col(c).alias("filled")) for i, c in enumerate(columns)])).alias("x")).select("x.*")

@@ -102,13 +102,28 @@ def _(t):
     return S.expand_indicators(wide, "period", meta).drop("raw")
 
 
-@query("s7_read_feed")
+def html_body(c: str) -> str:
+    from .scalars import html_text
+
+    return html_text(c)
+
+
+PRINTED = "regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')"
+
+
+@query(
+    "s7_read_feed",
+    f"""WITH d AS (SELECT source, doc_id // 25 AS feed, doc_id, row_number() OVER (PARTITION BY source, doc_id // 25 ORDER BY doc_id) - 1 AS p, {PRINTED} AS t FROM documents),
+    x AS (SELECT *, coalesce(nullif(trim(substr(t, 1, 40), chr(32) || chr(9) || chr(10) || chr(13)), ''), 'Untitled') AS title, {html_body("'<p>' || substr(t, 1, 200) || '</p>'")} AS b FROM d WHERE p < 10)
+    SELECT source || '/' || feed AS feed, CAST(p AS INTEGER) AS position, title, 'http://x.example/' || doc_id AS url, coalesce(nullif(b, ''), title) AS body FROM x""",
+)
 def _(t):
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    printed = t.documents.withColumn("text", F.regexp_replace("text", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""))
     item = F.concat(F.lit("<item><title>"), esc(F.substring("text", 1, 40)), F.lit("</title><link>http://x.example/"), F.col("doc_id").cast("string"), F.lit("</link><description>"), esc(F.concat(F.lit("<p>"), F.substring("text", 1, 200), F.lit("</p>"))), F.lit("</description></item>"))
-    numbered = W.first_n_per(t.documents, ["source"], ["doc_id"], 30)
-    feeds = numbered.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("i")))), lambda x: x["i"]), "").alias("items"))
-    return S.read_feed(feeds.select("source", F.concat(F.lit("<rss><channel>"), F.regexp_replace("items", r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), F.lit("</channel></rss>")).alias("xml")), "xml", "source")
+    feed = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 25).cast("string"))
+    feeds = printed.groupBy(feed.alias("feed")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("i")))), lambda x: x["i"]), "").alias("items"))
+    return S.read_feed(feeds.select("feed", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("xml")), "xml", "feed")
 
 
 @query("s9_decode_vector", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) AS total FROM embeddings")
@@ -494,7 +509,14 @@ def _(t):
     return W.group_runs(t.events.select("event_id", "user_id", "event_type"), ["user_id"], ["event_id"], F.col("event_type").isin("purchase", "error")).drop("event_type")
 
 
-@query("w8_attach_next")
+# a code line in the first, third, ... place of an unbroken row of lines that could take the next one takes it
+@query(
+    "w8_attach_next",
+    """WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, w[CAST(i AS INTEGER)] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents), unnest(range(1, len(w) + 1)) r(i)),
+    a AS (SELECT *, length(line) < 20 AND coalesce(NOT regexp_matches(lead(line) OVER w, '^[0-9]'), false) AS can, lead(line) OVER w AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+    b AS (SELECT *, n - max(CASE WHEN can THEN -1 ELSE n END) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS row_place FROM a), c AS (SELECT *, can AND row_place % 2 = 1 AS takes FROM b)
+    SELECT doc_id, n, CASE WHEN takes THEN trim(line) || ' ' || trim(after) ELSE line END AS line FROM c QUALIFY NOT coalesce(lag(takes) OVER (PARTITION BY doc_id ORDER BY n), false)""",
+)
 def _(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return W.attach_next(lines, ["doc_id"], ["n"], "line", F.length("line") < 20, F.col("line").rlike(r"^\d"))

@@ -44,9 +44,13 @@ def _(t):
     return t.documents.select("doc_id", X.date_digits(F.col("text")).alias("digits"))
 
 
-@query("f8_fold", "SELECT doc_id, lower(strip_accents(text)) AS folded FROM documents WHERE NOT regexp_matches(text, '[ßøØæÆœŒłŁđĐİıI]')")
+def folded(c: str) -> str:
+    return f"lower(translate(strip_accents(coalesce({c}, '')), 'ı', 'i'))"
+
+
+@query("f8_fold", f"SELECT doc_id, {folded('text')} AS folded FROM documents")
 def _(t):
-    return t.documents.where(~F.col("text").rlike("[ßøØæÆœŒłŁđĐİıI]")).select("doc_id", X.fold(F.col("text")).alias("folded"))
+    return t.documents.select("doc_id", X.fold(F.col("text")).alias("folded"))
 
 
 MONTH = "CASE month(o_orderdate) WHEN 1 THEN 'Ocak' WHEN 2 THEN 'Şubat' WHEN 3 THEN 'Mart' WHEN 4 THEN 'Nisan' WHEN 5 THEN 'Mayıs' WHEN 6 THEN 'Haziran' WHEN 7 THEN 'Temmuz' WHEN 8 THEN 'Ağustos' WHEN 9 THEN 'Eylül' WHEN 10 THEN 'EKİM' WHEN 11 THEN 'Kasım' ELSE 'ARALIK' END"
@@ -68,13 +72,34 @@ def _(t):
     return t.orders.select("o_orderkey", F.round(X.amount(text), 2).alias("amount"))
 
 
-@query("f11_token_tests")
+WORDS = "(SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, w[CAST(i AS INTEGER)] AS w, trim(w[CAST(i AS INTEGER)]) AS s FROM (SELECT doc_id, regexp_split_to_array(text, '[\\n ]') AS w FROM documents), unnest(range(1, len(w) + 1)) r(i))"
+BLANK = "s IN ('-', '--', '—', '0', '(0)')"
+NOTE = "trim(regexp_replace(lower(w), '^(?:not|dipnot|dipnotlar|no)?[:\\s]*', ''))"
+MONTHS = "(ocak|subat|mart|nisan|mayis|haziran|temmuz|agustos|eylul|ekim|kasim|aralik)"
+
+
+@query(
+    "f11_token_tests",
+    f"""SELECT doc_id, n, {BLANK} OR regexp_matches(s, '^\\([0-9.,\\s]+\\)$') OR (regexp_matches(s, '^-?[0-9.,]+$') AND regexp_matches(s, '[0-9]') AND NOT (regexp_matches(s, '^[0-9]+$') AND coalesce(TRY_CAST(s AS DOUBLE) <= 60, false))) AS value,
+    regexp_matches({NOTE}, '^[0-9]{{1,3}}(?:[\\s,\\-.]+[0-9]{{1,3}})*$') AND len(list_filter(regexp_extract_all({NOTE}, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT) > 100 OR TRY_CAST(x AS BIGINT) IS NULL)) = 0
+    AND NOT (regexp_matches({NOTE}, '[.,]') AND len(list_filter(list_slice(regexp_split_to_array({NOTE}, '[.,]'), 2, 1000), lambda x: length(x) = 3)) > 0) AS note,
+    {BLANK} OR (regexp_matches(s, '^-?[0-9.,()\\s]+$') AND regexp_matches(s, '[0-9-]')) AS number, regexp_matches({folded('w')}, '{MONTHS}') AND regexp_matches(w, '\\b20[0-9][0-9]\\b') AS date FROM {WORDS}""",
+)
 def _(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", r"[\n ]")).alias("n", "w"))
     return lines.select("doc_id", "n", X.is_value(F.col("w")).alias("value"), X.is_note(F.col("w")).alias("note"), X.is_number(F.col("w")).alias("number"), X.is_date_line(F.col("w")).alias("date"))
 
 
-@query("f12_boilerplate")
+TEXT_LINES = "(SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, w[CAST(i AS INTEGER)] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents), unnest(range(1, len(w) + 1)) r(i))"
+REMARKS = "(finansal durum tablosu|bilanco|kar veya zarar|gelir tablosu|profit or loss|income statement|anonim sirketi|anonim ortakligi|tutarlar|aksi belirtilmedikce|ifade edilmis|satin alma gucu|gosterilmistir|para birimi)"
+COMPANIONS = "(parca|olus|ekteki|takip|iliskin|tamamlayici|bakiniz|ayrilmaz|okunma|beraber)"
+
+
+@query(
+    "f12_boilerplate",
+    f"""SELECT doc_id, n, f <> '' AND (regexp_matches(f, '{REMARKS}') OR (regexp_matches(f, 'not') AND regexp_matches(f, '{COMPANIONS}')) OR (length(s) > 45 AND (s LIKE '%.' OR (s LIKE '(%' AND s LIKE '%)')))) AS boilerplate
+    FROM (SELECT doc_id, n, trim(line) AS s, {folded('line')} AS f FROM {TEXT_LINES})""",
+)
 def _(t):
     return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).select("doc_id", "n", X.is_boilerplate(F.col("line")).alias("boilerplate"))
 
@@ -119,7 +144,28 @@ def _(t):
     return t.embeddings.select("vec_id", F.round(X.norm(X.normalise(F.col("embedding"))), 4).alias("norm"), F.round(X.cosine(F.col("embedding"), F.col("embedding")), 4).alias("self"))
 
 
-@query("f19_html_text")
+HIDDEN = "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->"
+
+
+def unescaped(c: str) -> str:
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        c = f"replace({c}, '{entity}', '{plain}')"
+    return c
+
+
+def html_text(c: str) -> str:
+    """SQL of the text of a page."""
+    bare = f"regexp_replace(regexp_replace(coalesce({c}, ''), '{HIDDEN}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    return f"trim(regexp_replace({unescaped(bare)}, '\\s+', ' ', 'g'))"
+
+
+def paragraphs(c: str) -> str:
+    """SQL of the texts of a page's paragraphs: a mark ahead of all that ends one, then what lies up to the next mark."""
+    marked = f"regexp_replace(regexp_replace(coalesce({c}, ''), '{HIDDEN}', ' ', 'g'), '(?i)(</p>|<p\\b|</article>)', chr(1) || '\\1', 'g')"
+    return f"array_to_string(list_filter(list_transform(regexp_extract_all({marked}, '(?is)<p\\b[^>]*>([^' || chr(1) || ']*)', 1), lambda x: {html_text('x')}), lambda x: x <> ''), ' ')"
+
+
+@query("f19_html_text", f"SELECT page_id, {html_text('html')} AS text, {paragraphs('html')} AS paragraphs FROM pages")
 def _(t):
     return t.pages.select("page_id", X.html_text(F.col("html")).alias("text"), X.paragraphs(F.col("html")).alias("paragraphs"))
 
@@ -167,12 +213,12 @@ def _(t):
 
 @query(
     "f25_eta",
-    """SELECT event_id, CASE WHEN event_type = 'click' AND value > 0 THEN 'Took ' || CAST(floor(floor(value) / 60) AS INTEGER) || 'm ' || CAST(floor(value) AS INTEGER) % 60 || 's' WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'Calculating...' WHEN event_type = 'view' THEN '~3m 20s remaining' END AS eta FROM events WHERE value >= 1""",
+    """SELECT event_id, CASE WHEN event_type = 'click' AND value > 0 THEN 'Took ' || CAST(floor(floor(value) / 60) AS INTEGER) || 'm ' || CAST(floor(value) AS INTEGER) % 60 || 's' WHEN event_type = 'view' AND event_id % 4 = 0 THEN 'Calculating...' WHEN event_type = 'view' THEN '~3m 20s remaining' END AS eta FROM events""",
 )
 def _(t):
     status = F.when(F.col("event_type") == "click", "Completed").when(F.col("event_type") == "view", "Running").otherwise("Error")
     pct = F.when(F.col("event_id") % 4 == 0, 0).otherwise(50)
-    return t.events.where("value >= 1").select("event_id", X.eta(F.lit(1000.0), F.lit(1000.0) + F.col("value"), pct, status, 1200.0).alias("eta"))
+    return t.events.select("event_id", X.eta(F.lit(1000.0), F.lit(1000.0) + F.col("value"), pct, status, 1200.0).alias("eta"))
 
 
 @query("f26_split_owner", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'stakeholder' END AS kind, CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_custkey AS INTEGER) END AS id FROM orders")
