@@ -3,7 +3,9 @@ import math
 import random
 import re
 
-from millrace.llm.secrets import CLASS_CHANGE, binomial_tail, find_secrets, redact_secrets
+import numpy as np
+import pytest
+from millrace.llm.secrets import ALPHABETS, FALSE_DISCOVERIES, ONE_CASE, STEPS, Writing, binomial_tail, cutoffs, encoding, find_secrets, p_value, redact_secrets, short_runs
 
 
 def brute(text):
@@ -64,7 +66,58 @@ def test_rest_of_a_run_is_tested(docs_of):
     assert sum(r.text == "see [secret]_[secret] here" for r in redact_secrets(docs).collect()) >= 19
 
 
+PROSE = b"the quick brown foxes jumped over lazydogs Internationally while documents, considerations and Recommendations2 were accumulating everywhere " * 30
+
+
 def test_binomial_tail_is_exact():
     for n, k in ((19, 0), (19, 1), (19, 9), (300, 20), (300, 60), (300, 200)):
-        expect = sum(math.comb(n, i) * CLASS_CHANGE**i * (1 - CLASS_CHANGE) ** (n - i) for i in range(k, n + 1))
-        assert abs(binomial_tail(n, CLASS_CHANGE, k) / expect - 1) < 1e-9
+        expect = sum(math.comb(n, i) * 0.12**i * 0.88 ** (n - i) for i in range(k, n + 1))
+        assert abs(binomial_tail(n, 0.12, k) / expect - 1) < 1e-9
+
+
+def test_short_runs_equal_a_plain_count():
+    text = PROSE + "Ünï+code42/x_y-z AB12cd34ef x1 verylongrunoftwentyormorechars".encode()
+    want, pairs, changes = [0] * 128, 0, 0
+    kind = lambda c: c.isdigit() + 2 * ("A" <= c <= "Z")
+    for run in re.findall(r"[A-Za-z0-9+/_-]+", text.decode("latin-1")):
+        if 8 <= len(run) < 20:
+            for c in run:
+                want[ord(c)] += 1
+            pairs += len(run) - 1
+            changes += sum(kind(a) != kind(b) for a, b in zip(run, run[1:]))
+    for most in (1 << 20, 100):
+        assert short_runs(text, most).tolist() == [*want, pairs, changes]
+
+
+def test_encodings():
+    cases = {"0aF".lower() * 8: "hex", "DEAD" * 6: "hex", "abcxyz" * 4: "letters", "ABC-XYZ_" * 4: "letters", "MZXW6YTB" * 3: "base32", "a0z9" * 6: "base36", "A0Z9" * 6: "base36", "aB9z" * 6: "base62", "aB+/" * 6: "base64"}
+    assert {x: encoding(x) for x in cases} == cases
+
+
+@pytest.mark.parametrize("kind, n", [("hex", 40), ("letters", 240), ("base32", 32), ("base36", 32), ("base62", 24), ("base64", 24)])
+def test_p_values_hold_in_ordinary_writing_and_are_small_for_keys(kind, n):
+    """Runs drawn as ordinary writing is (by simulation) seldom get small p-values; random ones do."""
+    counts = dict(enumerate(short_runs(PROSE).tolist()))
+    writing = Writing.of(counts)
+    rng = np.random.default_rng(3)
+    alphabet = np.array(list(ALPHABETS[kind]))
+    weight = np.array([counts.get(ord(c.lower()), 0) + 1.0 for c in alphabet]) * [0.03 if c.isupper() or not c.isalpha() else 1.0 for c in alphabet]
+    plain = ["".join(rng.choice(alphabet, n, p=weight / weight.sum())) for _ in range(3000)]
+    # class changes of the simulation are its own, so that only the evenness of its characters is tried
+    p = np.array([p_value(x, kind, Writing({kind: float(((weight / weight.sum()) ** 2).sum())}, {kind: float(((weight / weight.sum()) ** 3).sum())}, 0.999)) for x in plain])
+    for bar in (0.05, 0.01, 0.001):
+        assert (p <= bar).mean() <= 1.6 * bar + 0.001
+    keys = ["".join(rng.choice(alphabet, n)) for _ in range(300)]
+    small = np.array([p_value(x, kind, writing) for x in keys])
+    assert np.median(small) < 1e-4 and (small == 1).mean() < 0.03
+    assert kind in ONE_CASE or (small < 1e-6).mean() > 0.9
+
+
+def test_cutoffs_are_benjamini_hochberg(spark):
+    rng = random.Random(9)
+    rows = [(k, int(-math.log10(rng.random() ** (6 if rng.random() < 0.2 else 1)) * STEPS)) for k in (10, 23) for _ in range(2000)] + [(31, 0)] * 5
+    got = cutoffs(spark.createDataFrame(rows, "class long, step long"))
+    for kind in (10, 23, 31):
+        p = sorted(10 ** (-s / STEPS) for k, s in rows if k == kind)
+        passed = [x for i, x in enumerate(p, 1) if x <= FALSE_DISCOVERIES * i / len(p)]
+        assert (max(passed) if passed else None) == (10 ** (-got[kind] / STEPS) if kind in got else None)
