@@ -1,8 +1,10 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Two states, clean and toxic. Token labels come from the labelled documents: in a toxic document the tokens whose document
-frequency points to toxicity are toxic, all others and all of a clean document are clean. Forward-backward marginals of every token of
-the whole text are aggregated to a document score by a logistic fit; tokens with a marginal of 0.5 or more are its spans.
+Two states, clean and toxic. A token's emission is a sum of weights of its features: the token itself, its first letters and its shape;
+features are hashed into tables of fixed size. Token labels come from the labelled documents: in a toxic document the tokens whose
+document frequency points to toxicity are toxic, those where it may do so have no label, and all others, as all of a clean document, are clean. The field
+is fitted by the likelihood of the labels, summed over the states of tokens without one. Forward-backward marginals of every token of the whole text are aggregated to a document
+score by a logistic fit; tokens with a marginal of 0.5 or more are its spans.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field as part
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,13 @@ SAMPLE_DOCS = 6000
 #: A token is labelled toxic if so many sampled toxic documents hold it and its smoothed log-odds, less so many
 #: standard errors, reach this bar.
 LEAST_DOCS, LOG_ODDS, ERRORS = 3, 1.0, 2.6
-#: Tokens on either side of a labelled one, and clean windows for each of them, that the field is trained on.
-CONTEXT, CLEAN_WINDOWS, MOST_WINDOWS = 6, 1, 10_000
-ROUNDS, STEP, RIDGE = 40, 0.5, 1e-3
+#: The field is fitted on windows: so many tokens on either side of a labelled one, and at most so many windows of toxic documents (drawn at random) and as
+#: many of clean ones, half of those around tokens that toxic documents share.
+CONTEXT, MOST_WINDOWS = 6, 10_000
+ROUNDS, STEP, RIDGE = 40, 0.3, 1.0
+#: Slots of the hashed features: tokens, first letters, shapes. Letters of a token that count as its first ones.
+TOKENS, HEADS, SHAPES = 1 << 16, 1 << 15, 1 << 5
+SLOTS, HEAD = TOKENS + HEADS + SHAPES, 6
 #: Marginals are computed in pieces of this many tokens side by side.
 PIECE = 64
 #: Text whose marginals are held at once; a longer text stands alone.
@@ -41,30 +47,59 @@ def token(word: bytes) -> bytes:
     return word.lower().strip(EDGES)
 
 
-class Weights(dict):
-    """Emission weight (toxic over clean) of a word as written."""
+def shape(word: bytes, plain: bytes) -> int:
+    """Case, digits, final mark and length class of a word as written."""
+    return (word.isupper() and len(plain) > 1) | word[:1].isupper() << 1 | (len(word.translate(None, b"0123456789")) < len(word)) << 2 | (word[-1:] in (b"!", b"?")) << 3 | (len(plain) > 4) << 4
 
-    def __init__(self, known: dict[bytes, float], other: float):
+
+def slots(word: bytes) -> tuple[int, int, int]:
+    """Slots of a word's features."""
+    plain = token(word)
+    return zlib.crc32(plain) % TOKENS, TOKENS + zlib.crc32(b"<" + plain[:HEAD]) % HEADS, TOKENS + HEADS + shape(word, plain)
+
+
+class Words(dict):
+    """Emission of each word as written; kept for words seen before."""
+
+    def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.known, self.other = known, other
+        self.weights = weights.tolist()
 
     def __missing__(self, word: bytes) -> float:
-        got = self.known.get(token(word), self.other)
+        a, b, c = slots(word)
+        got = self.weights[a] + self.weights[b] + self.weights[c]
         if len(self) >= CACHE_WORDS:
             self.clear()
         if len(word) <= 64:
             self[word] = got
         return got
 
+    def emissions(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions of all words of the texts end to end, and the number of words of each text."""
+        parts = [x.split() for x in texts]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter((self[w] for p in parts for w in p), float, int(lengths.sum())), lengths
+
+
+#: A Python worker's words, by the model they belong to, kept across its tasks.
+HELD: dict[int, Words] = {}
+
+
+def held_words(model: Field) -> Words:
+    key = zlib.crc32(model.weights.tobytes())
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = Words(model.weights)
+    return HELD[key]
+
 
 @dataclass
 class Field:
-    """start (2), steps (2 x 2): log potentials; weights: token -> emission; other: emission of all other tokens."""
+    """start (2), steps (2 x 2): log potentials; weights of the hashed features."""
 
     start: np.ndarray
     steps: np.ndarray
-    weights: dict[bytes, float]
-    other: float
+    weights: np.ndarray = part(default_factory=lambda: np.zeros(SLOTS))
     calibration: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
 
@@ -105,7 +140,7 @@ def marginals(model: Field, emission: np.ndarray, starts: np.ndarray, pairs: boo
     n = len(emission)
     if n == 0:
         return (np.zeros(0), np.zeros((2, 2)), np.zeros(2)) if pairs else np.zeros(0)
-    local = np.stack([np.ones(n), np.exp(np.clip(emission, -30, 30))], axis=1)
+    local = np.stack([np.ones(n), np.exp(np.clip(emission, -60, 60))], axis=1)
     local /= local.max(axis=1, keepdims=True)
     first = np.zeros(n, bool)
     first[starts] = True
@@ -138,8 +173,8 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [token(w) for w in text.split()]
 
 
-def label(texts: list[bytes], toxic: np.ndarray) -> set[bytes]:
-    """The toxic vocabulary: tokens of toxic documents whose log-odds reach the bar.
+def label(texts: list[bytes], toxic: np.ndarray) -> tuple[set[bytes], set[bytes]]:
+    """The toxic vocabulary, tokens of toxic documents whose log-odds reach the bar; and the tokens whose log-odds would but for the standard errors.
 
     Of copies with the same label (their least shingle is equal) only one counts as evidence.
     """
@@ -153,77 +188,72 @@ def label(texts: list[bytes], toxic: np.ndarray) -> set[bytes]:
             (hits if bad else rest).update(set(t))
     odds = lambda k, n: np.log((k + 0.5) / (max(n, k) - k + 0.5))
     sure = lambda w, k: odds(k, docs[1]) - odds(rest[w], docs[0]) - ERRORS * np.sqrt(1 / (k + 0.5) + 1 / (rest[w] + 0.5))
-    return {w for w, k in hits.items() if w and k >= LEAST_DOCS and sure(w, k) >= LOG_ODDS}
+    bad = {w for w, k in hits.items() if w and k >= LEAST_DOCS and sure(w, k) >= LOG_ODDS}
+    return bad, {w for w, k in hits.items() if w not in bad and odds(k, docs[1]) - odds(rest[w], docs[0]) >= LOG_ODDS}
 
 
-def train(texts: list[bytes], toxic: np.ndarray, seed: int = 1) -> Field:
-    """Fit the field by gradient ascent on labelled windows, then the document score on the sampled documents."""
-    bad = label(texts, toxic)
-    rng = np.random.default_rng(seed)
-    windows: list[tuple[list[bytes], list[bool]]] = []
-    clean = []
+def windows_of(texts: list[bytes], toxic: np.ndarray, bad: set[bytes], unsure: set[bytes], rng) -> list[tuple[list[bytes], list[int]]]:
+    """Windows with their labels: 1 toxic, 0 clean, -1 none."""
+    marked, hard, usual = [], [], []
     for text, is_toxic in zip(texts, toxic.tolist(), strict=True):
-        t = tokens_of(text)
-        at = [i for i, w in enumerate(t) if is_toxic and w in bad]
-        end = 0
+        words = text.split()
+        plain = [token(w) for w in words]
+        at, end = [i for i, w in enumerate(plain) if w in bad], 0
         for i in at:
             if i >= end:
                 a, end = max(end, i - CONTEXT), i + CONTEXT + 1
-                part = t[a:end]
-                windows.append((part, [w in bad for w in part]))
-        if t and not at:
-            i = int(rng.integers(len(t)))
-            clean.append(t[max(0, i - CONTEXT) : i + CONTEXT + 1])
-            clean += [t[max(0, j - CONTEXT) : j + CONTEXT + 1] for j, w in enumerate(t) if w in bad][:50]
-    rng.shuffle(clean)
-    windows = windows[:MOST_WINDOWS] + [(c, [False] * len(c)) for c in clean[: CLEAN_WINDOWS * max(len(windows), 100)]]
-    vocabulary = sorted(bad)
-    index = {w: i + 1 for i, w in enumerate(vocabulary)}  # 0: all other tokens
-    ids = np.array([index.get(w, 0) for part, _ in windows for w in part], np.int64)
-    gold = np.array([x for _, marks in windows for x in marks], float)
-    lengths = np.array([len(part) for part, _ in windows], np.int64)
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    model = Field(np.zeros(2), np.zeros((2, 2)), {}, 0.0)
-    weights = np.zeros(len(vocabulary) + 1)
-    if len(ids):
-        first = np.zeros(len(ids), bool)
-        first[starts] = True
-        state = gold.astype(int)
-        pairs = np.zeros((2, 2))
-        inner = ~first
-        np.add.at(pairs, (state[np.flatnonzero(inner) - 1], state[inner]), 1)
-        begun = np.bincount(state[first], minlength=2)
-        seen = np.maximum(np.bincount(ids, minlength=len(weights)), 1)
+                (marked if is_toxic else hard).append((words[a:end], [0 if not is_toxic else 1 if w in bad else -1 if w in unsure else 0 for w in plain[a:end]]))
+        if words and not is_toxic:
+            i = int(rng.integers(len(words)))
+            some = words[max(0, i - CONTEXT) : i + CONTEXT + 1]
+            usual.append((some, [0] * len(some)))
+    for some in (marked, hard, usual):
+        rng.shuffle(some)
+    marked = marked[:MOST_WINDOWS]
+    hard = hard[: max(len(marked), 100) // 2]
+    return marked + hard + usual[: max(len(marked), 100) - len(hard)]
+
+
+def train(texts: list[bytes], toxic: np.ndarray, seed: int = 1) -> Field:
+    """Fit the field by gradient ascent on labelled windows, then the document score on the sampled documents."""
+    windows = windows_of(texts, toxic, *label(texts, toxic), np.random.default_rng(seed))
+    model = Field(np.zeros(2), np.zeros((2, 2)))
+    lengths = np.array([len(words) for words, _ in windows], np.int64)
+    n = int(lengths.sum())
+    if n:
+        made = {w: slots(w) for words, _ in windows for w in words}
+        slot = np.array([made[w] for words, _ in windows for w in words], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        marks = np.array([m for _, some in windows for m in some])
+        held = np.where(marks == 1, 60.0, np.where(marks == 0, -60.0, 0.0))
+        seen = [np.full(SLOTS, 1e-6), np.full((2, 2), 1e-6), np.full(2, 1e-6)]
         for _ in range(ROUNDS):
-            p, expected, opened = marginals(model, weights[ids], starts, pairs=True)
-            weights += STEP * (np.bincount(ids, weights=gold - p, minlength=len(weights)) / seen * 4 - RIDGE * weights)
-            model.steps += STEP * ((pairs - expected) / len(ids) * 4 - RIDGE * model.steps)
-            model.start += STEP * ((begun - opened) / max(1, len(starts)) - RIDGE * model.start)
-    model.weights, model.other = dict(zip(vocabulary, weights[1:].tolist(), strict=True)), float(weights[0])
+            emission = model.weights[slot].sum(axis=1)
+            free, moves, opened = marginals(model, emission, starts, pairs=True)
+            told, told_moves, told_opened = marginals(model, emission + held, starts, pairs=True)
+            slopes = np.bincount(slot.ravel(), np.repeat(told - free, 3), SLOTS), told_moves - moves, told_opened - opened
+            for x, slope, squares in zip((model.weights, model.steps, model.start), slopes, seen, strict=True):
+                slope = slope - RIDGE * x
+                squares += slope * slope
+                x += STEP * slope / np.sqrt(squares)  # what has moved much takes shorter steps
     calibrate(model, features(model, texts), toxic)
     return model
 
 
-def emissions(words: Weights, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    parts = [x.split() for x in texts]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    return np.fromiter((words[w] for p in parts for w in p), float, int(lengths.sum())), lengths
-
-
-def features(model: Field, texts: list[bytes], words: Weights | None = None) -> np.ndarray:
+def features(model: Field, texts: list[bytes], words: Words | None = None) -> np.ndarray:
     """Per text: log of one plus the expected number of toxic tokens, and the largest marginal. Also see ``score``."""
     return aggregate(*token_marginals(model, texts, words))
 
 
-def token_marginals(model: Field, texts: list[bytes], words: Weights | None = None) -> tuple[np.ndarray, np.ndarray]:
+def token_marginals(model: Field, texts: list[bytes], words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all tokens end to end, and the number of tokens of each text; worked out for GROUP_BYTES of text at a time."""
-    words = Weights(model.weights, model.other) if words is None else words
+    words = held_words(model) if words is None else words
     parts, counts, group, size = [], [], [], 0
     for i, text in enumerate(texts):
         group.append(text)
         size += len(text)
         if size >= GROUP_BYTES or i == len(texts) - 1:
-            emission, lengths = emissions(words, group)
+            emission, lengths = words.emissions(group)
             starts = np.cumsum(lengths) - lengths
             parts.append(marginals(model, emission, starts[lengths > 0]))
             counts.append(lengths)
@@ -261,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     """Train on a sample of ``sample_docs`` labelled documents whose fold is not 0. Null labels and null ids are not used."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.where(fold("doc_id") != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).limit(sample_docs).orderBy("doc_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy("doc_id").collect()
     return train([(r.text or "").encode("utf-8", "surrogatepass") for r in rows], np.array([r.toxic == 1 for r in rows], bool))
 
 
@@ -277,7 +307,7 @@ def score_rows(docs: DataFrame, model: Field, keep: list[str]) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        words = Weights(model.weights, model.other)
+        words = held_words(model)
         for batch in batches:
             texts = text_bytes(batch.column("__text"))
             p, lengths = token_marginals(model, texts, words)

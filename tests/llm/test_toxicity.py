@@ -17,7 +17,7 @@ def brute_marginals(model, emission):
 
 def test_marginals_equal_brute_force():
     rng = np.random.default_rng(4)
-    model = Field(rng.normal(size=2), rng.normal(size=(2, 2)), {}, 0.0)
+    model = Field(rng.normal(size=2), rng.normal(size=(2, 2)))
     parts = [rng.normal(size=n) * 2 for n in (1, 7, 3, 10, 2)]
     starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
     got = marginals(model, np.concatenate(parts), starts)
@@ -26,7 +26,7 @@ def test_marginals_equal_brute_force():
 
 def test_long_texts_match_a_plain_recursion():
     rng = np.random.default_rng(5)
-    model = Field(rng.normal(size=2), rng.normal(size=(2, 2)), {}, 0.0)
+    model = Field(rng.normal(size=2), rng.normal(size=(2, 2)))
     e = rng.normal(size=9000) * 5
     local, steps = np.stack([np.ones(len(e)), np.exp(e)], axis=1), np.exp(model.steps)
     a, b = [np.exp(model.start) * local[0]], [np.ones(2)]
