@@ -21,16 +21,17 @@ FOUNDING_SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 24, 2, 4
 HASH_SPACE = float(1 << 53)
 
 
-def topology(shards: int, founding: int = FOUNDING_SHARDS) -> Topology:
-    """Regions of two racks of four shards up to ``founding``; each later shard opens a region of its own.
+def topology(shards: int, founding: int = FOUNDING_SHARDS, weights: dict[int, float] | None = None) -> Topology:
+    """Regions of two racks of four shards for the ``founding`` ones; each later shard opens a region of its own.
 
-    So one more shard beyond ``founding`` changes no weight of any other subtree: rows move only into it.
+    So one more shard changes no weight of any other subtree: rows move only into it. ``weights``: of shards whose weight isn't 1.
     """
-    per_region = RACKS_PER_REGION * SHARDS_PER_RACK
-    racks = [[(s, 1.0) for s in range(a, min(a + SHARDS_PER_RACK, shards, founding))] for a in range(0, min(shards, founding), SHARDS_PER_RACK)]
+    if shards < founding:
+        raise ValueError(f"{shards} shards are fewer than the {founding} that the tree was founded with; with a smaller tree rows would move between old shards")
+    weight = lambda s: (s, float((weights or {}).get(s, 1.0)))
+    racks = [[weight(s) for s in range(a, min(a + SHARDS_PER_RACK, founding))] for a in range(0, founding, SHARDS_PER_RACK)]
     regions = [racks[i : i + RACKS_PER_REGION] for i in range(0, len(racks), RACKS_PER_REGION)]
-    assert all(sum(map(len, r)) <= per_region for r in regions)
-    return regions + [[[(s, 1.0)]] for s in range(founding, shards)]
+    return regions + [[[weight(s)]] for s in range(founding, shards)]
 
 
 def draw(key: Column, names: list, weight: Column) -> Column:
@@ -67,15 +68,15 @@ def assign_shards(df: DataFrame, key: str, regions: Topology, out: str = "shard"
     return df.withColumn(out, at(nested(number), region, rack, F.col("__shard")).cast("int")).drop("__region", "__rack", "__shard")
 
 
-def shard_documents(docs: DataFrame, shards: int = FOUNDING_SHARDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = FOUNDING_SHARDS, founding: int = FOUNDING_SHARDS, weights: dict[int, float] | None = None) -> DataFrame:
     """Documents with their size, text checksum, shard, slot and the shard they get with one shard more.
 
-    A null text has size 8 and the checksum of an empty text; repeated rows get slots of their own.
+    A null text has size 8 and the checksum of an empty text; repeated rows get slots of their own. Fewer shards than ``founding`` are an error.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = assign_shards(rows, "doc_id", topology(shards))
-    rows = assign_shards(rows, "doc_id", topology(shards + 1), "grown_shard")
+    rows = assign_shards(rows, "doc_id", topology(shards, founding, weights))
+    rows = assign_shards(rows, "doc_id", topology(shards + 1, founding, weights), "grown_shard")
     numbered = gapless(rows, "shard", ["doc_id", "size", "text_crc32"], "slot")
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

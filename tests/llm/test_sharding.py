@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import pytest
+import xxhash
 from millrace.llm.sharding import assign_shards, shard_documents, topology
 
 
@@ -33,6 +35,40 @@ def test_weights_confine_movement(spark):
     assert [r.s for r in empty] == [0]
 
 
+def plain_shard(key, tree):
+    """The draws one by one; Spark's xxhash64 of several columns takes each hash as the next one's seed."""
+
+    def least(names, weights):
+        draws = []
+        for i, w in enumerate(weights):
+            h = 42
+            for x in [key, *names, i]:
+                h = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else x.to_bytes(4, "little"), h)
+            if w > 0:
+                draws.append((-math.log(((h >> 11) + 0.5) / (1 << 53)) / w, i))
+        return min(draws)[1]
+
+    region = least(["region"], [sum(w for k in r for _, w in k) for r in tree])
+    rack = least(["rack", region], [sum(w for _, w in k) for k in tree[region]])
+    return tree[region][rack][least(["shard", region, rack], [w for _, w in tree[region][rack]])][0]
+
+
+@pytest.mark.parametrize("weights", [None, {3: 2.5, 17: 0.25, 20: 0.0, 24: 3.0}])
+def test_shards_equal_plain_draws(sample, weights):
+    for r in shard_documents(sample, weights=weights).collect():
+        assert (r.shard, r.grown_shard) == tuple(plain_shard(str(r.doc_id), topology(n, weights=weights)) for n in (24, 25))
+
+
+def test_growth_moves_rows_only_into_new_shards(spark):
+    keys = spark.range(40_000).withColumnRenamed("id", "k")
+    for founding, sizes in ((24, (24, 25, 26)), (5, (5, 6, 7, 8))):
+        for n in sizes[:-1]:
+            both = assign_shards(assign_shards(keys, "k", topology(n, founding), "a"), "k", topology(n + 1, founding), "b").where("a <> b").select("b").distinct().collect()
+            assert [r.b for r in both] == [n]
+    with pytest.raises(ValueError):
+        topology(20)
+
+
 def test_edges(edge, docs_of):
     rows = shard_documents(edge).collect()
     assert len(rows) == 8 and len({r.shard for r in rows if r.doc_id == 3}) == 1
