@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from xxhash import xxh64_intdigest
 
 from .common import field, map_arrow, table, text_bytes
@@ -197,7 +198,7 @@ def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     n = chars // block_chars + 1
     for b in range(n):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).select("item_id", "text").collect()
-        yield spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))]))
+        yield spark.sparkContext.broadcast(Benchmark([(r.item_id, r.text) for r in sorted(rows, key=lambda r: (r.item_id is None, r.item_id if r.item_id is not None else 0, r.text or ""))]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -207,6 +208,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int =
     shingle is one shingle. Repeated rows are reported each.
     """
     schema = T.StructType([field(docs, "doc_id"), field(benchmark, "item_id"), *T._parse_datatype_string("similarity double, start long, end long")])
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = None
     for shared in blocks(benchmark, block_chars):
 
@@ -219,7 +221,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int =
                     if found:
                         spans = [m.span() for m in WORD.finditer(text)]
                         rows += [(doc, bench.ids[i], alike, len(text[: spans[a][0]].decode()), len(text[: spans[b][1]].decode())) for i, alike, a, b in found]
-                kinds = (batch.schema.field(0).type, pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                kinds = (batch.schema.field(0).type, item_type, pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=schema.fieldNames())
 
         part = map_arrow(docs.select("doc_id", "text"), run, schema)

@@ -226,9 +226,10 @@ def thumbnails(stored: list[bytes]) -> list[list[np.ndarray]]:
     alike: dict[tuple, list[tuple[int, int]]] = {}
     for i, pictures in enumerate(parsed):
         for j, p in enumerate(pictures):
-            alike.setdefault((tuple(sorted(p.huffman.items())), tuple(p.components), tuple(sorted(p.tables.items()))), []).append((i, j))
+            longest = p.restart or -(-p.width // 8) * -(-p.height // 8)  # streams of like length go side by side, so that one without restart markers doesn't stretch all
+            alike.setdefault((tuple(sorted(p.huffman.items())), tuple(p.components), tuple(sorted(p.tables.items())), longest.bit_length()), []).append((i, j))
     out: list[list] = [[None] * len(x) for x in parsed]
-    for (huffman, components, tables), where in alike.items():
+    for (huffman, components, tables, _), where in alike.items():
         lookups, chosen = {k: Lookup(v) for k, v in huffman}, dict(tables)
         single = len(components) == 1
         pattern = [(n, lookups[chosen[c][0]], lookups[0x10 | chosen[c][1]]) for n, (c, h, v, _) in enumerate(components) for _ in range(1 if single else h * v)]
