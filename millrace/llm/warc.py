@@ -11,12 +11,13 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path, table
+from .common import map_arrow, materialise, new_path, table
 
 #: Payload bytes after which a task starts its next archive.
 ARCHIVE_BYTES = 256 << 20
@@ -39,21 +40,28 @@ def safe(value: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record_name(page_id) -> str:
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(name: str | None) -> str | None:
+    return None if name is None or name == "<urn:page>" else unquote(name[len("<urn:page:") : -1])
+
+
+def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """One WARC record: a response with its payload, or a revisit that names the response's record and carries none."""
-    name = lambda i: f"<urn:page:{'none' if i is None else i}>"
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {name(page_id)}",
+        f"WARC-Record-ID: {record_name(page_id)}",
         f"WARC-Date: {WARC_DATE}",
-        f"WARC-Target-URI: {safe(url) if url else 'urn:page:' + str(page_id)}",
+        f"WARC-Target-URI: {safe(url) if url else record_name(page_id)[1:-1]}",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http;msgtype=response",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(refers_to)}"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -102,10 +110,10 @@ def fields(raw: bytes) -> tuple[dict[str, str], bytes]:
 def with_first(pages: DataFrame) -> DataFrame:
     """page_id, url, payload and ``first``: the least page_id of the records with this payload where several have it.
 
-    Only digests that repeat are joined; Spark broadcasts their table where its file size is under the session's threshold.
+    Equal payloads are those of equal SHA-1 and length. Only digests that repeat are joined; Spark broadcasts their table where its file size is under the session's threshold.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    digest = F.sha1("payload")
+    digest = F.concat_ws(":", F.sha1("payload"), F.length("payload"))
     repeated = rows.groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     return rows.withColumn("of", digest).join(materialise(repeated, "repeated"), F.col("of") == F.col("digest"), "left").select("page_id", "url", "payload", "first")
 
@@ -137,8 +145,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         if out is not None:
             yield close()
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 512)
-    return materialise(rows.mapInArrow(run, "path string, records long"), "archives")
+    return materialise(map_arrow(rows, run, "path string, records long"), "archives")
 
 
 def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
@@ -169,8 +176,8 @@ def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
     return materialise(archives.repartition(parts).mapInArrow(run, "path string, index string, records long"), "normalised")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of normalised archives, read member by member at the index's offsets; a response's digest is made anew."""
+def read_archives(archives: DataFrame, id_type: str = "long") -> DataFrame:
+    """Every record of normalised archives, read member by member at the index's offsets; a response's digest is made anew. Ids come back as ``id_type``."""
 
     def run(batches):
         for batch in batches:
@@ -179,7 +186,6 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 with system.open_input_stream(files(index)[1], compression=None) as stream:
                     entries = [x.split(" ") for x in stream.read().decode().splitlines()]
                 rows: list[tuple] = []
-                number = lambda x: None if x is None or x.endswith(":none>") else int(x.rpartition(":")[2][:-1])
                 with system.open_input_file(local) as file:
                     for at, size, name in entries:
                         head, block = fields(zlib.decompress(file.read_at(int(size), int(at)), 31))
@@ -188,22 +194,23 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         if head["warc-type"] == "response":
                             payload = block.partition(b"\r\n\r\n")[2]
                             length, digest = len(payload), payload_digest(payload)
-                        rows.append((number(name), length, digest, head["warc-type"], number(head.get("warc-refers-to"))))
+                        rows.append((page_of(name), length, digest, head["warc-type"], page_of(head.get("warc-refers-to"))))
                         if len(rows) == 10_000:
                             yield made(rows)
                             rows = []
                 yield made(rows)
 
-    kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    kinds = [("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
 
     def made(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     parts = max(1, min(archives.count(), int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return archives.repartition(parts).mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = archives.repartition(parts).mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return rows.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
-def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, keep: bool = False) -> DataFrame:
     """Write pages (page_id, url, html) to archives, normalise them, and return what reading them back gives.
 
     A null html is an empty payload; equal payloads, empty ones too, have one response, the record with the least
@@ -212,11 +219,11 @@ def archive_pages(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataF
     folder = new_path(pages.sparkSession, "warc")
     whole = write_archives(with_first(pages), folder, archive_bytes)
     members = normalise(whole)
-    hadoop = pages.sparkSession._jvm.org.apache.hadoop.fs
-    for r in whole.toLocalIterator():  # a row a file; the whole-file streams are not needed any more
-        path = hadoop.Path(r.path)
-        path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).delete(path, False)
-    return read_archives(members)
+    read = materialise(read_archives(members, pages.schema["page_id"].dataType.simpleString()), "records")
+    if not keep:
+        path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    return read
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
