@@ -1,7 +1,6 @@
 """The stages against plain Python on a small table; the model's own decisions are taken from its operator."""
 
 import re
-import zlib
 
 import corpus_pipeline
 from millrace.llm.decontaminate import find_contamination
@@ -28,8 +27,8 @@ def test_stages(spark, sample):
     before, after = seen["simhash_near_dedup"]
     grams = {d: shingles(t) for d, t in before.items()}
     alike = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
-    assert all(alike(a, b) < 0.85 for a in after for b in after if a < b)
-    assert all(any(alike(d, e) >= 0.74 for e in before if e != d) for d in set(before) - set(after))
+    assert all(alike(a, b) < 0.8 for a in after for b in after if a < b)
+    assert all(any(alike(d, e) >= 0.8 for e in before if e != d) for d in set(before) - set(after))
     before, after = seen["benchmark_decontamination"]
     kept_before = sample.where(sample.doc_id.isin(list(before)))
     assert set(before) - set(after) == {r.doc_id for r in find_contamination(kept_before, bench).collect()} != set()
@@ -41,11 +40,10 @@ def test_stages(spark, sample):
             assert text == before[d]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r.doc_id for r in pieces} == set(after)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, pieces))
 
 
-def test_run_is_the_same_and_empty_tables_pass(spark, sample):
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() and zlib.crc32(str(sorted(out.columns)).encode())
+def test_empty_tables_pass(spark, sample):
     empty = sample.where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0
