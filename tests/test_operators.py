@@ -70,6 +70,17 @@ def test_statement_end_to_end(spark):
     ]
 
 
+def test_codes_dashes_and_groups_of_a_statement(spark):
+    text = "Gelir Tablosu\n31 Aralık 2024\n31 Aralık 2023\nI. ESAS FAALİYET GELİRLERİ\n100\n90\n1.1 Faiz\n60\n50\n1.1.1 Bireysel\n40\n30\n- Konut\n20\n10\nDiğer\n- Araç\n15\n14\n2.1 Ücret\n17\n16\n2.1.1.1 Alt\n21\n22\nFon\n31\n32\n- Son\n33\n34"
+    kept = ST.classify_pages(spark.createDataFrame([(1, 0, text)], "doc_id int, page_no int, text string"))
+    got = ST.statement_lines(ST.clean_lines(kept), ST.periods(kept)).where("period_code = '202312'").orderBy("line_order").collect()
+    first = "I. ESAS FAALİYET GELİRLERİ"
+    assert [(r.section, r.parent, r.label, r.depth, r.amount and int(r.amount)) for r in got] == [
+        (first, None, first, 0, 90_000), (first, first, "1.1 Faiz", 1, 50_000), (first, "1.1 Faiz", "1.1.1 Bireysel", 2, 30_000), (first, "1.1 Faiz", "- Konut", 3, 10_000), (first, "1.1 Faiz", "Diğer", 2, None),
+        (first, "Diğer", "- Araç", 3, 14_000), (first, "2.1 Ücret", "2.1 Ücret", 1, 16_000), (first, "2.1 Ücret", "2.1.1.1 Alt", 3, 22_000), (first, "2.1 Ücret", "Fon", 2, 32_000), (first, "2.1 Ücret", "- Son", 3, 34_000),
+    ]
+
+
 def test_chunks_keep_the_text(spark):
     words = " ".join(f"w{i}" for i in range(400))
     for size, overlap in ((100, 20), (500, 50)):
@@ -95,6 +106,56 @@ def test_communities_of_two_cliques(spark):
     assert len({labels[f"a{i}"] for i in range(6)}) == 1 and len({labels[f"b{i}"] for i in range(6)}) == 1 and labels["a1"] != labels["b1"]
 
 
+def partitions(items):
+    """All ways to put items into groups, as a list of group numbers."""
+    ways = [[0]]
+    for _ in items[1:]:
+        ways = [[*w, g] for w in ways for g in range(max(w) + 2)]
+    return ways
+
+
+def plain_modularity(edges, group):
+    m = len(edges)
+    degree, inside = {}, 0
+    for a, b in edges:
+        inside += group[a] == group[b]
+        for x in (a, b):
+            degree[group[x]] = degree.get(group[x], 0) + 1
+    return inside / m - sum((k / (2 * m)) ** 2 for k in degree.values())
+
+
+@pytest.mark.parametrize("edges, slack", [([(a, b) for t in (0, 3, 6) for a, b in ((t, t + 1), (t, t + 2), (t + 1, t + 2), (t, (t + 4) % 9))], 1e-9), ([(0, 1), (0, 2), (0, 3), (1, 4), (2, 5), (3, 6), (4, 5), (6, 7), (5, 7), (1, 6)], 0.05)])
+def test_communities_reach_the_best_modularity(spark, edges, slack):
+    n = sorted({x for e in edges for x in e})
+    best = max(plain_modularity(edges, dict(zip(n, w))) for w in partitions(n))
+    frame = spark.createDataFrame([(a, b, "r") for a, b in edges], "src int, dst int, relation string")
+    labels = G.communities(spark.createDataFrame([(x,) for x in n], "id int"), frame).cache()
+    found = plain_modularity(edges, {r.id: r.community for r in labels.collect()})
+    assert best - slack <= found <= best + 1e-9
+    assert abs(G.modularity(frame, labels).first()[0] - found) < 1e-9
+    assert {r.community for r in labels.collect()} == {min(r.id for r in labels.collect() if r.community == c) for c in {r.community for r in labels.collect()}}
+
+
+def test_members_and_contexts(spark):
+    labels = spark.createDataFrame([(5, 1), (3, 1), (4, 2)], "id int, community int")
+    edges = spark.createDataFrame([(3, 5, "knows"), (3, 4, "knows")], "src int, dst int, relation string")
+    assert rows(G.members(labels), "community", "position") == [(1, 0, 3), (1, 1, 5), (2, 0, 4)]
+    context = G.community_context(edges, labels)
+    assert rows(context, "community", "kind", "line") == [(1, "member", "3"), (1, "member", "5"), (1, "relation", "3 - knows - 5"), (2, "member", "4")]
+    assert rows(G.context_text(context, 1)) == [(1, "3 - knows - 5", "3, 5")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from millrace.operators import durable
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"master": "spark://x", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        durable.shared_dir(Cluster())
+
+
 def test_triples_skip_strays(spark):
     payload = '{"nodes": [{"id": "A", "type": "x"}, "stray", {"name": "B"}, {"type": "y"}], "edges": [{"source": "B", "target": "A"}, {"source": "C"}, 5]}'
     t = G.triples(spark.createDataFrame([(1, payload), (2, "bad"), (3, '{"nodes": [{"id": "A", "type": "z"}]}')], "seq int, payload string"), "payload")
