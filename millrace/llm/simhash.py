@@ -18,7 +18,7 @@ from xxhash import xxh64_intdigest
 
 from .common import field, map_arrow, materialise, table, text_bytes
 from .components import components
-from .similar import band_keys, minima, similar_sets, sketch
+from .similar import band_keys, minima, packed, similar_sets, sketch
 
 BITS, SEED = 64, 42
 WIDTH, RADIUS = 4, 4
@@ -243,7 +243,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SI
             least = [minima(s) if len(s) else None for s in sets]
             columns = [
                 batch.column("doc_id"), batch.column("__row"), pa.array([signed(xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0 for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()),
-                pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())), pa.array([b"" if x is None else sketch(x) for x in least], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())), pa.array([b"" if x is None else sketch(x) for x in least], pa.binary()), pa.array([packed(s) for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__row", "node", "n", "keys", "sketch", "hashes"])
 
