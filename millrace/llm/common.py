@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.durable import durable, new_path, shared_dir  # noqa: F401
+from ..sources.feeds import spread
 
 #: Rows of one Arrow batch handed to Python: a batch of long texts stays within a few tens of MB.
 BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
