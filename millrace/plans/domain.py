@@ -15,6 +15,7 @@ from ..operators import statements as ST
 from ..operators import trees as TR
 from ..operators.durable import durable, new_path
 from ..sources import feeds as S
+from ..sources.feeds import spread
 from ..streaming import streams as M
 from .registry import query
 from .relational import items
@@ -27,7 +28,7 @@ def report_pages(t):
     """A balance sheet for each of the orders: a title page line, sections, and the order's lines as items with two amounts."""
     money = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
     line = F.concat(F.lit("1.1."), F.col("l_linenumber").cast("string"), F.lit(" Kalem\n"), money(F.col("l_extendedprice")), F.lit("\n("), money(F.col("l_tax") * 100 + 1), F.lit(")"))
-    body = t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
+    body = spread(t.lineitem).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
     head = "Bilanço\nBin TL\n31 Aralık 2024\n31 Aralık 2023\nVARLIKLAR\nDipnot\n1.1 Dönen Varlıklar:\n"
     return body.select("doc_id", F.lit(0).alias("page_no"), F.concat(F.lit(head), F.col("body")).alias("text"))
 

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.feeds import spread, table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Tables of long texts.
+TEXTS = ("documents", "pages")
+
+
 class Tables:
     """The tables of a folder, read when they are asked for."""
 
@@ -17,7 +23,8 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        found = table(self.spark, self.folder, name)
+        return spread(found) if name in TEXTS else found
 
 
 def query(name: str, sql: str | None = None):

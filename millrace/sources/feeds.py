@@ -19,6 +19,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than the session has cores, dealt out over all of them; any other stays as it is.
+
+    A small table of long texts is often one file, and all work on the texts would be one task's. ``df`` is a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int, **options) -> DataFrame:
     """S1 for a relational source, read in ``parts`` ranges of a numeric column."""
     return spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
