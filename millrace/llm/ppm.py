@@ -5,9 +5,11 @@ the longest known context; if it never followed that context, the escape probabi
 symbols over the count; each known symbol gives up half a count) is paid and the next shorter context tries, with all symbols that the longer one knew
 excluded. Below order 0 the remaining symbols are equally likely. The end of the text is a symbol of its own.
 
-Counting is a distributed aggregation of byte n-grams over all training texts. A context stays in the trie if it makes up the
-share NODE_SHARE of all positions, at every size of the corpus; so each order has at most 1 / NODE_SHARE contexts, and
-the trie's size is bounded. What a symbol then lacks in long contexts it gets from shorter ones.
+Counting is a distributed aggregation of byte n-grams over all training texts, and no context is left out: the trie, a table in the shared folder,
+grows with the corpus. N-grams are dealt by the three symbols ahead of the last one, so that a task holds an n-gram with all its suffixes of four
+symbols or more, and its context's other symbols. The most frequent contexts, down to a count that leaves at most MOST_KEPT n-grams, are broadcast
+together with all n-grams of up to three symbols, and score a text where it is read. Positions with a rarer or unknown
+context are passed on as (row, n-gram, times) to the tasks that hold the trie's parts. Where a position is scored does not change its score.
 The unigram base needs exact counts of every word: frequent words (at most 1 / WORD_SHARE of them) are broadcast,
 all others are looked up by a shuffled join.
 """
@@ -15,55 +17,35 @@ all others are looked up by a shuffled join.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import field, fold, map_arrow, materialise, table, text_bytes
 
-ORDER = 5
-SYMBOL_BITS, EDGE = 9, 256  # the edge symbol stands before a text and after it
-SYMBOLS = 257
-NODE_SHARE = 1e-6
+ORDER = 6
+#: The edge symbol stands before a text and after it; UTF-8 has no such byte.
+EDGE, SYMBOLS = 0xFF, 256
+#: Orders below this are kept whole by every task: at most 256^3 n-grams, whatever the corpus.
+LOW = 3
+#: N-grams of the higher orders that are broadcast, with their contexts about 16 bytes each.
+MOST_KEPT = 8_000_000
 WORD_SHARE = 1e-6
 END = "\n"  # the token after a text's last word; no word holds white space
-#: Entries that a task gathers before it passes them on.
-GATHER = 1_000_000
+#: Entries that a task gathers before it passes them on, and positions that it sorts at once.
+GATHER, WINDOW = 3_000_000, 1 << 21
 HELD_OUT = 1
-EMPTY = np.uint64((1 << 64) - 1)
-
-
-def codes(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of order + 1 symbols that ends at each byte and at the end of each text, and each text's number of them."""
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    edge = np.zeros(order + 1, np.uint8).tobytes()
-    data = np.frombuffer(edge.join([b"", *texts, b""])[1:], np.uint8).astype(np.uint64)
-    # each text has ``order`` edges before it and one after it; the latter's place is the next text's first edge
-    at = np.cumsum(np.concatenate(([0], lengths + order)))
-    for i in range(order + 1):
-        where = at[:-1] + i - 1
-        data[where[where >= 0]] = EDGE
-    data[at[1:] - 1] = EDGE
-    data = data[: at[-1]]
-    gram = np.zeros(len(data) - order, np.uint64)
-    for j in range(order + 1):
-        gram = gram << np.uint64(SYMBOL_BITS) | data[j : len(data) - order + j]
-    inside = np.ones(len(gram), bool)
-    for i in range(order):
-        where = at[1:-1] + i - order
-        inside[where] = False
-    return gram[inside], lengths
+DOC_BITS = 8
 
 
 def batches_of(texts: list[bytes], most: int = 1 << 20):
-    """Slices of the list with about ``most`` bytes each; a longer text stands alone."""
+    """Slices of the list with about ``most`` bytes and at most 256 texts each; a longer text stands alone."""
     start = size = 0
     for i, x in enumerate(texts):
-        if size and size + len(x) > most:
+        if i - start == 1 << DOC_BITS or size and size + len(x) > most:
             yield start, i
             start, size = i, 0
         size += len(x) + 1
@@ -71,150 +53,236 @@ def batches_of(texts: list[bytes], most: int = 1 << 20):
         yield start, len(texts)
 
 
-def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(n, first)
+def keys(texts: list[bytes], window: int = WINDOW):
+    """Ascending arrays of (n-gram of ORDER + 1 symbols << 8 | place of the text), one for each byte and the end of each of at most 256 texts."""
+    pad = bytes([EDGE]) * ORDER
+    data = np.frombuffer(pad.join([b"", *texts, b""]) + bytes(8), np.uint8)
+    blocks = np.fromiter(map(len, texts), np.int64, len(texts)) + ORDER  # windows that start in a text's pad or in the text; the last ORDER - 1 are none of its n-grams
+    ends = np.cumsum(blocks)
+    for a in range(0, int(ends[-1]), window):
+        b = min(a + window, int(ends[-1]))
+        wide = np.ndarray((b - a,), ">u8", data, a, (1,)).astype(np.uint64)
+        key = wide >> np.uint64(8 * (7 - ORDER)) << np.uint64(DOC_BITS)
+        first, last = np.searchsorted(ends, [a, b - 1], side="right")
+        key |= np.repeat(np.arange(first, last + 1, dtype=np.uint64), np.diff(np.concatenate(([a], ends[first:last], [b]))))
+        dropped = 0
+        for i in range(1, ORDER):
+            at = ends[(ends - i >= a) & (ends - i < b)] - i - a
+            key[at] = np.uint64((1 << 64) - 1)
+            dropped += len(at)
+        key.sort()
+        yield key[: len(key) - dropped]
+
+
+def first_of(x: np.ndarray) -> np.ndarray:
+    """Places where a new value starts in an ascending array."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+def lengths_of(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
+def summed(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    first = first_of(x)
+    return x[first], np.add.reduceat(n, first) if len(x) else n
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n) of all texts; each task sums before it passes anything on."""
+    """(gram, n) of all texts, an n-gram once or more: each task sums before it passes anything on."""
 
     def run(batches):
-        held, sums = [], None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out():
+        def out(sums):
             return pa.RecordBatch.from_arrays([pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=["gram", "n"])
 
         for batch in batches:
             texts = [x.lower() for x in text_bytes(batch.column(0))]
             for a, b in batches_of(texts):
-                gram = np.sort(codes(texts[a:b])[0])
-                first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-                held.append((gram[first], np.diff(np.concatenate((first, [len(gram)])))))
+                for key in keys(texts[a:b]):
+                    gram = key >> np.uint64(DOC_BITS)
+                    first = first_of(gram)
+                    held.append((gram[first], lengths_of(first, len(gram))))
                 if sum(len(k) for k, _ in held) > GATHER:
-                    sums = summed(*map(np.concatenate, zip(*held, strict=True)))
-                    held = [sums]
-                    if len(sums[0]) > GATHER:
-                        yield out()
+                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) > GATHER // 2:
+                        yield out(held[0])
                         held = []
         if held:
-            sums = summed(*map(np.concatenate, zip(*held, strict=True)))
-            yield out()
+            yield out(summed(*map(np.concatenate, zip(*held, strict=True))))
+
+    return map_arrow(docs.select("text"), run, "gram long, n long")
 
-    return map_arrow(docs.select("text"), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def trie_counts(grams: DataFrame, share: float = NODE_SHARE) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(n-grams, counts) of each order 0 ... ORDER whose context makes up ``share`` of all positions; sorted by n-gram."""
-    total = grams.agg(F.sum("n")).first()[0]
-    if not total:
-        return []
-    counts, parts = grams.select(F.col("gram").alias("g"), "n"), []
-    for order in range(ORDER, -1, -1):  # each order's counts come from those of the order above
-        if order < ORDER:
-            counts = materialise(counts.groupBy(F.col("g").bitwiseAND(F.lit((1 << SYMBOL_BITS * (order + 1)) - 1)).alias("g")).agg(F.sum("n").alias("n")), f"grams{order}")
-        nodes = counts.groupBy(F.shiftright("g", SYMBOL_BITS).alias("c")).agg(F.sum("n").alias("t"), F.collect_list(F.struct("g", "n")).alias("next"))  # at most 257 each
-        parts.append(nodes.where(F.col("t") >= total * share).select(F.lit(order).alias("k"), F.explode("next").alias("x")).select("k", "x.g", "x.n"))
-    kept = reduce(DataFrame.unionAll, parts).toArrow()
-    k, g, n = (kept.column(i).to_numpy() for i in range(3))
-    out = []
-    for order in range(ORDER + 1):
-        mine = np.argsort(g[k == order], kind="stable")
-        out.append((g[k == order][mine].astype(np.uint64), n[k == order][mine].astype(np.int64)))
+
+def by_context(gram: Column) -> Column:
+    """What deals n-grams to tasks: the LOW symbols ahead of the last one."""
+    return F.xxhash64(F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1)))
+
+
+def trie_table(docs: DataFrame) -> DataFrame:
+    """(k, g, n, t): count n of each n-gram g of the orders LOW ... ORDER, and count t of its context."""
+
+    def run(batches):
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        if not parts:
+            return
+        gram, n = summed(*map(np.concatenate, zip(*parts, strict=True)))
+        for order in range(ORDER, LOW - 1, -1):
+            if order < ORDER:
+                gram, n = summed(gram & np.uint64((1 << 8 * (order + 1)) - 1), n)
+            first = first_of(gram >> np.uint64(8))
+            t = np.repeat(np.add.reduceat(n, first), lengths_of(first, len(gram)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), order, np.int32)), pa.array(gram.view(np.int64)), pa.array(n), pa.array(t)], names=["k", "g", "n", "t"])
+
+    return map_arrow(gram_counts(docs).repartition(by_context(F.col("gram"))), run, "k int, g long, n long, t long")
+
+
+def low_orders(trie: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, counts) of the orders below LOW."""
+    got = trie.where(F.col("k") == LOW).groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * LOW) - 1)).alias("g")).agg(F.sum("n").alias("n")).toArrow()
+    out = [summed(got.column("g").to_numpy().view(np.uint64), got.column("n").to_numpy())]
+    for order in range(LOW - 1, 0, -1):
+        out.insert(0, summed(out[0][0] & np.uint64((1 << 8 * order) - 1), out[0][1]))
     return out
 
 
-class Places:
-    """Positions of 64-bit keys: a hash table with linear probing, looked up for many keys at once."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2.5).bit_length())
-        home = self.home(keys)
-        order = np.argsort(home, kind="stable")
-        steps = np.arange(len(keys))
-        slot = np.maximum.accumulate(home[order] - steps) + steps
-        size = (1 << self.bits) + (int(slot[-1]) - (1 << self.bits) + 1 if len(keys) and slot[-1] >= 1 << self.bits else 0) + 1
-        self.keys, self.at = np.full(size, EMPTY), np.full(size, -1, np.int64)
-        self.keys[slot], self.at[slot] = keys[order], order
-
-    def home(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each key, -1 where it is not known."""
-        slot = self.home(keys)
-        out = self.at[slot]
-        found = self.keys[slot]
-        open_ = np.flatnonzero((found != keys) & (found != EMPTY))
-        out[found == EMPTY] = -1
-        while len(open_):
-            slot[open_] += 1
-            found = self.keys[slot[open_]]
-            out[open_] = np.where(found == keys[open_], self.at[slot[open_]], -1)
-            open_ = open_[(found != keys[open_]) & (found != EMPTY)]
-        return out
+def frequent_orders(trie: DataFrame, most: int = MOST_KEPT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, counts) of the orders from LOW on, of the most frequent contexts: all whose count is at least the power of two that leaves ``most`` n-grams."""
+    sizes = {r.e: r.n for r in trie.groupBy(F.floor(F.log2("t")).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 63 rows at most
+    least = 0
+    while sum(n for e, n in sizes.items() if e >= least) > most:
+        least += 1
+    kept = trie.where(F.floor(F.log2("t")) >= least)
+    return [by_gram(kept.where(F.col("k") == order).select("g", "n").toArrow()) for order in range(LOW, ORDER + 1)]
+
+
+def by_gram(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    g, n = rows.column("g").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(g)
+    return g[order], narrow(n[order])
+
+
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in four bytes where they fit."""
+    return n.astype(np.int32) if len(n) and n.max() < 1 << 31 else n
+
+
+def split_orders(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    k = rows.column("k").to_numpy()
+    return [by_gram(rows.filter(pa.array(k == order))) for order in range(LOW, ORDER + 1)]
+
+
+def find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in an ascending array, -1 where they are not in it."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
 
 
 class Trie:
-    """Counts of the n-grams and totals of the contexts of each order; log10 probabilities of texts."""
+    """N-grams and contexts of the orders 0 ... ORDER with their counts. Each context has all its symbols and all its suffixes."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.grams, self.counts, self.nodes, self.totals, self.kinds, self.excluded = [], [], [], [], [], []
         for order, (gram, n) in enumerate(counts):
-            context = gram >> np.uint64(SYMBOL_BITS)
-            first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            if order:  # what the shorter context counts for the symbols known here
-                shorter = gram & np.uint64((1 << SYMBOL_BITS * order) - 1)
-                known, n_known = counts[order - 1]
-                self.excluded.append(np.add.reduceat(n_known[np.searchsorted(known, shorter)], first).astype(float) if len(gram) else np.zeros(0))
-            else:
-                self.excluded.append(np.zeros(len(first)))
-            self.grams.append(Places(gram))
-            self.counts.append(n.astype(float))
-            self.nodes.append(Places(context[first]))
-            self.totals.append(np.add.reduceat(n, first).astype(float) if len(gram) else np.zeros(0))
-            self.kinds.append(np.diff(np.concatenate((first, [len(gram)]))).astype(float) if len(gram) else np.zeros(0))
-        if counts:
-            top, n = counts[-1]
-            node = self.nodes[-1].find(top >> np.uint64(SYMBOL_BITS))
-            self.direct = np.log10((n - 0.5) / self.totals[-1][node])
-
-    def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 P(last symbol | those before it) of each n-gram of order + 1 symbols."""
-        out = np.zeros(len(gram))
-        top = len(self.grams) - 1
+            context = gram >> np.uint64(8)
+            first = first_of(context)
+            shorter = gram & np.uint64((1 << 8 * order) - 1)
+            # what the shorter context counts for the symbols known here
+            before = counts[order - 1][1][np.searchsorted(counts[order - 1][0], shorter)] if order and len(gram) else np.zeros(len(gram), np.int64)
+            self.grams.append(gram)
+            self.counts.append(n)
+            self.nodes.append(context[first])
+            self.totals.append(narrow(np.add.reduceat(n, first, dtype=np.int64)) if len(gram) else n)
+            self.kinds.append(lengths_of(first, len(gram)).astype(np.int16))
+            self.excluded.append(narrow(np.add.reduceat(before, first, dtype=np.int64)) if len(gram) else before)
+
+    def log10(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P(last symbol | those before it) of ascending n-grams of ORDER + 1 symbols, and whether the whole context is known."""
+        out, known_context = np.zeros(len(gram)), np.zeros(len(gram), bool)
         live = np.arange(len(gram))
-        if top >= 0:
-            at = self.grams[top].find(gram)
-            hit = at >= 0
-            out[hit] = self.direct[at[hit]]
-            live = live[~hit]
-        gone, kinds = np.zeros(len(live)), np.zeros(len(live))  # counts and symbols excluded so far
-        for order in range(top, -1, -1):
-            code = gram[live] & np.uint64((1 << SYMBOL_BITS * (order + 1)) - 1)
-            node = self.nodes[order].find(code >> np.uint64(SYMBOL_BITS))
+        gone, kinds = np.zeros(len(gram)), np.zeros(len(gram))  # counts and symbols excluded so far
+        for order in range(len(self.grams) - 1, -1, -1):
+            if not len(self.grams[order]) or not len(live):
+                continue
+            code = gram[live] & np.uint64((1 << 8 * (order + 1)) - 1)
+            node = find(self.nodes[order], code >> np.uint64(8))
             known = node >= 0
-            total = np.where(known, self.totals[order][node] - gone, 0) if len(self.totals[order]) else np.zeros(len(live))
-            fresh = np.where(known, self.kinds[order][node] - kinds, 0) if len(self.kinds[order]) else np.zeros(len(live))
-            at = self.grams[order].find(code)
+            if order == ORDER:
+                known_context = known
+            total = np.where(known, self.totals[order][node] - gone, 0)
+            fresh = np.where(known, self.kinds[order][node] - kinds, 0)
+            at = find(self.grams[order], code)
             hit = at >= 0
             out[live[hit]] += np.log10((self.counts[order][at[hit]] - 0.5) / total[hit])
             escape = ~hit & (fresh > 0)
             out[live[escape]] += np.log10(0.5 * fresh[escape] / total[escape])
-            gone = np.where(known, self.excluded[order][node], gone)[~hit] if len(self.excluded[order]) else gone[~hit]
-            kinds = np.where(known, self.kinds[order][node], kinds)[~hit] if len(self.kinds[order]) else kinds[~hit]
+            gone = np.where(known, self.excluded[order][node], gone)[~hit]
+            kinds = np.where(known, self.kinds[order][node], kinds)[~hit]
             live = live[~hit]
         out[live] -= np.log10(SYMBOLS - kinds)
-        return out
+        return out, known_context
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
+    def scores(self, texts: list[bytes], defer: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """log10 probability of each text; with ``defer`` without the positions whose context is not known. Those come as (place of the text, n-gram, times), by text."""
+        out, rest = np.zeros(len(texts)), []
         for a, b in batches_of(texts):
-            gram, lengths = codes(texts[a:b])
-            out[a:b] = np.add.reduceat(self.log10(gram), np.cumsum(lengths) - lengths)
-        return out
+            for key in keys(texts[a:b]):
+                gram = key >> np.uint64(DOC_BITS)
+                first = first_of(gram)
+                p, known = self.log10(gram[first])
+                if defer:
+                    p[~known] = 0.0
+                    late = key[np.repeat(~known, lengths_of(first, len(gram)))]
+                    at = first_of(late)
+                    rest.append((late[at], lengths_of(at, len(late)), np.full(len(at), a)))
+                each = np.repeat(p, lengths_of(first, len(gram)))
+                out[a:b] += np.bincount((key & np.uint64(255)).astype(np.int64), weights=each, minlength=b - a)
+        if not rest:
+            return out, [np.zeros(0, np.int64)] * 3
+        late, times, base = map(np.concatenate, zip(*rest, strict=True))
+        text = (late & np.uint64(255)).astype(np.int64) + base
+        order = np.argsort(text, kind="stable")
+        return out, [text[order], (late >> np.uint64(DOC_BITS)).view(np.int64)[order], times[order]]
+
+
+def settle(left: DataFrame, trie: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], most: int = 200_000) -> DataFrame:
+    """(row, x) of positions passed on (row, g, n): their log10 probabilities times n, summed over the part of a row that a task holds.
+
+    In each task the trie's n-grams come first and stay; the positions stream past them.
+    """
+    shared = left.sparkSession.sparkContext.broadcast(low)
+    both = trie.select(F.lit(0).alias("side"), "k", "g", "n", F.lit(0).cast("long").alias("row")).union(left.select(F.lit(1), F.lit(0), "g", F.col("n").cast("long"), "row"))
+
+    def run(batches):
+        model, trie, held = [], None, []
+
+        def out():
+            g, n, row = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("g", "n", "row"))
+            distinct, at = np.unique(g.view(np.uint64), return_inverse=True)
+            rows, of = np.unique(row, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(of, weights=trie.log10(distinct)[0][at] * n))], names=["row", "x"])
+
+        for batch in batches:
+            cut = int(np.searchsorted(batch.column("side").to_numpy(), 1))
+            if cut:
+                model.append(batch.slice(0, cut))
+            if cut < batch.num_rows:
+                if trie is None:
+                    trie = Trie([*shared.value, *split_orders(pa.Table.from_batches(model, batch.schema))])
+                    model = []
+                held.append(batch.slice(cut))
+                if sum(b.num_rows for b in held) >= most:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    return map_arrow(both.repartition(by_context(F.col("g"))).sortWithinPartitions("side"), run, "row long, x double")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -245,7 +313,10 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     are scored each. Without training texts a word's base is 1 and the bytes are equally likely.
     """
     spark = docs.sparkSession
-    trie = Trie(trie_counts(materialise(gram_counts(training), "grams")))
+    table_ = materialise(trie_table(training), "trie")
+    low = low_orders(table_)
+    positions = int(low[0][1].sum())
+    trie = Trie([*low, *frequent_orders(table_)]) if positions else Trie([])
     words = materialise(word_counts(training).where("n > 0"), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     below = np.log10(total + 0.5 * (kinds + 1))
@@ -261,7 +332,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
         end = frequent.get(END.encode())
         for batch in batches:
             texts = [x.lower() for x in text_bytes(batch.column(2))]
-            rows, base, tokens, known, rare = [], [], [], [], []
+            base, tokens, known, rare = [], [], [], []
             for text in texts:
                 counts = Counter(text.split())
                 n = sum(counts.values())
@@ -273,19 +344,27 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
                 tokens.append(n + 1)
                 known.append(sum(k for _, k in usual) + (end is not None))
                 rare.append(seldom)
-                rows.append(row)
-                row += 1
-            columns = [batch.column(0), batch.column(1), pa.array(rows, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(trie.scores(texts), pa.float64()), pa.array(rare, rare_type)]
+            scores, (of, gram, times) = trie.scores(texts, defer=positions > 0)
+            offsets = np.searchsorted(of, np.arange(len(texts) + 1)).astype(np.int32)
+            late = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(gram), pa.array(times.astype(np.int32))], ["g", "n"]))
+            rows = np.arange(row, row + len(texts))
+            row += len(texts)
+            columns = [batch.column(0), batch.column(1), pa.array(rows), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(rare, rare_type), late]
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
-    schema = T.StructType([field(docs, "doc_id"), *T._parse_datatype_string("held_out boolean, row long, n_tokens long, known long, base double, score double, rare array<struct<token:string,n:bigint>>")])
+    schema = T.StructType([field(docs, "doc_id"), *T._parse_datatype_string("held_out boolean, row long, n_tokens long, known long, base double, near double, rare array<struct<token:string,n:bigint>>, late array<struct<g:bigint,n:int>>")])
     rows = materialise(map_arrow(docs.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "text"), run, schema), "scored")
     looked_up = rows.select("row", F.explode("rare").alias("x")).select("row", F.col("x.token").alias("token"), F.col("x.n").alias("k")).join(words, "token", "left")
     each = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) - F.lit(float(below))
-    rest = looked_up.groupBy("row").agg(F.sum(each * F.col("k")).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("also"))
-    return rows.drop("rare").join(rest, "row", "left").select(
+    none = F.lit(0.0)
+    rest = looked_up.select("row", (each * F.col("k")).alias("base"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("also"), none.alias("score"))
+    if positions:
+        far = settle(rows.select("row", F.explode("late").alias("x")).select("row", "x.g", "x.n"), table_, low)
+        rest = rest.union(far.select("row", none, F.lit(0).cast("long"), "x"))
+    rest = rest.groupBy("row").agg(F.sum("base").alias("more"), F.sum("also").alias("also"), F.sum("score").alias("far"))
+    return rows.drop("rare", "late").join(rest, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", none)).alias("base_score"), (F.col("near") + F.coalesce("far", none)).alias("score"),
     )
 
 

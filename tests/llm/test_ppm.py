@@ -4,20 +4,19 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from millrace.llm import ppm
 from millrace.llm.common import fold
-from millrace.llm.ppm import EDGE, ORDER, SYMBOLS, Places, Trie, codes, gram_counts, score_documents, trie_counts
+from millrace.llm.ppm import EDGE, LOW, ORDER, SYMBOLS, Trie, batches_of, frequent_orders, keys, low_orders, score_documents, trie_table
 
 
-def plain_trie(texts, share):
+def plain_trie(texts, least, low):
     counts = defaultdict(Counter)
-    n = 0
     for t in texts:
         symbols = [EDGE] * ORDER + list(t) + [EDGE]
         for i in range(ORDER, len(symbols)):
-            n += 1
             for k in range(ORDER + 1):
                 counts[tuple(symbols[i - k : i])][symbols[i]] += 1
-    return {c: x for c, x in counts.items() if sum(x.values()) >= share * n}
+    return {c: x for c, x in counts.items() if len(c) < low or sum(x.values()) >= least}
 
 
 def plain_probability(trie, context, symbol):
@@ -36,32 +35,46 @@ def plain_probability(trie, context, symbol):
     return p / (SYMBOLS - len(excluded))
 
 
-@pytest.mark.parametrize("share", [0.0, 0.004])
-def test_scores_equal_the_definition(spark, docs_of, share):
-    train = [b"the cat sat on the mat", b"the hat", b"", b"abracadabra abracadabra", "é über".encode(), b"the cat"]
-    held = [b"the cat sat", b"zebra", b"", b"abracat \xc3\xa9\xff", b"the mat on the cat"]
-    frame = docs_of([(i, t.decode()) for i, t in enumerate(train)])
-    trie, plain = Trie(trie_counts(gram_counts(frame), share)), plain_trie(train, share)
-    for text, got in zip(held, trie.scores(held), strict=True):
-        symbols = [EDGE] * ORDER + list(text) + [EDGE]
-        want = sum(math.log10(plain_probability(plain, symbols[i - ORDER : i], symbols[i])) for i in range(ORDER, len(symbols)))
-        assert math.isclose(got, want, rel_tol=1e-9)
-    for text in held:  # all symbols after a context add up to one
-        symbols = [EDGE] * ORDER + list(text)
-        context = 0
-        for s in symbols[-ORDER:]:
-            context = context << 9 | s
-        grams = np.array([context << 9 | s for s in range(SYMBOLS)], np.uint64)
-        assert math.isclose(float((10 ** trie.log10(grams)).sum()), 1.0, rel_tol=1e-9)
-
-
-def test_codes_and_places():
-    gram, lengths = codes([b"ab", b"", b"c"])
-    assert lengths.tolist() == [3, 1, 2] and len(gram) == 6
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 54, 50_000).astype(np.uint64))
-    assert (Places(keys).find(keys) == np.arange(len(keys))).all()
-    assert (Places(keys[::2]).find(keys[1::2]) == -1).all()
+TRAIN = [b"the cat sat on the mat", b"the hat", b"", b"abracadabra abracadabra", "é über".encode(), b"the cat"]
+HELD = [b"the cat sat", b"zebra", b"", b"abracat \xc3\xa9\xfe", b"the mat on the cat"]
+
+
+def plain_score(trie, text):
+    symbols = [EDGE] * ORDER + list(text) + [EDGE]
+    return sum(math.log10(plain_probability(trie, symbols[i - ORDER : i], symbols[i])) for i in range(ORDER, len(symbols)))
+
+
+@pytest.mark.parametrize("most, least", [(1000, 1), (150, 2)])
+def test_scores_equal_the_definition(spark, docs_of, most, least):
+    table = trie_table(docs_of([(i, t.decode()) for i, t in enumerate(TRAIN)])).cache()
+    kept = frequent_orders(table, most)
+    trie, plain = Trie([*low_orders(table), *kept]), plain_trie(TRAIN, least, LOW)
+    assert sum(len(g) for g, _ in kept) == sum(len(x) for c, x in plain.items() if len(c) >= LOW) <= most
+    for text, got in zip(HELD, trie.scores(HELD)[0], strict=True):
+        assert math.isclose(got, plain_score(plain, text), rel_tol=1e-9)
+    for text in HELD:  # all symbols after a context add up to one
+        context = int.from_bytes(([EDGE] * ORDER + list(text))[-ORDER:], "big")
+        grams = np.array([context << 8 | s for s in range(SYMBOLS)], np.uint64)
+        assert math.isclose(float((10 ** trie.log10(grams)[0]).sum()), 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("most", [1000, 150, 3])
+def test_a_score_is_the_same_wherever_its_positions_are_scored(spark, docs_of, monkeypatch, most):
+    monkeypatch.setattr(ppm.frequent_orders, "__defaults__", (most,))
+    held = [t for t in HELD if b"\xfe" not in t] + ["über abra éé".encode()]
+    train, frame = docs_of([(i, t.decode()) for i, t in enumerate(TRAIN)]), docs_of([(i, t.decode()) for i, t in enumerate(held)])
+    plain = plain_trie(TRAIN, 1, LOW)
+    got = {r.doc_id: r.score for r in score_documents(frame, train).collect()}
+    assert all(math.isclose(got[i], plain_score(plain, t), rel_tol=1e-9) for i, t in enumerate(held))
+
+
+def test_positions():
+    texts = [b"ab", b"", b"c", b"abcdefghij" * 3]
+    want = sorted(((p + t + b"\xff")[i : i + ORDER + 1], d) for p in [b"\xff" * ORDER] for d, t in enumerate(texts) for i in range(len(t) + 1))
+    for window in (1 << 21, 7):
+        got = np.concatenate(list(keys(texts, window)))
+        assert sorted((int(x >> 8).to_bytes(ORDER + 1, "big"), int(x & 255)) for x in got.tolist()) == want
+    assert [b - a for a, b in batches_of([b""] * 600)] == [256, 256, 88] and list(batches_of([])) == []
 
 
 def check_base(docs, rows):
