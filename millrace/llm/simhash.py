@@ -22,11 +22,8 @@ from .similar import band_keys, minima, packed, similar_sets, sketch
 
 BITS, SEED = 64, 42
 WIDTH, RADIUS = 4, 4
-#: For ``similar_links`` alone, which the pipeline does not use: each half of the fingerprint has covering masks of radius 4, so that every pair within 9
-#: bits meets (one half has at most 4); pairs that meet are looked at up to LOOSE bits, and decided by a SimHash of WIDE bits.
-SIMILARITY, LOOSE, WIDE, NEIGHBOURS = 0.8, 13, 1024, 1
-#: How far below the bar the estimate may fall: about one standard error at 0.8.
-SLACK = 0.015
+#: Jaccard similarity of near-duplicates in the pipeline, over shingles of so many words.
+SIMILARITY, DEDUP_WIDTH = 0.8, 5
 #: Members of a bucket that one task compares with each other; larger buckets go by shared midpoints.
 BUCKET = 16_384
 
@@ -66,22 +63,6 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     return majority(shingle_hashes(text, width))
 
 
-def wide_fingerprint(hashes: np.ndarray, bits: int = WIDE) -> bytes:
-    """SimHash of ``bits`` bits: the shingle hashes mixed anew for every 64 of them."""
-    out = []
-    for k in range(bits // BITS):
-        x = hashes ^ np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & (2**64 - 1))
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        out.append(majority((x ^ x >> np.uint64(31)).astype("<u8")).to_bytes(8, "little"))
-    return b"".join(out)
-
-
-def widest_distance(similarity: float, bits: int = WIDE) -> int:
-    """Differing bits that a Jaccard similarity lets expect: the angle between two sets of equal size."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long)."""
     names = ["doc_id"]
@@ -163,73 +144,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return rows.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def half_masks(radius: int = RADIUS) -> list[int]:
-    """Covering masks of each half of the bits; a pair within 2 * radius + 1 bits is within ``radius`` in one half."""
-    half = BITS // 2
-    top = (1 << (radius + 1)) - 1
-    vector = [i % top + 1 for i in range(half)]
-    masks = [sum(1 << i for i in range(half) if (vector[i] & v).bit_count() & 1) for v in range(1, top + 1)]
-    return [m << shift for shift in (0, half) for m in masks]
-
-
-def neighbours(new: np.ndarray, old: np.ndarray, loose: int, most: int) -> list[tuple[int, int]]:
-    """(x, y) of each value x of ``new`` and its ``most`` closest y < x (unsigned) in ``old`` within ``loose`` bits."""
-    out = []
-    new, old = np.unique(new.astype(np.int64).view(np.uint64)), np.unique(old.astype(np.int64).view(np.uint64))
-    for i in range(0, len(new), 256):
-        part = new[i : i + 256]
-        apart = np.bitwise_count(part[:, None] ^ old[None, :]).astype(np.int64)
-        apart[old[None, :] >= part[:, None]] = BITS + 1
-        k = min(most, len(old))
-        near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-        row, col = np.nonzero(np.take_along_axis(apart, near, axis=1) <= loose)
-        out += zip(part[row].view(np.int64).tolist(), old[near[row, col]].view(np.int64).tolist(), strict=True)
-    return out
-
-
-def similar_links(wides: DataFrame, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) of fingerprints whose texts are alike: candidates from covering buckets, decided by the wide SimHash.
-
-    An estimate that misses links; near-duplicates by similarity are found by ``similar.similar_sets``.
-
-    ``wides``: distinct fp with wide. In a bucket each member proposes its closest earlier member. Buckets beyond
-    ``bucket`` members are cut into blocks by a hash, and every pair of blocks is a task's work.
-    """
-    masks = half_masks()
-    keyed = wides.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.t", "x.key")
-    sizes = materialise(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = keyed.join(sizes, ["t", "key"])
-    blocks = F.ceil(F.col("n") / F.lit(bucket)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks.cast("long")).cast("int")
-    # a row goes to each pair of blocks that holds its own: as (own, j) to be looked up and as (j, own) to look
-    dealt = members.select("t", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    sides = dealt.select("t", "key", F.col("own").alias("i"), F.col("other").alias("j"), F.struct(F.lit(True).alias("new"), "fp").alias("x")).union(dealt.select("t", "key", F.col("other").alias("i"), F.col("own").alias("j"), F.struct(F.lit(False).alias("new"), "fp").alias("x")))
-
-    def run(batches):
-        for batch in batches:
-            found = [e for new, old in zip(batch.column(0), batch.column(1), strict=True) if len(new) and len(old) for e in neighbours(np.array(new.values), np.array(old.values), LOOSE, NEIGHBOURS)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    grouped = sides.groupBy("t", "key", "i", "j").agg(F.collect_list(F.when(F.col("x.new"), F.col("x.fp"))).alias("new"), F.collect_list(F.when(~F.col("x.new"), F.col("x.fp"))).alias("old"))
-    pairs = map_arrow(grouped.select("new", "old"), run, "a long, b long").distinct()
-    bar = widest_distance(similarity - SLACK)
-    left, right = (wides.select(F.col("fp").alias(c), F.col("wide").alias(f"wide_{c}")) for c in ("a", "b"))
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "wide_a", "wide_b"), alike(bar), "a long, b long")
-
-
-def alike(bar: int):
-    """Keeps the pairs whose wide fingerprints differ in at most ``bar`` bits."""
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= bar)
-            yield batch.select(["a", "b"]).filter(keep)
-
-    return run
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = DEDUP_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id, null ids last.
 
     Near-duplicates: sets of shingles of ``width`` words with a Jaccard similarity of ``similarity`` or more, verified on the

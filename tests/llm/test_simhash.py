@@ -1,9 +1,8 @@
 import itertools
 import random
 
-import numpy as np
 import xxhash
-from millrace.llm.simhash import covering_masks, drop_near_duplicates, links, near_duplicates, signed, similar_links, wide_fingerprint
+from millrace.llm.simhash import covering_masks, drop_near_duplicates, links, near_duplicates, signed
 
 
 def brute_fingerprint(text):
@@ -75,17 +74,8 @@ def test_dedup_follows_similarity(docs_of):
         rows += [(g * 2, " ".join(words)), (g * 2 + 1, " ".join(changed).upper())]
         groups.append(g % 4)
     kept = {r.doc_id for r in drop_near_duplicates(docs_of(rows)).collect()}
-    gone = [sum(g * 2 + 1 not in kept for g in range(60) if groups[g] == k) for k in range(4)]
-    assert all(g * 2 in kept for g in range(60)) and gone[0] == 15 and gone[1] >= 13 and gone[2] >= 8 and gone[3] <= 5
-
-
-def test_blocks_of_crowded_buckets_find_the_same(spark):
-    rng, draw = random.Random(4), np.random.default_rng(4)
-    centre = draw.integers(0, 1 << 63, 300)
-    wides = spark.createDataFrame([(int(c), bytearray(wide_fingerprint(np.arange(50, dtype="<u8")))) for c in {int(centre[0]) ^ sum(1 << b for b in rng.sample(range(62), rng.randint(0, 3))) for _ in range(200)}], "fp long, wide binary")
-    one = roots([r.fp for r in wides.collect()], [(r.a, r.b) for r in similar_links(wides).collect()])
-    many = roots([r.fp for r in wides.collect()], [(r.a, r.b) for r in similar_links(wides, bucket=20).collect()])
-    assert len(set(one.values())) == len(set(many.values())) == 1
+    assert kept == exact_groups({i: t.lower() for i, t in rows})
+    assert all(g * 2 in kept for g in range(60)) and not any(g * 2 + 1 in kept for g in range(60) if groups[g] < 2)
 
 
 def test_edges(edge, docs_of):
