@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from millrace.operators import changes as C
 from millrace.operators import graph as G
+from millrace.operators import joins as J
 from millrace.operators import pages as L
 from millrace.operators import position as W
 from millrace.operators import retrieval as R
@@ -98,6 +99,32 @@ def test_fusion_ties_and_single_lists(spark):
     assert got["y"] == pytest.approx(1 / 61 + 1 / 60) and got["x"] == pytest.approx(1 / 60) and got["z"] == pytest.approx(1 / 61)
 
 
+def test_queries_in_blocks_score_the_same(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id int, embedding array<double>")
+    asked = vectors.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    want = sorted((i, q, i * q + 1.0) for i in range(20) for q in range(0, 20, 2))
+    for block in (64, 3):
+        monkeypatch.setattr(J, "QUERY_BLOCK", block)
+        assert sorted(rows(J.score_pairs(asked, vectors, dot).select("id", "query_id", "score"))) == want
+    assert J.score_pairs(asked.where("false"), vectors, dot).count() == 0
+
+
+def test_positions_within_groups(spark):
+    df = spark.createDataFrame([(g, i * 7 % 11) for g in ("a", None, "b") for i in range(11)], "g string, x int")
+    got = rows(W.rank_zero(df, ["g"], [F.col("x").desc()]).select("g", "x", "rank"))
+    assert sorted(got, key=str) == sorted(((g, x, 10 - x) for g in ("a", None, "b") for x in range(11)), key=str)
+
+
+def test_small_scans_are_dealt_out(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert one.rdd.getNumPartitions() == 1 and S.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert rows(S.spread(one), "id") == [(i,) for i in range(100)]
+    many = spark.range(0, 100, 1, 50)
+    assert S.spread(many) is many
+
+
 def test_communities_of_two_cliques(spark):
     clique = lambda p: [(f"{p}{i}", f"{p}{j}", "r") for i in range(6) for j in range(i + 1, 6)]
     edges = spark.createDataFrame([*clique("a"), *clique("b"), ("a0", "b0", "r")], "src string, dst string, relation string")
