@@ -7,8 +7,8 @@ excluded. Below order 0 the remaining symbols are equally likely. The end of the
 
 Counting is a distributed aggregation of byte n-grams over all training texts, and no context is left out: the trie, a table in the shared folder,
 grows with the corpus. N-grams are dealt by the three symbols ahead of the last one, so that a task holds an n-gram with all its suffixes of four
-symbols or more, and its context's other symbols. The most frequent contexts, down to a count that leaves at most MOST_KEPT n-grams, are broadcast
-together with all n-grams of up to three symbols, and score a text where it is read. Positions with a rarer or unknown
+symbols or more, and its context's other symbols. The most frequent contexts, down to a count that leaves at most MOST_KEPT n-grams, are written as files of their own that
+each Python worker loads once, together with all n-grams of up to three symbols, and score a text where it is read. Positions with a rarer or unknown
 context are passed on as (row, n-gram, times) to the tasks that hold the trie's parts. Where a position is scored does not change its score.
 The unigram base needs exact counts of every word: frequent words (at most 1 / WORD_SHARE of them) are broadcast,
 all others are looked up by a shuffled join.
@@ -20,18 +20,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, fold, map_arrow, materialise, table, text_bytes
+from .common import field, files, fold, map_arrow, materialise, new_path, table, text_bytes
 
 ORDER = 6
 #: The edge symbol stands before a text and after it; UTF-8 has no such byte.
 EDGE, SYMBOLS = 0xFF, 256
 #: Orders below this are kept whole by every task: at most 256^3 n-grams, whatever the corpus.
 LOW = 3
-#: N-grams of the higher orders that are broadcast, with their contexts about 16 bytes each.
+#: N-grams of the higher orders that a worker holds, with their contexts about 16 bytes each.
 MOST_KEPT = 8_000_000
 WORD_SHARE = 1e-6
 END = "\n"  # the token after a text's last word; no word holds white space
@@ -149,14 +150,38 @@ def low_orders(trie: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def frequent_orders(trie: DataFrame, most: int = MOST_KEPT) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(n-grams, counts) of the orders from LOW on, of the most frequent contexts: all whose count is at least the power of two that leaves ``most`` n-grams."""
+def frequent_orders(trie: DataFrame, most: int = MOST_KEPT) -> list[str]:
+    """Folders with (g, n) of the orders from LOW on, of the most frequent contexts: all whose count is at least the power of two that leaves ``most`` n-grams."""
     sizes = {r.e: r.n for r in trie.groupBy(F.floor(F.log2("t")).alias("e")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 63 rows at most
     least = 0
     while sum(n for e, n in sizes.items() if e >= least) > most:
         least += 1
-    kept = trie.where(F.floor(F.log2("t")) >= least)
-    return [by_gram(kept.where(F.col("k") == order).select("g", "n").toArrow()) for order in range(LOW, ORDER + 1)]
+    out = []
+    for order in range(LOW, ORDER + 1):
+        out.append(new_path(trie.sparkSession, f"order{order}"))
+        trie.where((F.col("k") == order) & (F.floor(F.log2("t")) >= least)).select("g", "n").write.parquet(out[-1])
+    return out
+
+
+def load_orders(folders: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, counts) of each folder."""
+    out = []
+    for folder in folders:
+        system, path = files(folder)
+        out.append(by_gram(pq.read_table(path, columns=["g", "n"], filesystem=system)))
+    return out
+
+
+#: A Python worker's trie, by its folders, kept across its tasks.
+HELD: dict[tuple[str, ...], Trie] = {}
+
+
+def held_trie(low: list[tuple[np.ndarray, np.ndarray]], folders: list[str]) -> Trie:
+    key = tuple(folders)
+    if key not in HELD:
+        HELD.clear()
+        HELD[key] = Trie([*low, *load_orders(folders)] if low else [])
+    return HELD[key]
 
 
 def by_gram(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -316,18 +341,19 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     table_ = materialise(trie_table(training), "trie")
     low = low_orders(table_)
     positions = int(low[0][1].sum())
-    trie = Trie([*low, *frequent_orders(table_)]) if positions else Trie([])
+    folders = frequent_orders(table_) if positions else []
     words = materialise(word_counts(training).where("n > 0"), "words")
     total, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     below = np.log10(total + 0.5 * (kinds + 1))
     frequent = {r.token.encode(): r.n for r in words.where(F.col("n") >= max(1.0, total * WORD_SHARE)).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((trie, {w: (float(np.log10(n + 0.5) - below)) for w, n in frequent.items()}))
+    shared = spark.sparkContext.broadcast((low if positions else [], {w: (float(np.log10(n + 0.5) - below)) for w, n in frequent.items()}))
     rare_type = pa.list_(pa.struct([("token", pa.string()), ("n", pa.int64())]))
 
     def run(batches):
         from pyspark import TaskContext
 
-        trie, frequent = shared.value
+        low, frequent = shared.value
+        trie = held_trie(low, folders)
         row = TaskContext.get().partitionId() << 40
         end = frequent.get(END.encode())
         for batch in batches:

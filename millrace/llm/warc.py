@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, new_path, table
+from .common import files, map_arrow, materialise, new_path, table
 
 #: Payload bytes after which a task starts its next archive.
 ARCHIVE_BYTES = 256 << 20
@@ -25,12 +25,6 @@ CHUNK = 1 << 20
 WARC_DATE = "2000-01-01T00:00:00Z"
 
 
-def files(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}") if not uri.startswith("file:/") or uri.startswith("file://") else fs.FileSystem.from_uri("file://" + uri[5:])
-
-
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from millrace.llm import ppm
 from millrace.llm.common import fold
-from millrace.llm.ppm import EDGE, LOW, ORDER, SYMBOLS, Trie, batches_of, frequent_orders, keys, low_orders, score_documents, trie_table
+from millrace.llm.ppm import EDGE, LOW, ORDER, SYMBOLS, Trie, batches_of, frequent_orders, keys, load_orders, low_orders, score_documents, trie_table
 
 
 def plain_trie(texts, least, low):
@@ -47,7 +47,7 @@ def plain_score(trie, text):
 @pytest.mark.parametrize("most, least", [(1000, 1), (150, 2)])
 def test_scores_equal_the_definition(spark, docs_of, most, least):
     table = trie_table(docs_of([(i, t.decode()) for i, t in enumerate(TRAIN)])).cache()
-    kept = frequent_orders(table, most)
+    kept = load_orders(frequent_orders(table, most))
     trie, plain = Trie([*low_orders(table), *kept]), plain_trie(TRAIN, least, LOW)
     assert sum(len(g) for g, _ in kept) == sum(len(x) for c, x in plain.items() if len(c) >= LOW) <= most
     for text, got in zip(HELD, trie.scores(HELD)[0], strict=True):
