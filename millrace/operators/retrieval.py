@@ -90,7 +90,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     asked = wanted.join(idf, "word")
     hits = words.select("id", "len", F.explode("w").alias("word")).join(asked, "word").groupBy("query_id", "id", "len", "word", "times", "idf", "mean").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    parts = F.array_sort(F.collect_list(part))  # one for each word of the query; added in order, so that equal texts have equal scores
+    return hits.groupBy("query_id", "id").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def semantic(vectors: DataFrame, queries: DataFrame, n: int = 4) -> DataFrame:
