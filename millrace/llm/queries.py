@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from .alignment import op12_token_alignment
 from .decontaminate import op7_decontamination
 from .jpeg import op8_media_jpeg
 from .langid import op5_language_id
 from .packing import op6_packing
 from .ppm import op1_ppm_scoring
+from .quality import op13_quality_forest
 from .secrets import op2_secret_scans
 from .sharding import op4_sharding
 from .simhash import op3_simhash_near_dedup
 from .toxicity import op9_toxicity
 from .warc import op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_secret_scans, op3_simhash_near_dedup, op4_sharding, op5_language_id, op6_packing, op7_decontamination, op8_media_jpeg, op9_toxicity, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ppm_scoring, op2_secret_scans, op3_simhash_near_dedup, op4_sharding, op5_language_id, op6_packing, op7_decontamination, op8_media_jpeg, op9_toxicity, op10_warc, op12_token_alignment, op13_quality_forest)}
 #: The other operators hash (XXH64, CRC-32), tokenise, compress or learn, which SQL doesn't express; tests/llm compares
 #: them with brute-force versions or by held-out accuracy.
 ORACLE: dict[str, str] = {
