@@ -80,13 +80,14 @@ def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(slots=True)
 class Aligned:
-    """One run: numbers of tokens and groups, codes of its links, its groups as text; None as text where the bytes don't match."""
+    """One run: numbers of tokens, groups and links, codes of its links (as bytes), its groups as text; None as text where the bytes don't match."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    codes: np.ndarray
-    groups: bytes | None
+    n_a: int = 0
+    n_b: int = 0
+    n_groups: int = 0
+    n_links: int = 0
+    codes: bytes = b""
+    groups: bytes | None = None
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -112,6 +113,8 @@ class Pair:
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         # no piece of B may go on behind a blank, else runs would not be independent
         self.runs_apart = not any(re.search("[^▁]▁", p) for p in pieces)
+        self.length_a, self.length_b = np.zeros(max(self.bytes_a, default=0) + 1, np.int64), np.fromiter(map(len, self.bytes_b), np.int64, len(self.bytes_b))
+        self.length_a[list(self.bytes_a)] = list(map(len, self.bytes_a.values()))
         self.known: dict[str, Aligned] = {}
         self.older: dict[str, Aligned] = {}
 
@@ -121,31 +124,32 @@ class Pair:
         return CUT.split(full) if self.runs_apart else [full]
 
     def aligned(self, runs: list[str]) -> list[Aligned]:
-        """New runs: encoded together, and aligned as one stream of bytes."""
-        of_a = [x.ids for x in self.a.encode_batch_fast(runs, add_special_tokens=False)]
-        of_b = self.b.encode([x[1:] for x in runs], num_threads=1)
-        parts_a, parts_b = ([[of[i] for i in ids] for ids in every] for of, every in ((self.bytes_a, of_a), (self.bytes_b, of_b)))
-        wanted = [run.encode("utf-8", "surrogatepass") for run in runs]
-        right = [k for k, w in enumerate(wanted) if b"".join(parts_a[k]) == w == b"".join(parts_b[k])]
-        out = [Aligned(0, 0, 0, np.zeros(0, np.int64), None) for _ in runs]
-        if not right:
-            return out
-        ids_a, ids_b = ([i for k in right for i in every[k]] for every in (of_a, of_b))
-        end_a, end_b = (np.cumsum([len(x) for k in right for x in every[k]]) for every in (parts_a, parts_b))
+        """New runs: encoded as one text, and aligned as one stream of bytes. Each begins with a blank and no run of them but the last ends with one, so
+        none changes another; where the whole isn't given back byte for byte, each run is looked at by itself."""
+        whole = "".join(runs)
+        wanted = whole.encode("utf-8", "surrogatepass")
+        ids_a, ids_b = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids, self.b.encode(whole[1:], num_threads=1)
+        if b"".join([self.bytes_a.get(i, b"") for i in ids_a]) != wanted or b"".join([self.bytes_b[i] for i in ids_b]) != wanted:
+            return [Aligned()] if len(runs) == 1 else [x for run in runs for x in self.aligned([run])]
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        end_a, end_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        last = np.cumsum([len(run.encode("utf-8", "surrogatepass")) for run in runs]) if len(runs) > 1 else end_a[-1:]
+        # tokens and links of each run; both sides end where it ends, so nothing crosses it
+        cut_a, cut_b = np.searchsorted(end_a, last, side="right"), np.searchsorted(end_b, last, side="right")
         upto_a, upto_b = align(end_a.tolist(), end_b.tolist())
         at_a, at_b = links(end_a, end_b)
-        codes = np.array(ids_a, np.int64)[at_a] << LINK_BITS | np.array(ids_b, np.int64)[at_b]
+        codes = ids_a[at_a] << LINK_BITS | ids_b[at_b]
+        groups, cut = np.searchsorted(upto_a, cut_a, side="right").tolist(), np.searchsorted(at_a, cut_a, side="left")
+        list_a, list_b = ids_a.tolist(), ids_b.tolist()
         texts, i, j = [], 0, 0
         for p, q in zip(upto_a, upto_b, strict=True):
-            one = p - i == 1 == q - j
-            texts.append(f"{ids_a[i]}|{ids_b[j]}" if one else f"{','.join(map(str, ids_a[i:p]))}|{','.join(map(str, ids_b[j:q]))}")
+            texts.append(f"{list_a[i]}|{list_b[j]}" if p - i == 1 == q - j else f"{','.join(map(str, list_a[i:p]))}|{','.join(map(str, list_b[j:q]))}")
             i, j = p, q
-        # where each run ends among the groups and the links; both sides end there, so nothing crosses it
-        n_a, n_b = (np.array([len(every[k]) for k in right]) for every in (of_a, of_b))
-        last_a = np.cumsum(n_a)
-        groups, cut = np.searchsorted(upto_a, last_a, side="right").tolist(), np.searchsorted(at_a, last_a, side="left").tolist()
-        for k, a, b, g, h, x, y in zip(right, n_a.tolist(), n_b.tolist(), [0, *groups[:-1]], groups, [0, *cut[:-1]], cut, strict=True):
-            out[k] = Aligned(a, b, h - g, codes[x:y].copy(), ";".join(texts[g:h]).encode())
+        data, n_a, n_b, n_links = codes.tobytes(), *(np.diff(x, prepend=0).tolist() for x in (cut_a, cut_b, cut))
+        out, g, x = [], 0, 0
+        for a, b, h, n in zip(n_a, n_b, groups, n_links, strict=True):
+            out.append(Aligned(a, b, h - g, n, data[x : x + 8 * n], ";".join(texts[g:h]).encode()))
+            g, x = h, x + 8 * n
         return out
 
     def learn(self, runs: set[str]) -> dict[str, Aligned]:
@@ -157,8 +161,12 @@ class Pair:
                 new.append(run)
             else:
                 out[run] = got
-        for at in range(0, len(new), 4096):
-            out |= zip(new[at : at + 4096], self.aligned(new[at : at + 4096]), strict=True)
+        plain = [run for run in new if not run[-1].isspace() and run[:1] == " " and not run[1:2].isspace()]
+        for at in range(0, len(plain), 4096):
+            out |= zip(plain[at : at + 4096], self.aligned(plain[at : at + 4096]), strict=True)
+        for run in new:
+            if run not in out:
+                out[run] = self.aligned([run])[0]
         if len(self.known) >= CACHE_RUNS:
             self.known, self.older = {}, self.known
         self.known |= {run: out[run] for run in runs if len(run) <= 64}
@@ -214,8 +222,9 @@ def tokens_aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             split = [pair.runs(x.decode("utf-8", "surrogatepass")) if x else [] for x in text_bytes(batch.column(1))]
             of = pair.learn({r for runs in split for r in runs})
             index, all_ = {r: k for k, r in enumerate(of)}, list(of.values())
-            size = np.array([(x.n_a, x.n_b, x.n_groups, len(x.codes)) for x in all_], np.int64).reshape(-1, 4)
-            wrong, codes = np.array([x.groups is None for x in all_], bool), np.concatenate([np.zeros(0, np.int64), *[x.codes for x in all_]])
+            size = np.array([[x.n_a for x in all_], [x.n_b for x in all_], [x.n_groups for x in all_], [x.n_links for x in all_]], np.int64).T
+            texts, codes = [x.groups for x in all_], np.frombuffer(b"".join([x.codes for x in all_]), np.int64)
+            wrong = np.array([x is None for x in texts], bool)
             start, often = np.cumsum(size[:, 3]) - size[:, 3], np.zeros(len(all_), np.int64)
             rows, digests, pairs = np.zeros((len(split), 4), np.int64), [""] * len(split), [b""] * len(split)
             for k, runs in enumerate(split):
@@ -227,7 +236,7 @@ def tokens_aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 pairs[k] = pack(*summed(codes[place]))
                 np.add.at(often, own, 1)
                 rows[k] = size[own].sum(axis=0)
-                digests[k] = hashlib.sha256(b";".join([of[r].groups for r in runs])).hexdigest()
+                digests[k] = hashlib.sha256(b";".join([texts[x] for x in own.tolist()])).hexdigest()
             columns = [np.arange(at, at + len(rows)), batch.column(0), *rows.T.copy(), digests, pairs]
             yield pa.RecordBatch.from_arrays([*[x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(columns, kinds, strict=False)], *[pa.nulls(len(rows), k) for k in kinds[-2:]]], names=schema.fieldNames())
             at += len(rows)
