@@ -1,7 +1,9 @@
 import itertools
 import random
 
+import pyarrow as pa
 import xxhash
+from millrace.llm.similar import HASHES, Bucket
 from millrace.llm.simhash import covering_masks, drop_near_duplicates, links, near_duplicates, signed
 
 
@@ -118,3 +120,19 @@ def test_dedup_looks_behind_close_siblings(docs_of, monkeypatch):
         if bucket:
             monkeypatch.setattr("millrace.llm.similar.similar_sets.__defaults__", (bucket,))
         assert {r.doc_id for r in drop_near_duplicates(docs_of(list(texts.items()))).collect()} == exact_groups(texts)
+
+
+def test_equal_sketches_are_no_earlier_meeting():
+    """Two members meet in table 3. Only equal keys tell that they met before: low bytes of other minima may be equal, too."""
+    sketch = bytes(range(HASHES))
+    past = {"never": ([1, 2, 3], [4, 5, 6]), "before": ([1, 2, 3], [4, 2, 6])}
+    for case, keys in past.items():
+        rows = {"node": [7, 9], "n": pa.array([10, 10], pa.int32()), "sketch": [sketch, sketch], "past": pa.array(keys, pa.list_(pa.int64())), "root": [7, 9], "t": pa.array([3, 3], pa.int32())}
+        bucket = Bucket(pa.table(rows), 0.8)
+        assert [(i, near.tolist()) for i, near in bucket.open_pairs()] == ([(0, [1])] if case == "never" else [])
+        assert bucket.unsettled().num_rows == (2 if case == "never" else 0)
+
+
+def test_members_of_the_first_table_have_no_past():
+    rows = {"node": [7, 9], "n": pa.array([10, 10], pa.int32()), "sketch": [bytes(HASHES)] * 2, "past": pa.array([[], []], pa.list_(pa.int64())), "root": [7, 9], "t": pa.array([0, 0], pa.int32())}
+    assert [near.tolist() for _, near in Bucket(pa.table(rows), 0.8).open_pairs()] == [[1]]
