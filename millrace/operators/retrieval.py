@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from .changes import assign_ids
 from .durable import durable
 from .joins import score_pairs
 from .position import latest_per
+from .search import add_segment, search  # noqa: F401
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -31,8 +33,9 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     glue, finer = separators[at], separators[at + 1 :]
     parts = list(text) if glue == "" else [p for p in text.split(glue) if p]
     out: list[str] = []
-    held: list[str] = []
-    length = lambda ps: sum(map(len, ps)) + len(glue) * max(0, len(ps) - 1)
+    held: deque[str] = deque()
+    letters = 0  # of the pieces held, without the glue between them
+    length = lambda count, size: size + len(glue) * max(0, count - 1)
 
     def flush() -> None:
         if (made := glue.join(held).strip()):
@@ -42,13 +45,15 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
         if len(p) > size:
             flush()
             held.clear()
+            letters = 0
             out.extend(split_text(p, size, overlap, finer))
         else:
-            if held and length([*held, p]) > size:
+            if held and length(len(held) + 1, letters + len(p)) > size:
                 flush()
-                while held and (length(held) > overlap or length([*held, p]) > size):
-                    held.pop(0)
+                while held and (length(len(held), letters) > overlap or length(len(held) + 1, letters + len(p)) > size):
+                    letters -= len(held.popleft())
             held.append(p)
+            letters += len(p)
     flush()
     return out
 
@@ -117,16 +122,17 @@ def fuse(*lists: DataFrame, k: int = 60) -> DataFrame:
     return out.groupBy("id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, text: str, queries: DataFrame, docs: list | None = None, n: int = 20) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, text: str, queries: DataFrame, docs: list | None = None, n: int = 20, index: str | None = None) -> DataFrame:
     """Keyword and multi-query vector search fused: id, score.
 
-    Corpus statistics count all chunks (id, document_id, text); the filter on documents comes after them, before ranking.
-    Both lists are ranked to their ends.
+    Corpus statistics count all chunks (id, document_id, and text unless there is an ``index``, a folder of ``search.add_segment``); the filter on documents
+    comes after them, before ranking. Both lists are ranked to their ends.
     """
     spark = chunks.sparkSession
     asked = spark.createDataFrame([("q", text)], "query_id string, query string")
     allowed = chunks.select("id") if docs is None else chunks.where(F.col("document_id").isin(docs)).select("id")
-    keyword = allowed.join(bm25(chunks, asked).select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    words = bm25(chunks, asked) if index is None else search(spark, index, asked)
+    keyword = allowed.join(words.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     meaning = score_pairs(queries, vectors.join(allowed, "id", "left_semi"), cosine).groupBy("id").agg(F.max("score").alias("score"))
     return fuse(ranked(meaning), ranked(keyword)).orderBy(F.col("score").desc(), "id").limit(n)
 

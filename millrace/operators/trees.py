@@ -1,16 +1,19 @@
-"""Trees by parent id: rollups and listings by an ancestor closure."""
+"""Trees by parent id: rollups and listings by pointer doubling.
+
+A node first points at its parent, in the next round at that node's parent, then four levels up, and so on: the rounds, each a join and a written table, grow with the
+logarithm of the depth, and no path is ever built. Sums over subtrees follow the same pointers: what a node has gathered from fewer than 2^k levels below
+goes to the node 2^k levels up. Sums over the siblings ahead, added up along the way to the root, are the places of a listing, so a subtree is an
+interval of places.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_parent
 from .durable import durable
 
-#: A path longer than this is a cycle.
-MOST_LEVELS = 100
-
 
 def with_parents(defs: DataFrame) -> DataFrame:
     """defs (id, parent_id as text, code, name, is_leaf) with integer parents; an unknown parent leaves the node without one."""
@@ -19,44 +22,92 @@ def with_parents(defs: DataFrame) -> DataFrame:
     return clean.join(known, F.col("parent_id") == F.col("__k"), "left").withColumn("has_parent", F.coalesce("__known", F.lit(False))).drop("__k", "__known")
 
 
-def paths(defs: DataFrame) -> DataFrame:
-    """(id, path): the node and its ancestors from the root down, as array of struct(code, id).
+def pointers(defs: DataFrame) -> list[DataFrame]:
+    """Tables (id, up, hops, done), one a round: ``up`` is the ancestor 2^k levels up, or, where ``done``, the last one that there is, ``hops`` levels up.
 
-    Each round joins one level of children; a round without rows ends it, so the number of rounds is the tree's depth.
+    In the last table all are done but nodes on or under a cycle, which a number of rounds beyond the logarithm of the number of nodes tells.
     """
-    nodes = with_parents(defs).select("id", "parent_id", "code", "has_parent")
-    step = F.struct(F.col("code").cast("string").alias("code"), F.col("id").alias("id"))
-    roots = nodes.where(F.col("parent_id").isNull()).select("id", F.array(step).alias("path"))
-    children = nodes.where("has_parent").select(F.col("id").alias("child"), F.col("parent_id").alias("of"), step.alias("step"))
-    level, done = roots, roots
-    for _ in range(MOST_LEVELS):
-        level = durable(level.join(children, F.col("id") == F.col("of")).select(F.col("child").alias("id"), F.concat("path", F.array("step")).alias("path")))
-        if level.isEmpty():
-            return done
-        done = done.unionByName(level)
-    raise ValueError("the parents form a cycle")
+    nodes = with_parents(defs).select("id", "has_parent", "parent_id")
+    up, hops = F.when(F.col("has_parent"), F.col("parent_id")).otherwise(F.col("id")), F.col("has_parent").cast("int")
+    out = [durable(nodes.select("id", up.alias("up"), hops.alias("hops"), (~F.col("has_parent")).alias("done")), "pointers")]
+    open_ = out[0].agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("done")).alias("open")).first()
+    most, left = int(open_.n or 0).bit_length() + 1, open_.open
+    while left and len(out) <= most:
+        now = out[-1]
+        onward = now.select(F.col("id").alias("__of"), F.col("up").alias("__up"), F.col("hops").alias("__hops"), F.col("done").alias("__done"))
+        moved = now.where(~F.col("done")).join(onward, F.col("up") == F.col("__of")).select("id", F.col("__up").alias("up"), (F.col("hops") + F.col("__hops")).alias("hops"), F.col("__done").alias("done"))
+        out.append(durable(now.where("done").union(moved), "pointers"))
+        left = out[-1].where(~F.col("done")).count()
+    return out
+
+
+def rooted(defs: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """(id, depth) of the nodes whose last ancestor is a root: it has no parent, not an unknown one."""
+    roots = with_parents(defs).where(F.col("parent_id").isNull()).select(F.col("id").alias("__root"))
+    return rounds[-1].where("done").join(roots, F.col("up") == F.col("__root"), "left_semi").select("id", F.col("hops").alias("depth"))
+
+
+def subtree_sums(own: DataFrame, rounds: list[DataFrame], by: list[str], value: str) -> DataFrame:
+    """(id, *by, value): own values (one row for each id and ``by``) summed over each node and all its descendants."""
+    now = own
+    for k, jump in enumerate(rounds):
+        whole = jump.where(F.col("hops") == 2**k).select("id", "up")
+        passed = now.join(whole, "id").select(F.col("up").alias("id"), *by, value)
+        now = durable(now.unionByName(passed).groupBy("id", *by).agg(F.sum(value).alias(value)), "sums")
+    return now
 
 
 def rollup_tree(defs: DataFrame, amounts: DataFrame) -> DataFrame:
     """Amounts (id, period_id, original_value) summed over each node and all its descendants: id, period_id, amount.
 
-    Nodes have a row for every period of the amounts, 0 if nothing is booked. A node whose parent is unknown keeps its own amounts.
+    Nodes have a row for every period of the amounts, 0 if nothing is booked. A node that no root leads to (an unknown parent, or a cycle, on the way) keeps its own amounts.
+    Ids are unique; amounts of unknown ids count nowhere.
     """
-    own = amounts.groupBy("id", "period_id").agg(F.sum(F.coalesce("original_value", F.lit(0.0))).alias("value"))
-    reach = paths(defs).select("id", F.explode(F.transform("path", lambda x: x["id"])).alias("ancestor"))
-    known = with_parents(defs)
-    reach = reach.unionByName(known.where(F.col("parent_id").isNotNull() & ~F.col("has_parent")).select("id", F.col("id").alias("ancestor"))).distinct()
-    sums = own.join(reach, "id").groupBy(F.col("ancestor").alias("id"), "period_id").agg(F.sum("value").alias("amount"))
+    own = amounts.groupBy("id", "period_id").agg(F.sum(F.coalesce("original_value", F.lit(0.0))).alias("amount"))
+    rounds = pointers(defs)
+    inside = rooted(defs, rounds).select("id")
+    own = durable(own.join(defs.select("id"), "id", "left_semi"), "own")
+    sums = subtree_sums(own.join(inside, "id", "left_semi"), rounds, ["period_id"], "amount").unionByName(own.join(inside, "id", "left_anti"))
     periods = amounts.agg(F.array_sort(F.collect_set("period_id")).alias("periods"))  # one row
     grid = defs.select("id").join(F.broadcast(periods)).select("id", F.explode("periods").alias("period_id"))  # every node reports every period
     return grid.join(sums, ["id", "period_id"], "left").withColumn("amount", F.coalesce("amount", F.lit(0.0)))
 
 
+def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over all rows ahead in ``order``, by ranges, so that no task sees all rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__part").agg(F.sum(value).alias("__sum")).select(F.col("__part").alias("__at"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))  # a row a range
+    ahead = F.coalesce(F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__ahead", ahead).join(F.broadcast(starts), F.col("__part") == F.col("__at")).withColumn(out, F.col("__start") + F.col("__ahead")).drop("__part", "__at", "__start", "__ahead")
+
+
+def intervals(defs: DataFrame) -> DataFrame:
+    """(id, depth, place, size) of the nodes under a root: places from 0, parents before children, siblings by text code, then id; a subtree is ``size`` places from ``place`` on."""
+    rounds = pointers(defs)
+    inside = durable(rooted(defs, rounds), "inside")
+    sizes = subtree_sums(inside.select("id", F.lit(1).cast("long").alias("size")), rounds, [], "size")
+    known = with_parents(defs).select("id", F.when(F.col("has_parent"), F.col("parent_id")).alias("of"), F.col("code").cast("string").alias("__code"))
+    # the sizes of the siblings ahead: those of all nodes ahead by (parent, code, id), less those ahead of the parent's first child
+    ahead = running_total(sizes.join(known, "id"), [F.col("of"), F.col("__code"), F.col("id")], "size", "ahead")
+    first = ahead.groupBy(F.col("of").alias("__of")).agg(F.min("ahead").alias("__first"))
+    step = F.col("ahead") - F.col("__first") + F.when(F.col("of").isNull(), 0).otherwise(1)
+    steps = durable(ahead.join(first, F.col("of").eqNullSafe(F.col("__of"))).select("id", "size", step.alias("step")), "steps")
+    way = steps.join(rounds[0].select("id", "hops"), "id").select("id", (F.col("step") * F.col("hops")).alias("way"))  # along a pointer, without its end
+    for jump in rounds[:-1]:
+        there = way.select(F.col("id").alias("__id"), F.col("way").alias("__way"))
+        on = jump.where(~F.col("done")).select("id", F.col("up").alias("__up"))
+        way = durable(way.join(on, "id", "left").join(there, F.col("__up") == F.col("__id"), "left").select("id", (F.col("way") + F.coalesce("__way", F.lit(0))).alias("way")), "ways")
+    ends = rounds[-1].select("id", F.col("up").alias("__root")).join(steps.select(F.col("id").alias("__root"), F.col("step").alias("__step")), "__root")
+    return inside.join(way, "id").join(ends, "id").join(steps.select("id", "size"), "id").select("id", "depth", (F.col("way") + F.col("__step")).alias("place"), "size")
+
+
 def preorder(defs: DataFrame) -> DataFrame:
-    """Nodes under a root with depth and children flag, parents before children, siblings by text code."""
+    """Nodes under a root with depth, children flag, place and size of the subtree, parents before children, siblings by text code."""
     parents = with_parents(defs).where("has_parent").select(F.col("parent_id").alias("id")).distinct().withColumn("has_children", F.lit(True))
-    listed = paths(defs).join(defs.drop("parent_id"), "id").join(parents, "id", "left")
-    return listed.select("id", "code", "name", (F.size("path") - 1).alias("depth"), F.coalesce("has_children", F.lit(False)).alias("has_children"), "path").orderBy("path").drop("path")
+    listed = intervals(defs).join(defs.select("id", "code", "name"), "id").join(parents, "id", "left")
+    return listed.select("id", "code", "name", "depth", F.coalesce("has_children", F.lit(False)).alias("has_children"), "place", "size").orderBy("place")
 
 
 def asset_series(rolled: DataFrame, defs: DataFrame) -> DataFrame:

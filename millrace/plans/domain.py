@@ -91,9 +91,15 @@ def _(t):
     return TR.rollup_tree(*tree(t)).withColumn("amount", F.round("amount", 2))
 
 
-@query("t7_preorder", "SELECT CAST(p_partkey AS INTEGER) AS id, CASE WHEN p_partkey = 0 THEN 0 ELSE CAST(floor(log2(greatest(p_partkey, 1))) AS INTEGER) END AS depth, p_partkey > 0 AND 2 * p_partkey <= (SELECT max(p_partkey) FROM part) AS has_children FROM part")
+@query(
+    "t7_preorder",
+    """WITH RECURSIVE walk(id, depth, path) AS (SELECT CAST(p_partkey AS INTEGER), 0, [CAST(p_partkey AS VARCHAR)] FROM part WHERE p_partkey <= 1 UNION ALL
+      SELECT CAST(p_partkey AS INTEGER), depth + 1, list_append(path, CAST(p_partkey AS VARCHAR)) FROM walk JOIN part ON p_partkey // 2 = id WHERE p_partkey > 1),
+    below AS (SELECT anc AS id, count(*) AS size FROM (WITH RECURSIVE up(id, anc) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT id, anc // 2 FROM up WHERE anc > 1) SELECT * FROM up) GROUP BY 1)
+    SELECT walk.id, depth, size > 1 AS has_children, row_number() OVER (ORDER BY path) - 1 AS place, size FROM walk JOIN below ON below.id = walk.id""",
+)
 def _(t):
-    return TR.preorder(tree(t)[0]).select("id", "depth", "has_children")
+    return TR.preorder(tree(t)[0]).select("id", "depth", "has_children", "place", "size")
 
 
 @query("t8_asset_series", ROLLED + "SELECT period_id, round(sum(amount), 2) AS assets FROM rolled WHERE id IN (1, 2) GROUP BY 1")
@@ -132,10 +138,32 @@ q AS (SELECT word, count(*) AS times FROM (SELECT unnest(regexp_extract_all('{QU
 bm AS (SELECT id, sum(times * CASE WHEN idf < 0 THEN e ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / mean))) AS score FROM tf JOIN q USING (word) JOIN idf USING (word), eps GROUP BY 1) """
 
 
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(t):
+    """The documents' keyword index, built once for a session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in INDEXES:
+        path = new_path(t.spark, "index")
+        R.add_segment(t.documents.select(F.col("doc_id").alias("id"), "text"), path, 0)
+        INDEXES[key] = path
+    return INDEXES[key]
+
+
 @query("r3_bm25", BM25 + "SELECT 'q' AS query_id, id, round(score, 6) AS score FROM bm")
 def _(t):
-    chunks = t.documents.select(F.col("doc_id").alias("id"), "text")
-    return R.bm25(chunks, t.spark.createDataFrame([("q", QUERY_TEXT)], "query_id string, query string")).withColumn("score", F.round("score", 6))
+    asked = t.spark.createDataFrame([("q", QUERY_TEXT)], "query_id string, query string")
+    return R.search(t.spark, stored_index(t), asked).withColumn("score", F.round("score", 6))
+
+
+RARE_TEXT = "the ation thention ofonndre"
+
+
+@query("r3_best_chunks", BM25.replace(QUERY_TEXT, RARE_TEXT) + "SELECT 'q' AS query_id, id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, id LIMIT 10")
+def _(t):
+    asked = t.spark.createDataFrame([("q", RARE_TEXT)], "query_id string, query string")
+    return R.search(t.spark, stored_index(t), asked, n=10).withColumn("score", F.round("score", 6))
 
 
 def vectors(t):
@@ -183,8 +211,8 @@ SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM r GROUP BY 1 ORDE
 
 @query("r7_hybrid", HYBRID)
 def _(t):
-    chunks = t.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("document_id"), "text")
-    return R.hybrid(chunks, vectors(t), QUERY_TEXT, vector_queries(t, 3), docs=[1, 2]).withColumn("score", F.round("score", 8))
+    chunks = t.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("document_id"))
+    return R.hybrid(chunks, vectors(t), QUERY_TEXT, vector_queries(t, 3), docs=[1, 2], index=stored_index(t)).withColumn("score", F.round("score", 8))
 
 
 @query("r8_context", "SELECT conv_id, string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS context, count(*) AS chunks, CAST(length(string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn)) AS INTEGER) AS chars FROM conversations GROUP BY 1")
