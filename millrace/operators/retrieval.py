@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine, md5, tokens
 from .changes import assign_ids
 from .durable import durable
-from .joins import score_pairs
-from .position import latest_per
+from .joins import QUERY_BLOCK, score_pairs
+from .position import first_n_per, latest_per
 from .search import add_segment, search  # noqa: F401
 
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -99,6 +99,22 @@ def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75
     return hits.groupBy("query_id", "id").agg(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
+def best_scores(vectors: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """The ``n`` vectors (id, embedding) with the best score over queries (query_id, query): id, score; ties by id.
+
+    A vector meets a block of queries in one row, which gives its best score there; each partition keeps ``n`` rows of a block and no more are shuffled. A vector that is
+    among the best overall is so in the block where it has its best score.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    held = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("__block")).agg(F.collect_list("query").alias("__queries"))
+    each = vectors.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "__block")
+    scored = each.select("id", "__block", F.array_max(F.transform("__queries", lambda q: cosine(q, F.col("embedding")))).alias("score"))
+    order = [F.col("score").desc(), F.col("id")]
+    if blocks == 1:
+        return scored.select("id", "score").orderBy(*order).limit(n)
+    return first_n_per(scored, ["__block"], order, n).groupBy("id").agg(F.max("score").alias("score")).orderBy(*order).limit(n)
+
+
 def semantic(vectors: DataFrame, queries: DataFrame, n: int = 4) -> DataFrame:
     """Vectors (id, embedding) nearest to one query (query_id, query)."""
     return score_pairs(queries, vectors, cosine).select("id", "score").orderBy(F.col("score").desc(), "id").limit(n)
@@ -106,7 +122,7 @@ def semantic(vectors: DataFrame, queries: DataFrame, n: int = 4) -> DataFrame:
 
 def semantic_multi(vectors: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
     """The best score over several queries."""
-    return score_pairs(queries, vectors, cosine).groupBy("id").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "id").limit(n)
+    return best_scores(vectors, queries, n)
 
 
 def ranked(df: DataFrame, score: str = "score") -> DataFrame:

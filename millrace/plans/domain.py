@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import cosine
 from ..operators import changes as C
+from ..operators import commits
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import pages as L
@@ -379,9 +381,27 @@ def requests(t):
     return t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", (F.lit(200) + F.floor("value").cast("int") % 400).alias("status"), F.floor("value").cast("long").alias("duration_ms"))
 
 
-@query("m1_daily_stats", "SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(*) FILTER ((200 + CAST(floor(value) AS INTEGER) % 400) >= 400) AS errors, CAST(floor(avg(CAST(floor(value) AS BIGINT))) AS BIGINT) AS mean_ms FROM events GROUP BY 1")
+def one_more(t, df, folder: str):
+    """A stream of a table's rows, and of one row a year later that closes all that is open on a stream. ``df``: the rows as a batch, with ts."""
+    path = new_path(t.spark, folder)
+    df.write.parquet(f"{path}/rows")
+    end = F.max("ts") + F.expr("INTERVAL 365 DAYS")
+    df.agg(end.alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(None).cast(k).alias(c) for c, k in df.dtypes]).write.parquet(f"{path}/end")
+    read = t.spark.readStream.schema(df.schema).parquet
+    return read(f"{path}/rows").union(read(f"{path}/end"))
+
+
+def landed(t, stream, mode: str = "append"):
+    """All rows that a stream gives, through batches that count once."""
+    path = new_path(t.spark, "landed")
+    run_stream(stream, lambda df, n: S.append(df.withColumn("__batch", F.lit(n)), path, batch=n), t.spark, mode)
+    schema = T.StructType([*stream.schema.fields, T.StructField("__batch", T.IntegerType())])
+    return commits.read(t.spark, path, schema, ledger=True)
+
+
+@query("m1_daily_stats", "SELECT CAST(ts AS DATE) AS day, count(*) AS total, count(DISTINCT user_id) AS users, count(*) FILTER ((200 + CAST(floor(value) AS INTEGER) % 400) >= 400) AS errors, CAST(floor(avg(CAST(floor(value) AS BIGINT))) AS BIGINT) AS mean_ms FROM events GROUP BY 1")
 def _(t):
-    return M.daily_stats(requests(t)).drop("users")
+    return landed(t, M.daily_stats_exact(one_more(t, requests(t), "requests"))).drop("__batch")
 
 
 @query("m3_current_state", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
@@ -404,9 +424,9 @@ def stream_of(t, name: str):
     return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parquet*")
 
 
-def run_stream(stream, sink, spark) -> None:
+def run_stream(stream, sink, spark, mode: str = "append") -> None:
     """All that is there now, through a foreachBatch sink, with a checkpoint in the shared folder."""
-    job = stream.writeStream.foreachBatch(sink).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
+    job = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
     job.awaitTermination()
 
 
@@ -416,24 +436,50 @@ def _(t):
     rows = stream_of(t, "events").select("user_id", "event_type", "event_id", "value")
     for _ in range(2):  # the second time all of it is known
         run_stream(rows, M.ledger_sink(path, ["user_id", "event_type"], ["event_id"]), t.spark)
-    return t.spark.read.parquet(path)
+    return commits.read(t.spark, path, rows.schema, ledger=True)
+
+
+@query("m2_ledger_window", "SELECT user_id, event_type, count(*) > 0 AS known FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    rows = stream_of(t, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type").where("event_type is not null")
+    return landed(t, M.ledger_stream(rows, ["user_id", "event_type"], "3650 days")).select("user_id", "event_type", F.lit(True).alias("known"))
+
+
+@query(
+    "m3_task_clock",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS document_id, event_type AS task_type, CAST(floor(value) AS INTEGER) % 3 * 50 AS percent, CAST(event_id AS DOUBLE) AS seen FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL)
+    SELECT document_id, task_type, arg_max(percent, seen) AS percent, max(seen) AS updated_at, coalesce(max(seen) FILTER (percent = 0), min(seen)) AS start_time FROM e GROUP BY 1, 2""",
+)
+def _(t):
+    e = stream_of(t, "events").where("user_id is not null and event_type is not null")
+    rows = e.select(F.col("user_id").cast("string").alias("document_id"), F.col("event_type").alias("task_type"), F.lit("Running").alias("status"), (F.floor("value").cast("int") % 3 * 50).alias("percent"), F.col("event_id").cast("double").alias("updated_at"))
+    every = landed(t, M.task_state(rows), "update")
+    return every.groupBy("document_id", "task_type").agg(*[F.max_by(c, "updated_at").alias(c) for c in ("percent", "start_time")], F.max("updated_at").alias("updated_at"))
 
 
 @query("m5_status_upkeep", "WITH a AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS d, count(*) FILTER (l_linestatus <> 'F' AND l_returnflag = 'N') AS b FROM lineitem GROUP BY 1) SELECT o_orderkey AS project_id, CASE WHEN n IS NULL THEN 'Open' WHEN d >= n THEN 'Completed' WHEN d > 0 OR b > 0 THEN 'Active' ELSE 'Not Started' END AS status FROM orders LEFT JOIN a ON id = o_orderkey")
 def _(t):
     path = new_path(t.spark, "projects")
-    t.orders.select(F.col("o_orderkey").alias("project_id"), F.lit("Open").alias("status"), F.lit(0).alias("updated_at")).write.parquet(f"{path}/0")
-    version = [0]
+    first = t.orders.select(F.col("o_orderkey").alias("project_id"), F.lit("Open").alias("status"), F.lit(0).alias("updated_at"))
+    commits.write(first, path, 0, ["project_id"])
 
-    def apply(parents):
-        projects = t.spark.read.parquet(f"{path}/{version[0]}")
-        changed = parents.select(F.col("l_orderkey").alias("project_id"))
+    def apply(projects, changed):
+        projects = durable(projects, "projects")  # what is read here is not what is written
         synced = C.sync_status(projects.join(changed, "project_id", "left_semi"), items(t).join(changed, "project_id", "left_semi"), F.lit(1))
-        projects.join(changed, "project_id", "left_anti").unionByName(synced).write.parquet(f"{path}/{version[0] + 1}")
-        version[0] += 1
+        return projects.join(changed, "project_id", "left_anti").unionByName(synced)
 
-    run_stream(stream_of(t, "lineitem").select("l_orderkey"), M.status_upkeep(apply, "l_orderkey"), t.spark)
-    return t.spark.read.parquet(f"{path}/{version[0]}").select("project_id", "status")
+    run_stream(stream_of(t, "lineitem").select("l_orderkey"), M.upkeep_sink(path, first.schema, "project_id", "l_orderkey", apply), t.spark)
+    return commits.read(t.spark, path, first.schema).select("project_id", "status")
+
+
+@query("c1_upsert_stream", "SELECT c_custkey, c_name, coalesce(price, c_acctbal) AS c_acctbal, CASE WHEN price IS NULL THEN 0 ELSE 1 END AS is_active FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def _(t):
+    path = new_path(t.spark, "customers")
+    first = t.customer.select("c_custkey", "c_name", "c_acctbal", F.lit(0).alias("is_active"))
+    commits.write(first, path, 0, ["c_custkey"])
+    rows = stream_of(t, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
+    run_stream(rows, M.upsert_sink(path, first.schema, ["c_custkey"], ["c_acctbal"], [F.col("o_orderkey").desc()], {"is_active": 1}), t.spark)
+    return commits.read(t.spark, path, first.schema)
 
 
 # ---- sinks: written, and what is read back -------------------------------------------------------------------------
@@ -459,9 +505,9 @@ def _(t):
 def _(t):
     path = new_path(t.spark, "log")
     rows = t.events.select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"), "value")
-    for part in (0, 1):
-        S.append(rows.where(F.pmod("event_id", F.lit(2)) == part), path, {"event_type": "none"})
-    return t.spark.read.parquet(path)
+    for part in (0, 1, 1):  # a batch that is repeated counts once
+        S.append(rows.where(F.pmod("event_id", F.lit(2)) == part), path, {"event_type": "none"}, batch=part, keys=["event_id"])
+    return commits.read(t.spark, path, rows.schema, ledger=True)
 
 
 @query("s14_json_round_trip", "SELECT vec_id, label, embedding[1] AS first, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import html_text
+from ..operators import commits
 from ..operators.changes import replace_group
 from ..operators.joins import decode
 from ..operators.position import first_n_per, last_n_per
@@ -103,9 +104,13 @@ def list_documents(spark: SparkSession, path: str, ext: str) -> DataFrame:
     return found.withColumn("document_id", F.regexp_replace(F.element_at(F.split("path", "/"), -1), rf"\.{ext}$", ""))
 
 
-def append(df: DataFrame, path: str, defaults: dict[str, object] | None = None) -> None:
-    """Append to a Parquet table, nulls filled from ``defaults``."""
-    df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in (defaults or {}).items()}).write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, defaults: dict[str, object] | None = None, batch: int | None = None, keys: list[str] | None = None) -> None:
+    """Append to a Parquet table, nulls filled from ``defaults``. With ``batch`` and ``keys`` the rows go to a table of ``commits``, once for each batch number."""
+    filled = df.withColumns({k: F.coalesce(F.col(k), F.lit(v)) for k, v in (defaults or {}).items()})
+    if batch is None:
+        filled.write.mode("append").parquet(path)
+    else:
+        commits.write(filled, path, batch, keys or df.columns[:1])
 
 
 def conform_sparse(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.changes import insert_ignore
+from ..operators import commits
+from ..operators.changes import upsert
+from ..operators.position import latest_per
 
 
 def daily_stats(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """M1: requests (ts, user_id, status, duration_ms) by day; users are counted approximately, as streams allow."""
+    """M1 with the day so far (complete or update mode): requests (ts, user_id, status, duration_ms) by day; users are counted approximately, as one aggregate of a stream allows."""
     day = F.window("ts", "1 day")
     return stream.withWatermark("ts", lateness).groupBy(day).agg(
         F.count(F.lit(1)).alias("total"), F.approx_count_distinct("user_id").alias("users"), F.count_if(F.col("status") >= 400).alias("errors"),
@@ -20,23 +22,45 @@ def daily_stats(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     ).select(F.col("window.start").cast("date").alias("day"), "total", "users", "errors", "mean_ms")
 
 
+def daily_stats_exact(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """M1: requests by day, users counted exactly.
+
+    Two windows in a chain: sums of each user's day, then of the day. On a stream (append mode) a day comes out once the watermark has passed it, and its
+    users leave the state with it.
+    """
+    own = stream.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("day"), "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("errors"), F.sum("duration_ms").alias("ms"), F.count("duration_ms").alias("timed"),
+    )
+    return own.groupBy(F.window(F.window_time("day"), "1 day").alias("day")).agg(
+        F.sum("n").alias("total"), F.count("user_id").alias("users"), F.sum("errors").alias("errors"), F.coalesce(F.floor(F.sum("ms") / F.sum("timed")).cast("long"), F.lit(0)).alias("mean_ms"),
+    ).select(F.col("day.start").cast("date").alias("day"), "total", "users", "errors", "mean_ms")
+
+
 def ledger_stream(stream: DataFrame, keys: list[str], lateness: str = "1 day") -> DataFrame:
     """M2: first write wins among rows that arrive within ``lateness`` of each other."""
     return stream.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
 def ledger_sink(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """M2, for all time: a foreachBatch sink that appends the keys a Parquet ledger does not hold. A repeated batch adds nothing."""
+    """M2, for all time: a foreachBatch sink that adds the keys that a ledger (``commits``) does not hold, and opens only files that may hold them.
+
+    A batch that is repeated finds all its keys there and adds nothing; one that broke off was no part of the ledger. One stream writes to a ledger at a time.
+    """
 
     def sink(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            ledger = spark.read.schema(batch.schema).parquet(path)
-        except Exception as e:  # no batch has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            ledger = spark.createDataFrame([], batch.schema)
-        insert_ignore(ledger, batch, keys, order)[1].write.mode("append").parquet(path)
+        commits.add(batch, path, commits.next_batch(batch.sparkSession, path), keys, order)
+
+    return sink
+
+
+def upsert_sink(path: str, schema, keys: list[str], cols: list[str], order: list, flags: dict[str, object] | None = None, first: int = 1) -> Callable[[DataFrame, int], None]:
+    """C1 as a foreachBatch sink over a table of current rows (``commits``): each key's first row by ``order`` in a batch counts; only buckets that hold a batch's keys are opened.
+
+    Batch n of the stream is batch ``first`` + n of the table; one that broke off or is repeated changes nothing.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        commits.change(latest_per(batch, keys, order), path, first + number, keys, schema, lambda now, rows: upsert(now, rows, keys, cols, flags))
 
     return sink
 
@@ -77,7 +101,23 @@ def status_upkeep(apply: Callable[[DataFrame], None], parent: str) -> Callable[[
     return sink
 
 
-def assemble_text(stream: DataFrame, key: str, seq: str, token: str, sep: str = "") -> DataFrame:
-    """M6: the text so far of each message, its tokens in order."""
+def upkeep_sink(path: str, schema, key: str, parent: str, apply: Callable[[DataFrame, DataFrame], DataFrame], first: int = 1) -> Callable[[DataFrame, int], None]:
+    """M5 over a table of current rows (``commits``): ``apply(rows, changed)`` gives the next rows of the buckets that hold the distinct parents (``key``) changed in a batch.
+
+    Batch n of the stream is batch ``first`` + n of the table; one that broke off or is repeated changes nothing.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        changed = batch.select(F.col(parent).alias(key)).where(F.col(key).isNotNull()).distinct()
+        commits.change(changed, path, first + number, [key], schema, apply)
+
+    return sink
+
+
+def assemble_text(stream: DataFrame, key: str, seq: str, token: str, sep: str = "", ts: str | None = None, gap: str = "10 minutes") -> DataFrame:
+    """M6: the text so far of each message, its tokens in order. With ``ts`` a message ends after ``gap`` without a token: it then comes out (append mode) and leaves the state."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.coalesce(token, F.lit("")).alias("t"))))
-    return stream.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), sep).alias("text"), F.count(F.lit(1)).alias("tokens"))
+    made = [F.array_join(F.transform(parts, lambda x: x["t"]), sep).alias("text"), F.count(F.lit(1)).alias("tokens")]
+    if ts is None:
+        return stream.groupBy(key).agg(*made)
+    return stream.withWatermark(ts, gap).groupBy(key, F.session_window(ts, gap)).agg(*made).drop("session_window")
