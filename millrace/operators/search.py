@@ -7,8 +7,8 @@ An index is a folder of Parquet tables, each written by segment:
   the number of chunks, the mean length and the floor of the idf, so that a request reads no vocabulary.
 
 A chunk lies in block ``hash(id) mod 2^k`` of a word, k such that blocks hold about BLOCK chunks: no word's list is ever one task's or one row. The blocks of two words
-nest, as both are low bits of one hash. So the largest score that a chunk of a given cell (the low bits of the most split word) can have is the sum of its blocks' bounds;
-``search`` with ``n`` scores the most promising cells first and then only cells whose bound reaches the n-th best score. Nothing is lost by that.
+nest, as both are low bits of one hash. So the blocks of a request's most split word are cells that all its words' chunks fall into, and a cell has a bound: the sum of the largest shares that
+each word can have there. ``search`` with ``n`` scores the most promising cells first, and then only cells whose bound reaches the n-th best score. Nothing is lost by that.
 """
 
 from __future__ import annotations
@@ -137,21 +137,27 @@ def in_cells(postings: DataFrame, every: DataFrame, kept: DataFrame) -> DataFram
     return each.join(kept.select("query_id", "cell"), ["query_id", "cell"], "left_semi").withColumn("chunks", F.array("x"))
 
 
-def block_bounds(spark: SparkSession, path: str, asked: DataFrame, words: list[str] | None, k1: float, b: float) -> DataFrame:
-    """(query_id, word, segment, bits, block, width, bound): the largest share of a word in the score of a block's chunks; ``width``: bits of the query's most split word."""
-    maxima = postings_of(spark, path, asked, words)
-    each = maxima.select("query_id", "word", "segment", "bits", "block", F.greatest(F.lit(0.0), part(F.col("most"), F.col("shortest"), k1, b)).alias("bound"))
-    width = each.groupBy("query_id").agg(F.max("bits").alias("width"))
-    return each.join(width, "query_id")
+def split_words(spark: SparkSession, path: str, asked: DataFrame, words: list[str] | None) -> DataFrame:
+    """(query_id, word, segment, bits, width) of a query's words; ``width``: bits of its most split word, which are those of its cells."""
+    each = postings_of(spark, path, asked, words).select("query_id", "word", "segment", "bits").distinct()
+    return each.join(each.groupBy("query_id").agg(F.max("bits").alias("width")), "query_id")
+
+
+def cell_bounds(postings: DataFrame, every: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, cell, width, bound): no chunk of a cell has a larger score. For words as split as the cells the blocks' maxima tell; of the others, which are rarer, the chunks themselves."""
+    each = postings.join(every.select("query_id", "word", "segment", "width"), ["query_id", "word", "segment"])
+    above = lambda tf, length: F.greatest(F.lit(0.0), part(tf, length, k1, b)).alias("bound")
+    whole = each.where("bits = width").select("query_id", "width", "word", F.col("block").alias("cell"), above(F.col("most"), F.col("shortest")))
+    rarer = each.where("bits < width").select("query_id", "width", "word", "times", "idf", "mean", F.explode("chunks").alias("x"))
+    exact = rarer.select("query_id", "width", "word", hash_of(F.col("x.id")).bitwiseAND(low_bits("width")).alias("cell"), above(F.col("x.tf"), F.col("x.len")))
+    per_word = whole.union(exact).groupBy("query_id", "width", "cell", "word").agg(F.max("bound").alias("bound"))
+    return per_word.groupBy("query_id", "width", "cell").agg(F.sum("bound").alias("bound"))
 
 
 def cells(spark: SparkSession, path: str, asked: DataFrame, words: list[str] | None, k1: float, b: float, n: int, first: int = FIRST_CELLS) -> tuple[DataFrame, DataFrame]:
-    """(bounds of all blocks, (query_id, cell, width) of the cells that may hold one of a query's ``n`` best chunks)."""
-    every = durable(block_bounds(spark, path, asked, words, k1, b), "bounds")
-    spread = F.explode(F.expr("transform(sequence(0L, shiftleft(1L, width - bits) - 1), i -> block + shiftleft(1L, bits) * i)"))
-    # a chunk is in one segment: of the segments' bounds for a word the largest holds
-    per_word = every.select("query_id", "width", "word", "bound", spread.alias("cell")).groupBy("query_id", "width", "cell", "word").agg(F.max("bound").alias("bound"))
-    bounds = durable(per_word.groupBy("query_id", "width", "cell").agg(F.sum("bound").alias("bound")), "cells")
+    """(``split_words``, (query_id, cell, width) of the cells that may hold one of a query's ``n`` best chunks)."""
+    every = durable(split_words(spark, path, asked, words), "splits")
+    bounds = durable(cell_bounds(postings_of(spark, path, asked, words), every, k1, b), "cells")
     best = durable(first_n_per(bounds, ["query_id"], [F.col("bound").desc(), "cell"], first), "first")
     tried = scores(in_cells(postings_of(spark, path, asked, words), every, best), k1, b)
     enough = first_n_per(tried, ["query_id"], [F.col("score").desc(), "id"], n).groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("found"))
