@@ -6,12 +6,14 @@ put in front is a step in the first index, a word behind it a step in the second
 word before or behind it, occurs in the shard.
 
 Shards are extended level by level. A phrase that is frequent in all shards together consists of two frequent phrases that are one word shorter; so a level
-only looks at extensions of phrases whose sums over the shards reached the bar, and what a shard passes on is one row a distinct phrase.
+only looks at extensions of phrases whose sums over the shards reached the bar. A shard deals its distinct phrases with their counts out to buckets by hash, packed; a bucket
+sums the shards and answers each with those of its phrases that reach the bar.
 """
 
 from __future__ import annotations
 
 import uuid
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,9 @@ DEPTH, LEAST, TOP = 4, 30, 2000
 #: A phrase goes if a longer one makes up so many hundredths of its occurrences.
 ABSORBED = 80
 #: Words of a shard; it ends with the document that reaches them.
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 3_000_000
+#: Words of the corpus to a bucket: at most as many phrases with their counts meet in a task at once.
+BUCKET_WORDS = 1_500_000
 #: What the symbols of an index stand for below the first word: a mark between pieces, words too rare for any phrase.
 MARK, RARE, FIRST = 0, 1, 2
 
@@ -153,6 +157,30 @@ def read_arrays(path: str, *kinds: str) -> list[np.ndarray]:
         return [np.frombuffer(ZstdDecompressor().decompress(f.read(int.from_bytes(f.read(8), "little"))), k) for k in kinds]
 
 
+def pack(columns_: list[np.ndarray]) -> bytes:
+    """Columns of longs, byte by byte, so that the bytes that are zero throughout take no room."""
+    from zstandard import ZstdCompressor
+
+    planes = np.stack([np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8) for c in columns_], axis=0)
+    return ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.transpose(0, 2, 1)).tobytes())
+
+
+def unpack(data: bytes, width: int) -> np.ndarray:
+    """The columns as an array."""
+    from zstandard import ZstdDecompressor
+
+    planes = np.frombuffer(ZstdDecompressor().decompress(data), np.uint8).reshape(width, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[:, :, 0]
+
+
+def mixed(words: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+
+
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(shard, lang, words, counts, path): each shard's words with their counts, and the file of its sequence."""
     folder = new_path(docs.sparkSession, "sequences")
@@ -189,7 +217,7 @@ def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
 
 
 def indexed(made: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(shard, path): the file of each shard's indexes. ``frequent``: lang, word, id."""
+    """(shard, lang, path): the file of each shard's indexes. ``frequent``: lang, word, id."""
     folder = new_path(made.sparkSession, "indexes")
     each = made.select("shard", "lang", F.posexplode("words").alias("place", "word")).join(frequent.select("lang", "word", "id"), ["lang", "word"])
     live = each.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("live"))  # at most a shard's words
@@ -206,9 +234,9 @@ def indexed(made: DataFrame, frequent: DataFrame) -> DataFrame:
                 symbol[place[order] + 1] = np.arange(FIRST, FIRST + len(ids))
                 s = symbol[s]
                 out.append(write_arrays(folder, str(shard), ids[order].astype("<i8"), transform(s).astype("<i4"), transform(s[::-1]).astype("<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["shard", "path"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column("lang"), pa.array(out, pa.string())], names=["shard", "lang", "path"])
 
-    return materialise(map_arrow(dealt(made.select("shard", "path").join(live, "shard")), run, "shard long, path string"), "indexes")
+    return materialise(map_arrow(dealt(made.select("shard", "path", "lang").join(live, "shard").select("shard", "path", "live", "lang")), run, "shard long, lang string, path string"), "indexes")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -221,28 +249,88 @@ def columns(size: int) -> list[str]:
     return [f"w{i + 1}" for i in range(size)]
 
 
-def level(index: DataFrame, size: int, live: DataFrame | None = None) -> DataFrame:
-    """Phrases of ``size`` words of every shard (shard, w1, w2, ..., n). With ``live`` (shard, w1, ...), which are one word shorter, only extensions of
-    these, and also a row for each of these with ``before`` and ``behind`` and without a last word. Beyond DEPTH there are only the latter."""
-    shorter, names = columns(size - 1), columns(size)
-    kinds = ["shard", *names, "n", "before", "behind"]
-    none = lambda n: pa.nulls(n, pa.int64())
+def level(index: DataFrame, size: int, buckets: int, live: DataFrame | None = None) -> DataFrame:
+    """(bucket, shard, data): phrases of ``size`` words of every shard and their counts. ``live`` (shard, data): phrases one word shorter, of which both parts must be; without it all frequent words are."""
     words_only = live is None
 
     def run(batches):
         for batch in batches:
             for k, (shard, path) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 own = Shard(*read_arrays(path, "<i8", "<i4", "<i4"))
-                of = [own.words] if words_only else [x.to_numpy() for x in batch.column(2)[k].values.flatten()]
-                if not words_only:
-                    before, behind = own.around(of)
-                    yield pa.RecordBatch.from_arrays([none(len(before)), *map(pa.array, of), none(len(before)), none(len(before)), pa.array(before), pa.array(behind)], names=kinds)
-                if size <= DEPTH:
-                    words, n = own.extend(of)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard)), *map(pa.array, words), pa.array(n), none(len(n)), none(len(n))], names=kinds)
+                of = [own.words] if words_only else list(np.concatenate([unpack(x, size - 1) for x in batch.column(2)[k].values.to_pylist()], axis=1))
+                words, n = own.extend(of)
+                bucket = (mixed(words) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((*words[::-1], bucket))
+                bucket, table = bucket[order], [c[order] for c in (*words, n)]
+                first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(n) else np.zeros(0, np.int64)
+                data = [pack([c[a:b] for c in table]) for a, b in pairwise(np.append(first, len(n)).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(np.full(len(first), shard)), pa.array(data, pa.binary())], names=["bucket", "shard", "data"])
+
+    rows = index.select("shard", "path") if live is None else index.select("shard", "path").join(live.groupBy("shard").agg(F.collect_list("data").alias("live")), "shard")  # a shard's own
+    return map_arrow(dealt(rows), run, "bucket int, shard long, data binary")
+
+
+def frequent_phrases(counts: DataFrame, size: int, least: int) -> DataFrame:
+    """Sums over the shards of a level's counts: a row (w1, ..., f) for each phrase that reaches ``least``, and a row (shard, data) with those that a shard has in a bucket."""
+    names = columns(size)
+    schema = ", ".join(f"{c} long" for c in (*names, "f", "shard")) + ", data binary"
+
+    def summed(held: list[tuple[int, bytes]]):
+        parts = [unpack(x, size + 1) for _, x in held]
+        table = np.concatenate(parts, axis=1)
+        of = np.repeat(np.arange(len(parts)), [x.shape[1] for x in parts])
+        order = np.lexsort(table[-2::-1])
+        table, of = table[:, order], of[order]
+        first = np.flatnonzero(np.concatenate(([True], (table[:-1, 1:] != table[:-1, :-1]).any(axis=0))))
+        f = np.add.reduceat(table[-1], first)
+        keep = f >= least
+        whole = first[keep]
+        none = pa.nulls(len(whole), pa.int64())
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[whole]) for c in table[:-1]], pa.array(f[keep]), none, pa.nulls(len(whole), pa.binary())], names=[*names, "f", "shard", "data"])
+        kept = np.repeat(keep, np.diff(np.append(first, table.shape[1])))
+        table, of = table[:-1, kept], of[kept]
+        by = np.argsort(of, kind="stable")
+        table, of = table[:, by], of[by]
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
+        data = [pack(list(table[:, a:b])) for a, b in pairwise(np.append(starts, len(of)).tolist())]
+        none = pa.nulls(len(data), pa.int64())
+        yield pa.RecordBatch.from_arrays([*[none] * (size + 1), pa.array([held[k][0] for k in of[starts].tolist()], pa.int64()), pa.array(data, pa.binary())], names=[*names, "f", "shard", "data"])
 
-    rows = index if live is None else index.join(live.groupBy("shard").agg(F.collect_list(F.struct(*shorter)).alias("live")), "shard")
-    return map_arrow(dealt(rows), run, ", ".join(f"{c} long" for c in kinds))
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            for bucket, shard, data in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                if bucket != now and held:
+                    yield from summed(held)
+                    held = []
+                now = bucket
+                held.append((shard, data))
+        if held:
+            yield from summed(held)
+
+    return map_arrow(counts.repartition("bucket").sortWithinPartitions("bucket"), run, schema)
+
+
+def surroundings(index: DataFrame, results: DataFrame) -> DataFrame:
+    """(w1, ..., before, behind) of some phrases (lang, w1, ..., missing words null), a bounded number of each language: occurrences with a word before, and behind, them."""
+    names = columns(DEPTH)
+    asked = results.groupBy("lang").agg(F.collect_list(F.struct(*[F.coalesce(c, F.lit(-1)).alias(c) for c in names])).alias("asked"))
+
+    def run(batches):
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                own = Shard(*read_arrays(path, "<i8", "<i4", "<i4"))
+                table = np.stack([x.to_numpy() for x in batch.column(1)[k].values.flatten()])
+                known = np.isin(table, own.words) | (table < 0)
+                table = table[:, known.all(axis=0)]
+                for size in range(2, DEPTH + 1):
+                    mine = table[:, (table >= 0).sum(axis=0) == size]
+                    before, behind = own.around(list(mine[:size]))
+                    words = [pa.array(c) if i < size else pa.nulls(mine.shape[1], pa.int64()) for i, c in enumerate(mine)]
+                    yield pa.RecordBatch.from_arrays([*words, pa.array(before), pa.array(behind)], names=[*names, "before", "behind"])
+
+    each = map_arrow(dealt(index.join(asked, "lang").select("path", "asked", "shard")).select("path", "asked"), run, ", ".join(f"{c} long" for c in (*names, "before", "behind")))
+    return each.groupBy(*names).agg(F.sum("before").alias("before"), F.sum("behind").alias("behind"))
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -259,22 +347,16 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard_word
     frequent = materialise(sums.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id()), "frequent")
     index = indexed(made, frequent)
     found = {1: frequent.select("lang", F.col("id").alias("w1"), "f", F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))}
-    live, around = None, {}
-    for size in range(2, DEPTH + 2):
+    buckets = int((totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS) + 1
+    live = None
+    for size in range(2, DEPTH + 1):
         names = columns(size)
-        got = level(index, size, live)
-        if live is not None:
-            got = materialise(got, f"level{size}")
-            around[size - 1] = got.where(F.col(names[-1]).isNull()).groupBy(*names[:-1]).agg(F.sum("before").alias("before"), F.sum("behind").alias("behind"))
-        if size > DEPTH:
-            break
-        new = got if live is None else got.where(F.col(names[-1]).isNotNull())
-        # a phrase has at most a row for each shard
-        live = materialise(new.select("shard", *names, "n").withColumn("f", F.sum("n").over(Window.partitionBy(*names))).where(F.col("f") >= least).select("shard", *names, "f"), f"live{size}")
+        got = materialise(frequent_phrases(level(index, size, buckets, live), size, least), f"level{size}")
+        live = got.where(F.col("shard").isNotNull()).select("shard", "data")
         shorter = found[size - 1]
         head = shorter.select(*names[:-1], "lang", F.col("phrase").alias("__head"), F.col("heads").alias("__heads"))
         tail = shorter.select(*[F.col(a).alias(b) for a, b in zip(columns(size - 1), names[1:], strict=True)], "last", F.col("tails").alias("__tails"))
-        own = live.groupBy(*names).agg(F.max("f").alias("f")).join(head, names[:-1]).join(tail, names[1:])
+        own = got.where(F.col("shard").isNull()).select(*names, "f").join(head, names[:-1]).join(tail, names[1:])
         whole = own.select("lang", *names, "f", F.concat_ws(" ", "__head", "last").alias("phrase"), "last", F.concat("__heads", F.array("f")).alias("heads"), F.concat("__tails", F.array("f")).alias("tails"))
         found[size] = materialise(whole, f"phrases{size}")
 
@@ -286,16 +368,18 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, shard_word
             within = [found[size + 1].select(*[F.col(a).alias(b) for a, b in zip(longer[k : k + size], names, strict=True)], F.col("f").alias("in")) for k in (0, 1)]
             most = within[0].union(within[1]).groupBy(*names).agg(F.max("in").alias("in"))
             own = own.join(most, names, "left").where(F.coalesce(F.col("in") * 100 < F.col("f") * ABSORBED, F.lit(True)))
-        own = own.join(around[size], names)
         cuts = F.array(*[F.struct(F.expr(f"2000000BD * CAST(f AS DECIMAL(20, 0)) div CAST(heads[{k - 1}] + tails[{size - k - 1}] AS DECIMAL(20, 0))").alias("score"), F.lit(k).alias("k"), F.get("heads", F.lit(k - 1)).alias("l"), F.get("tails", F.lit(size - k - 1)).alias("r")) for k in range(1, size)])
-        part = own.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score", "before", "behind")
+        words = [F.col(f"w{i + 1}") if i < size else F.lit(None).cast("long").alias(f"w{i + 1}") for i in range(DEPTH)]
+        part = own.withColumn("cut", F.array_min(cuts)).select("lang", "phrase", F.col("f").alias("a"), "cut.l", "cut.r", "cut.score", *words)
         out = part if out is None else out.union(part)
 
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(64))  # so that a language's phrases never meet in one task unless among the first
     firsts = out.withColumn("__k", F.row_number().over(Window.partitionBy("lang", salt).orderBy(*order))).where(F.col("__k") <= top)
-    last = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return last.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "before", "behind")
+    last = materialise(firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top), "best")
+    around = surroundings(index, last).withColumnsRenamed({c: f"__{c}" for c in columns(DEPTH)})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns(DEPTH)]
+    return last.join(around, same).join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "before", "behind")
 
 
 def op11_phrases(spark, sf_dir: str) -> DataFrame:
