@@ -154,11 +154,16 @@ def is_date_line(c: Column, folded: Column | None = None) -> Column:
     return any_of(MONTHS, fold(c) if folded is None else folded) & F.coalesce(c, F.lit("")).rlike(r"\b(20\d\d)\b")
 
 
+def is_prose(c: Column) -> Column:
+    """Long lines that end like a sentence or stand in parentheses."""
+    s = F.trim(F.coalesce(c, F.lit("")))
+    return (F.length(s) > 45) & (s.endswith(".") | (s.startswith("(") & s.endswith(")")))
+
+
 def is_boilerplate(c: Column, folded: Column | None = None) -> Column:
     """banners, notes on the notes, remarks on units, and prose. ``folded``: fold(c) where the caller has it already."""
-    folded, s = fold(c) if folded is None else folded, F.trim(F.coalesce(c, F.lit("")))
-    prose = (F.length(s) > 45) & (s.endswith(".") | (s.startswith("(") & s.endswith(")")))
-    return (folded != "") & (any_of(BANNERS, folded) | (any_of(NOTE_WORDS, folded) & any_of(NOTE_COMPANIONS, folded)) | any_of(UNIT_WORDS, folded) | prose)
+    folded = fold(c) if folded is None else folded
+    return (folded != "") & (any_of(BANNERS, folded) | (any_of(NOTE_WORDS, folded) & any_of(NOTE_COMPANIONS, folded)) | any_of(UNIT_WORDS, folded) | is_prose(c))
 
 
 def code(c: Column) -> Column:

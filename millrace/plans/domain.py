@@ -64,6 +64,45 @@ def _(t):
     return records(t).where("depth = 2").select("doc_id", "period_code", "label", "parent", "depth", "amount")
 
 
+def report_book(t):
+    """Three pages for each order: a balance sheet with coded, dashed, footnoted, grouped and total lines, its second page without a title, and an income statement in another unit."""
+    money = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    price, tax = money(F.col("l_extendedprice")), money(F.col("l_tax") * 100 + 1)
+    odd = F.concat(F.lit("1.1."), F.col("l_linenumber").cast("string"), F.lit(" Kalem\n"), price, F.lit("\n("), tax, F.lit(")"))
+    even = F.concat(F.lit("- Alt Kalem\n12\n"), price, F.lit("\n"), tax)
+    line = F.when(F.col("l_linenumber") % 2 == 1, odd).otherwise(even)
+    body = spread(t.lineitem).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
+    sums = t.orders.select(F.col("o_orderkey").alias("doc_id"), money(F.col("o_totalprice")).alias("m"))
+    dates = "31 Aralık 2024\n31 Aralık 2023\n"
+    page = lambda n, *parts: F.struct(F.lit(n).alias("page_no"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("text"))
+    b, m = F.col("body"), F.col("m")
+    pages = F.array(
+        page(0, "Finansal Durum Tablosu\nBin TL\n" + dates + "VARLIKLAR\nDipnot\n1.1 Dönen Varlıklar:\n", b, "\nGrup\n- Parça\n", m, "\n-\nToplam Varlıklar\n", m, "\n", m),
+        page(1, "cari dönem\nKAYNAKLAR\nII. Özkaynaklar\n2.1\nSermaye\n", m, "\n", m, "\n2.1.3 Yedek\n-\n", m),
+        page(2, "Gelir Tablosu\nMilyon TL\n" + dates + "GELİR VE GİDER KALEMLERİ\nI. FAİZ GELİRLERİ\n", m, "\n", m, "\n1.1 Kredi\n", m, "\n", m, "\n1.1.1 Konut\n", m, "\n(", m, ")\nDiğer\n", m, "\n", m),
+    )
+    return body.join(sums, "doc_id").select("doc_id", F.explode(pages).alias("p")).select("doc_id", "p.*")
+
+
+@query(
+    "t4_every_depth",
+    """WITH o AS (SELECT o_orderkey AS doc_id, CAST(o_totalprice AS DECIMAL(22, 2)) AS m FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)), p AS (SELECT * FROM (VALUES ('202412', 0), ('202312', 1)) v(period_code, k)),
+    fixed AS (SELECT doc_id, x.*, m FROM o, (VALUES
+      ('BALANCE_SHEET', 'VARLIKLAR', NULL, 'VARLIKLAR', 0, 0, NULL, NULL), ('BALANCE_SHEET', 'VARLIKLAR', 'VARLIKLAR', '1.1 Dönen Varlıklar', 1, 0, NULL, NULL), ('BALANCE_SHEET', 'VARLIKLAR', '1.1 Dönen Varlıklar', 'Grup', 2, 0, NULL, NULL),
+      ('BALANCE_SHEET', 'VARLIKLAR', 'Grup', '- Parça', 3, 0, 1000, 0), ('BALANCE_SHEET', 'VARLIKLAR', '1.1 Dönen Varlıklar', 'Toplam Varlıklar', 2, 1, 1000, 1000), ('BALANCE_SHEET', 'KAYNAKLAR', NULL, 'KAYNAKLAR', 0, 0, NULL, NULL),
+      ('BALANCE_SHEET', 'II. ÖZKAYNAKLAR', NULL, 'II. Özkaynaklar', 0, 0, NULL, NULL), ('BALANCE_SHEET', 'II. ÖZKAYNAKLAR', 'II. ÖZKAYNAKLAR', '2.1 Sermaye', 1, 0, 1000, 1000), ('BALANCE_SHEET', 'II. ÖZKAYNAKLAR', '2.1 Sermaye', '2.1.3 Yedek', 2, 0, 0, 1000),
+      ('INCOME_STATEMENT', 'GELİR VE GİDER KALEMLERİ', NULL, 'GELİR VE GİDER KALEMLERİ', 0, 0, NULL, NULL), ('INCOME_STATEMENT', 'I. FAİZ GELİRLERİ', NULL, 'I. FAİZ GELİRLERİ', 0, 0, 1000000, 1000000),
+      ('INCOME_STATEMENT', 'I. FAİZ GELİRLERİ', 'I. FAİZ GELİRLERİ', '1.1 Kredi', 1, 0, 1000000, 1000000), ('INCOME_STATEMENT', 'I. FAİZ GELİRLERİ', '1.1 Kredi', '1.1.1 Konut', 2, 0, 1000000, -1000000), ('INCOME_STATEMENT', 'I. FAİZ GELİRLERİ', '1.1 Kredi', 'Diğer', 2, 0, 1000000, 1000000)
+      ) x(statement, section, parent, label, depth, subtotal, f0, f1))
+    SELECT doc_id, statement, period_code, section, parent, label, CAST(NULL AS VARCHAR) AS note, depth, subtotal, CAST(CASE k WHEN 0 THEN f0 ELSE f1 END * m AS DECIMAL(22, 2)) AS amount FROM fixed, p
+    UNION ALL SELECT l_orderkey, 'BALANCE_SHEET', period_code, 'VARLIKLAR', '1.1 Dönen Varlıklar', CASE WHEN l_linenumber % 2 = 1 THEN '1.1.' || l_linenumber || ' Kalem' ELSE '- Alt Kalem' END, CASE WHEN l_linenumber % 2 = 0 THEN '12' END, CASE WHEN l_linenumber % 2 = 1 THEN 2 ELSE 3 END, 0,
+      CAST(CASE WHEN k = 0 THEN round(l_extendedprice, 2) * 1000 WHEN l_linenumber % 2 = 1 THEN -(round(l_tax * 100 + 1, 2) * 1000) ELSE round(l_tax * 100 + 1, 2) * 1000 END AS DECIMAL(22, 2)) FROM lineitem JOIN o ON doc_id = l_orderkey, p""",
+)
+def _(t):
+    pages = durable(ST.classify_pages(report_book(t)), "pages")
+    return ST.statement_lines(ST.clean_lines(pages), ST.periods(pages)).select("doc_id", "statement", "period_code", "section", "parent", "label", "note", "depth", "subtotal", "amount")
+
+
 @query("t5_report", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem) ORDER BY l_linenumber")
 def _(t):
     df = t.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.lit("202412").alias("period_code"), F.col("l_linenumber").alias("line_order"), "l_quantity")
