@@ -133,6 +133,46 @@ def test_communities_of_two_cliques(spark):
     assert len({labels[f"a{i}"] for i in range(6)}) == 1 and len({labels[f"b{i}"] for i in range(6)}) == 1 and labels["a1"] != labels["b1"]
 
 
+def connected(edges, members):
+    """Whether the links among ``members`` connect them."""
+    seen, edge = set(), {min(members)}
+    while edge:
+        seen |= edge
+        edge = {b for x in edges for a, b in (x, x[::-1]) if a in edge and b in members} - seen
+    return seen == set(members)
+
+
+def test_communities_are_connected(spark):
+    """A graph of rings and chords at random: every community holds together by its own links, and is no worse than one level of plain moves."""
+    draw = __import__("random").Random(3)
+    edges = sorted({tuple(sorted((i, (i + 1) % 60))) for i in range(60)} | {tuple(sorted(draw.sample(range(60), 2))) for _ in range(40)})
+    frame = spark.createDataFrame([(a, b, "r") for a, b in edges], "src int, dst int, relation string")
+    found = {r.id: r.community for r in G.communities(spark.createDataFrame([(x,) for x in range(61)], "id int"), frame).collect()}
+    groups = {c: {x for x, of in found.items() if of == c} for c in found.values()}
+    assert all(min(m) == c and connected(edges, m) for c, m in groups.items()) and groups[60] == {60}
+    assert plain_modularity(edges, found) >= plain_modularity(edges, greedy(edges))
+
+
+def greedy(edges):
+    """One level of plain single moves, node by node, until none gains."""
+    group, moved = {x: x for e in edges for x in e}, True
+    while moved:
+        moved = False
+        for x in sorted(group):
+            now = plain_modularity(edges, group)
+            options = {group[b] for e in edges for a, b in (e, e[::-1]) if a == x}
+            best = max(options, key=lambda c: (plain_modularity(edges, group | {x: c}), -c))
+            if plain_modularity(edges, group | {x: best}) > now + 1e-9:
+                group[x], moved = best, True
+    return group
+
+
+def test_parts_of_a_cut_community(spark):
+    pairs = spark.createDataFrame([(a, b) for x in [(1, 2), (2, 3), (4, 5), (3, 9), (9, 4)] for a, b in (x, x[::-1])], "u int, v int")
+    labels = spark.createDataFrame([(i, 7) for i in (1, 2, 3, 4, 5, 6)] + [(9, 8)], "id int, community int")
+    assert rows(G.connected_parts(pairs, labels), "id") == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (9, 9)]
+
+
 def partitions(items):
     """All ways to put items into groups, as a list of group numbers."""
     ways = [[0]]
