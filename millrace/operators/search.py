@@ -51,13 +51,13 @@ def add_segment(chunks: DataFrame, path: str, segment: int, floor: float = 0.25)
     tf = durable(counted.groupBy("id", "len", "word").agg(F.count("word").cast("int").alias("tf")), "terms")  # a chunk without words has one row, without word
     tf.groupBy("id").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).write.mode("overwrite").parquet(at("sizes"))
     found = tf.where("word is not null")
-    found.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("bucket", bucket_of(F.col("word"))).write.mode("overwrite").partitionBy("bucket").parquet(at("words"))
+    found.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("bucket", bucket_of(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(at("words"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / BLOCK)).cast("int"))
     split = spark.read.parquet(at("words")).select("word", bits.alias("bits"))
     placed = found.join(split, "word").withColumn("block", hash_of(F.col("id")).bitwiseAND(low_bits("bits")))
     blocks = placed.groupBy("word", "bits", "block").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("chunks"), F.max("tf").alias("most"), F.min("len").alias("shortest"))
     # a word's blocks are in order within their file, so that the file's own index of values finds them
-    blocks.withColumn("bucket", bucket_of(F.col("word"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "word", "block").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+    blocks.withColumn("bucket", bucket_of(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word", "block").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     sizes, words = (spark.read.parquet(f"{path}/{t}").where(F.col("segment") <= segment) for t in ("sizes", "words"))
     total = sizes.agg(F.sum("n").alias("n"), (F.sum("len") / F.sum("n")).alias("mean"))
     idf = words.groupBy("word").agg(F.sum("df").alias("df")).join(F.broadcast(total)).select(idf_of(F.col("n"), F.col("df")).alias("idf"))  # one row of totals
