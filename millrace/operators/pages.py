@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import article_text, has_extension, html_text, paragraphs, resolve_url, split_list
-from .durable import durable
+from . import commits
+from .durable import new_path, remove
 from .position import first_by
 
 WINDOWS = {"d": "1d", "w": "7d", "m": "1m"}
@@ -23,18 +25,44 @@ def links(pages: DataFrame) -> DataFrame:
     return with_href.withColumn("url", resolve_url(F.col("page_url"), F.col("href")))
 
 
-def reachable(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def reachable(links: DataFrame, seeds: DataFrame, depth: int, buckets: int = commits.BUCKETS) -> DataFrame:
     """L2: links (src, dst), seeds (seed) -> seed, url, depth: urls that start with the seed, at their least depth.
 
-    One frontier join for each level; pages seen before are taken out, so that each is visited once.
+    Links and visited pages lie in folders by a hash of their URL. A level opens the links of its frontier's buckets and the visited pages of its candidates' buckets, as the folders'
+    names tell; its plan is the same at every depth. A bucket has as many files and tasks as its size asks for. Ends with the first level that finds nothing new.
     """
-    frontier = seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")).distinct()
-    seen = frontier
+    spark, root = links.sparkSession, new_path(links.sparkSession, "crawl")
+    schema = T.StructType([T.StructField("seed", seeds.schema["seed"].dataType), T.StructField("url", T.StringType()), T.StructField("depth", T.IntegerType())])
+    edges = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])
+
+    def put(df: DataFrame, name: str, url: str) -> None:
+        df.withColumn("bucket", commits.bucket_of([url], buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", url).write.partitionBy("bucket").parquet(f"{root}/{name}")
+
+    def folders(name: str) -> dict[int, list[str]]:
+        out = {}
+        for x in commits.found(spark, f"{root}/{name}/bucket=*"):
+            out.setdefault(int(x.rpartition("=")[2]), []).append(x)
+        return out
+
+    def read(at: dict[int, list[str]], which, kind: T.StructType) -> DataFrame:
+        return commits.read_folders(spark, [x for b in sorted(which) for x in at.get(b, [])], kind)
+
+    put(links.select("src", "dst").where("src is not null and dst is not null"), "links", "src")
+    put(seeds.select("seed", F.col("seed").alias("url"), F.lit(0).alias("depth")).distinct(), "visited/depth=0", "url")
+    stored = folders("links")
     for d in range(1, depth + 1):
-        step = frontier.join(links, F.col("url") == F.col("src")).where(F.col("dst").startswith(F.col("seed"))).select("seed", F.col("dst").alias("url"), F.lit(d).alias("depth")).distinct()
-        frontier = durable(step.join(seen.select("seed", "url"), ["seed", "url"], "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+        now = folders(f"visited/depth={d - 1}")
+        if not now:
+            break
+        step = read(now, now, schema).join(read(stored, now, edges), F.col("url") == F.col("src")).where(F.col("dst").startswith(F.col("seed")))
+        put(step.select("seed", F.col("dst").alias("url"), F.lit(d).alias("depth")).distinct(), f"step={d}", "url")
+        found = folders(f"step={d}")
+        seen = read(folders("visited/depth=*"), found, schema).select("seed", "url")
+        put(read(found, found, schema).join(seen, ["seed", "url"], "left_anti"), f"visited/depth={d}", "url")
+        remove(spark, f"{root}/step={d}")
+    remove(spark, f"{root}/links")
+    every = folders("visited/depth=*")
+    return read(every, every, schema)
 
 
 def find_files(links: DataFrame, exts: list[str], query: str | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from ..operators.durable import durable, new_path
 from ..sources import feeds as S
 from ..sources.feeds import spread
 from ..streaming import streams as M
+from ..streaming.tail_source import tail_stream
 from .registry import query
 from .relational import items
 from .scalars import BOT, html_text, paragraphs
@@ -453,6 +454,18 @@ def _(t):
     return M.tail(requests(t), 500).select("id", "event_type")
 
 
+@query("m4_tail_source", "SELECT event_id AS id, event_type FROM events WHERE event_id > 500")
+def _(t):
+    log, path, checkpoint = (new_path(t.spark, x) for x in ("log", "landed", "stream"))
+    rows = requests(t).select("id", "event_type")
+    half = (rows.agg(F.max("id")).first()[0] or 0) // 2
+    for part in (F.col("id") <= half, F.col("id") > half):  # the stream stops, the log grows, the stream goes on
+        rows.where(part).repartitionByRange("id").write.mode("append").parquet(log)
+        stream = tail_stream(t.spark, log, rows.schema, "id", 500)
+        run_stream(stream, lambda df, n: S.append(df, path, batch=n, keys=["id"]), t.spark, checkpoint=checkpoint)
+    return commits.read(t.spark, path, rows.schema, ledger=True)
+
+
 @query("m6_assemble_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS tokens FROM conversations GROUP BY 1")
 def _(t):
     return M.assemble_text(t.conversations, "conv_id", "turn", "text", " ")
@@ -463,9 +476,9 @@ def stream_of(t, name: str):
     return t.spark.readStream.schema(getattr(t, name).schema).parquet(f"{t.folder}/{name}.parquet*")
 
 
-def run_stream(stream, sink, spark, mode: str = "append") -> None:
-    """All that is there now, through a foreachBatch sink, with a checkpoint in the shared folder."""
-    job = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start()
+def run_stream(stream, sink, spark, mode: str = "append", checkpoint: str | None = None) -> None:
+    """All that is there now, through a foreachBatch sink, with a checkpoint in the shared folder: a new one, or that of an earlier run to go on from."""
+    job = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint or new_path(spark, "stream")).trigger(availableNow=True).start()
     job.awaitTermination()
 
 

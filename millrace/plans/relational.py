@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,6 +12,8 @@ from ..operators import aggregates as A
 from ..operators import filters as P
 from ..operators import joins as J
 from ..operators import position as W
+from ..operators.durable import new_path
+from ..operators.paging import build_pages, page_count, seek_page
 from ..sources import feeds as S
 from .registry import query
 
@@ -537,6 +542,18 @@ def _(t):
     return W.page(t.events.select("event_id", "ts"), [F.col("ts").desc(), F.col("event_id").desc()], 3)
 
 
+@query(
+    "o2_late_pages",
+    """WITH e AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS n, CAST((count(*) OVER () + 49) // 50 AS BIGINT) AS last FROM events)
+    SELECT (n + 49) // 50 AS page, event_id, ts FROM e WHERE (n + 49) // 50 IN (1, last // 2, last)""",
+)
+def _(t):
+    path, rows = new_path(t.spark, "pages"), t.events.select("event_id", "ts")
+    build_pages(rows, [F.col("ts").desc(), F.col("event_id").desc()], path)
+    last = page_count(t.spark, path)
+    return reduce(DataFrame.unionByName, [seek_page(t.spark, path, rows.schema, n).select(F.lit(n).cast("long").alias("page"), "*") for n in sorted({1, last // 2, last})])
+
+
 @query("o3_top_n", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 120")
 def _(t):
     return W.top_n(t.events.select("event_id", "ts"), [F.col("ts").desc(), F.col("event_id")], 9999, 120)
