@@ -7,7 +7,9 @@ excluded. Below order 0 the remaining symbols are equally likely. The end of the
 
 Counting is a distributed aggregation of byte n-grams over all training texts, and no context is left out: the trie, a table in the shared folder,
 grows with the corpus. N-grams are dealt by the three symbols ahead of the last one, so that a task holds an n-gram with all its suffixes of four
-symbols or more, and its context's other symbols. The most frequent contexts, down to a count that leaves at most MOST_KEPT n-grams, are written as files of their own that
+symbols or more, and its context's other symbols. A context that would hold more than a task's share of all distinct n-grams is split: its n-grams are dealt by one symbol more, up to all
+ORDER of them. What follows a split context itself, at most 256 symbols, is summed over the tasks, and every task that needs it has it. Which contexts are split is told by a
+sample of the texts; it changes no count, only where things are counted. The most frequent contexts, down to a count that leaves at most MOST_KEPT n-grams, are written as files of their own that
 each Python worker loads once, together with all n-grams of up to three symbols, and score a text where it is read. Positions with a rarer or unknown
 context are passed on as (row, n-gram, times) to the tasks that hold the trie's parts. Where a position is scored does not change its score.
 The unigram base needs exact counts of every word: frequent words (at most 1 / WORD_SHARE of them) are broadcast,
@@ -21,11 +23,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, files, fold, map_arrow, materialise, new_path, table, text_bytes
+from .common import discard, field, files, fold, map_arrow, materialise, new_path, table, text_bytes
 
 ORDER = 6
 #: The edge symbol stands before a text and after it; UTF-8 has no such byte.
@@ -34,6 +36,8 @@ EDGE, SYMBOLS = 0xFF, 256
 LOW = 3
 #: N-grams of the higher orders that a worker holds, with their contexts about 16 bytes each.
 MOST_KEPT = 8_000_000
+#: Texts of the sample that tells which contexts are split over tasks.
+SPLIT_DOCS = 5_000
 WORD_SHARE = 1e-6
 END = "\n"  # the token after a text's last word; no word holds white space
 #: Entries that a task gathers before it passes them on, and positions that it sorts at once.
@@ -118,27 +122,84 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), run, "gram long, n long")
 
 
-def by_context(gram: Column) -> Column:
-    """What deals n-grams to tasks: the LOW symbols ahead of the last one."""
-    return F.xxhash64(F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1)))
+def context(gram: Column, length: int) -> Column:
+    """The ``length`` symbols ahead of the last one."""
+    return F.shiftright(gram, 8).bitwiseAND(F.lit((1 << 8 * length) - 1))
 
 
-def trie_table(docs: DataFrame) -> DataFrame:
-    """(k, g, n, t): count n of each n-gram g of the orders LOW ... ORDER, and count t of its context."""
+def split_contexts(docs: DataFrame, parts: int | None = None, most: int = SPLIT_DOCS) -> list[np.ndarray]:
+    """Contexts of LOW ... ORDER - 1 symbols that hold more than one part in ``parts`` (shuffle partitions) of the distinct n-grams of at most about ``most`` texts: ``parts`` at most of each length."""
+    parts, rows = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.count()
+    chosen = docs if rows <= most else docs.sample(most / rows, seed=7)
+    longest = gram_counts(chosen).select("gram").distinct().groupBy(context(F.col("gram"), ORDER - 1).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(longest, "contexts")
+    all_ = sizes.agg(F.sum("n")).first()[0] or 0
+    out = []
+    for length in range(LOW, ORDER):
+        cut = F.col("c").bitwiseAND(F.lit((1 << 8 * length) - 1))
+        heavy = sizes.groupBy(cut.alias("c")).agg(F.sum("n").alias("n")).where(F.col("n") * parts > all_) if not out or len(out[-1]) else None
+        out.append(np.sort(np.array([r.c for r in heavy.collect()] if heavy else [], np.int64)).view(np.uint64))
+    discard(sizes)
+    return out
+
+
+def by_context(gram: Column, split: list[np.ndarray]) -> Column:
+    """What deals n-grams to tasks: the LOW symbols ahead of the last one, more where these are split."""
+    deal = F.xxhash64(F.lit(ORDER), context(gram, ORDER))
+    for length in range(ORDER - 1, LOW - 1, -1):
+        inner = context(gram, length)
+        heavy = split[length - LOW].view(np.int64).tolist()
+        here = F.xxhash64(F.lit(length), inner)
+        deal = F.when(inner.isin(heavy), deal).otherwise(here) if heavy else here
+    return deal
+
+
+def is_split(k: Column, gram: Column, split: list[np.ndarray]) -> Column:
+    """Whether an n-gram of order k follows a split context."""
+    out = F.lit(False)
+    for i, heavy in enumerate(split):
+        if len(heavy):
+            out = out | (k == LOW + i) & context(gram, LOW + i).isin(heavy.view(np.int64).tolist())
+    return out
+
+
+def fold_in(batches, columns: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of (n-gram, count) batches; what is gathered stays within GATHER above the distinct ones."""
+    held, gathered = [], 0
+    for b in batches:
+        held.append((b.column(columns[0]).to_numpy().view(np.uint64), b.column(columns[1]).to_numpy()))
+        gathered += b.num_rows
+        if gathered > GATHER + len(held[0][0]):
+            held, gathered = [summed(*map(np.concatenate, zip(*held, strict=True)))], 0
+    return summed(*map(np.concatenate, zip(*held, strict=True))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def trie_table(docs: DataFrame, split: list[np.ndarray]) -> DataFrame:
+    """(k, g, n, t): count n of each n-gram g of the orders LOW ... ORDER, and count t of its context. Those of split contexts come in parts, t being 0: see ``whole_trie``."""
 
     def run(batches):
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
+        gram, n = fold_in(batches)
+        if not len(gram):
             return
-        gram, n = summed(*map(np.concatenate, zip(*parts, strict=True)))
         for order in range(ORDER, LOW - 1, -1):
             if order < ORDER:
                 gram, n = summed(gram & np.uint64((1 << 8 * (order + 1)) - 1), n)
             first = first_of(gram >> np.uint64(8))
             t = np.repeat(np.add.reduceat(n, first), lengths_of(first, len(gram)))
+            if order < ORDER and len(split[order - LOW]):
+                t[find(split[order - LOW], gram >> np.uint64(8)) >= 0] = 0
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), order, np.int32)), pa.array(gram.view(np.int64)), pa.array(n), pa.array(t)], names=["k", "g", "n", "t"])
 
-    return map_arrow(gram_counts(docs).repartition(by_context(F.col("gram"))), run, "k int, g long, n long, t long")
+    return map_arrow(gram_counts(docs).repartition(by_context(F.col("gram"), split)), run, "k int, g long, n long, t long")
+
+
+def whole_trie(parts: DataFrame, split: list[np.ndarray]) -> DataFrame:
+    """``trie_table``'s rows with the parts of split contexts summed up."""
+    if not any(map(len, split)):
+        return parts
+    sums = parts.where("t = 0").groupBy("k", "g").agg(F.sum("n").alias("n"))
+    after = sums.withColumn("t", F.sum("n").over(Window.partitionBy("k", F.shiftright("g", 8))))  # 256 rows at most
+    return parts.where("t > 0").unionByName(after)
 
 
 def low_orders(trie: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -275,12 +336,16 @@ class Trie:
         return out, [text[order], (late >> np.uint64(DOC_BITS)).view(np.int64)[order], times[order]]
 
 
-def settle(left: DataFrame, trie: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], most: int = 200_000) -> DataFrame:
+def settle(left: DataFrame, trie: DataFrame, low: list[tuple[np.ndarray, np.ndarray]], split: list[np.ndarray], most: int = 200_000) -> DataFrame:
     """(row, x) of positions passed on (row, g, n): their log10 probabilities times n, summed over the part of a row that a task holds.
 
-    In each task the trie's n-grams come first and stay; the positions stream past them.
+    In each task the trie's n-grams come first and stay; the positions stream past them. What follows split contexts, at most 256 n-grams for each of them, goes to all tasks.
     """
-    shared = left.sparkSession.sparkContext.broadcast(low)
+    common = None
+    if any(map(len, split)):
+        within = is_split(F.col("k"), F.col("g"), split)
+        common, trie = trie.where(within).select("k", "g", "n").toArrow(), trie.where(~within)
+    shared = left.sparkSession.sparkContext.broadcast((low, common))
     both = trie.select(F.lit(0).alias("side"), "k", "g", "n", F.lit(0).cast("long").alias("row")).union(left.select(F.lit(1), F.lit(0), "g", F.col("n").cast("long"), "row"))
 
     def run(batches):
@@ -298,7 +363,9 @@ def settle(left: DataFrame, trie: DataFrame, low: list[tuple[np.ndarray, np.ndar
                 model.append(batch.slice(0, cut))
             if cut < batch.num_rows:
                 if trie is None:
-                    trie = Trie([*shared.value, *split_orders(pa.Table.from_batches(model, batch.schema))])
+                    low, common = shared.value
+                    own = pa.Table.from_batches(model, batch.schema).select(["k", "g", "n"])
+                    trie = Trie([*low, *split_orders(own if common is None else pa.concat_tables([own, common.cast(own.schema)]))])
                     model = []
                 held.append(batch.slice(cut))
                 if sum(b.num_rows for b in held) >= most:
@@ -307,7 +374,7 @@ def settle(left: DataFrame, trie: DataFrame, low: list[tuple[np.ndarray, np.ndar
         if held:
             yield out()
 
-    return map_arrow(both.repartition(by_context(F.col("g"))).sortWithinPartitions("side"), run, "row long, x double")
+    return map_arrow(both.repartition(by_context(F.col("g"), split)).sortWithinPartitions("side"), run, "row long, x double")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -338,7 +405,8 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     are scored each. Without training texts a word's base is 1 and the bytes are equally likely.
     """
     spark = docs.sparkSession
-    table_ = materialise(trie_table(training), "trie")
+    split = split_contexts(training)
+    table_ = whole_trie(materialise(trie_table(training, split), "trie"), split)
     low = low_orders(table_)
     positions = int(low[0][1].sum())
     folders = frequent_orders(table_) if positions else []
@@ -385,7 +453,7 @@ def score_documents(docs: DataFrame, training: DataFrame) -> DataFrame:
     none = F.lit(0.0)
     rest = looked_up.select("row", (each * F.col("k")).alias("base"), F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0).alias("also"), none.alias("score"))
     if positions:
-        far = settle(rows.select("row", F.explode("late").alias("x")).select("row", "x.g", "x.n"), table_, low)
+        far = settle(rows.select("row", F.explode("late").alias("x")).select("row", "x.g", "x.n"), table_, low, split)
         rest = rest.union(far.select("row", none, F.lit(0).cast("long"), "x"))
     rest = rest.groupBy("row").agg(F.sum("base").alias("more"), F.sum("also").alias("also"), F.sum("score").alias("far"))
     return rows.drop("rare", "late").join(rest, "row", "left").select(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from millrace.llm import ppm
 from millrace.llm.common import fold
-from millrace.llm.ppm import EDGE, LOW, ORDER, SYMBOLS, Trie, batches_of, frequent_orders, keys, load_orders, low_orders, score_documents, trie_table
+from millrace.llm.ppm import EDGE, LOW, ORDER, SYMBOLS, Trie, batches_of, frequent_orders, keys, load_orders, low_orders, score_documents, split_contexts, trie_table, whole_trie
 
 
 def plain_trie(texts, least, low):
@@ -39,6 +39,9 @@ TRAIN = [b"the cat sat on the mat", b"the hat", b"", b"abracadabra abracadabra",
 HELD = [b"the cat sat", b"zebra", b"", b"abracat \xc3\xa9\xfe", b"the mat on the cat"]
 
 
+NONE = [np.zeros(0, np.uint64)] * (ORDER - LOW)
+
+
 def plain_score(trie, text):
     symbols = [EDGE] * ORDER + list(text) + [EDGE]
     return sum(math.log10(plain_probability(trie, symbols[i - ORDER : i], symbols[i])) for i in range(ORDER, len(symbols)))
@@ -46,7 +49,7 @@ def plain_score(trie, text):
 
 @pytest.mark.parametrize("most, least", [(1000, 1), (150, 2)])
 def test_scores_equal_the_definition(spark, docs_of, most, least):
-    table = trie_table(docs_of([(i, t.decode()) for i, t in enumerate(TRAIN)])).cache()
+    table = trie_table(docs_of([(i, t.decode()) for i, t in enumerate(TRAIN)]), NONE).cache()
     kept = load_orders(frequent_orders(table, most))
     trie, plain = Trie([*low_orders(table), *kept]), plain_trie(TRAIN, least, LOW)
     assert sum(len(g) for g, _ in kept) == sum(len(x) for c, x in plain.items() if len(c) >= LOW) <= most
@@ -68,6 +71,36 @@ def test_a_score_is_the_same_wherever_its_positions_are_scored(spark, docs_of, m
     assert all(math.isclose(got[i], plain_score(plain, t), rel_tol=1e-9) for i, t in enumerate(held))
 
 
+@pytest.mark.parametrize("parts", [30, 100])
+@pytest.mark.parametrize("most", [1000, 3])
+def test_split_contexts_change_no_count_and_no_score(spark, docs_of, monkeypatch, parts, most):
+    monkeypatch.setattr(ppm.frequent_orders, "__defaults__", (most,))
+    monkeypatch.setattr(ppm.split_contexts, "__defaults__", (parts, 5000))
+    train = docs_of([(i, t.decode()) for i, t in enumerate(TRAIN)])
+    split = split_contexts(train)
+    assert 0 < len(split[0]) <= parts and all(set(b & np.uint64((1 << 8 * (LOW + i)) - 1)) <= set(a) for i, (a, b) in enumerate(zip(split, split[1:])))
+    assert len(split[-1]) > 0 or parts == 30
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(whole_trie(trie_table(train, split), split)) == rows(trie_table(train, NONE))
+    held = [t for t in HELD if b"\xfe" not in t]
+    plain = plain_trie(TRAIN, 1, LOW)
+    got = {r.doc_id: r.score for r in score_documents(docs_of([(i, t.decode()) for i, t in enumerate(held)]), train).collect()}
+    assert all(math.isclose(got[i], plain_score(plain, t), rel_tol=1e-9) for i, t in enumerate(held))
+
+
+def test_the_largest_task_shrinks_with_the_number_of_tasks(spark):
+    """A passage's end that a third of all n-grams have before them is no task's alone."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" the ", *[F.substring(F.md5(F.concat_ws("/", "id", F.lit(i))), 1, 4) for i in range(20)]).alias("text"))
+    shares = []
+    for parts in (4, 64, 512):
+        split = split_contexts(docs, parts)
+        counts = ppm.gram_counts(docs).select(F.pmod(ppm.by_context(F.col("gram"), split), F.lit(parts)).alias("task"), "gram").distinct().groupBy("task").count()
+        shares.append(counts.agg(F.max("count") / F.sum("count")).first()[0] * parts)
+    assert len(split[0]) > 0 and max(shares) < 4, shares  # the largest task against the mean
+
+
 def test_positions():
     texts = [b"ab", b"", b"c", b"abcdefghij" * 3]
     want = sorted(((p + t + b"\xff")[i : i + ORDER + 1], d) for p in [b"\xff" * ORDER] for d, t in enumerate(texts) for i in range(len(t) + 1))
