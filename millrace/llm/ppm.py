@@ -36,8 +36,8 @@ EDGE, SYMBOLS = 0xFF, 256
 LOW = 3
 #: N-grams of the higher orders that a worker holds, with their contexts about 16 bytes each.
 MOST_KEPT = 8_000_000
-#: Texts of the sample that tells which contexts are split over tasks.
-SPLIT_DOCS = 5_000
+#: Texts of the sample that tells which contexts are split over tasks: some hundred thousand n-grams.
+SPLIT_DOCS = 500
 WORD_SHARE = 1e-6
 END = "\n"  # the token after a text's last word; no word holds white space
 #: Entries that a task gathers before it passes them on, and positions that it sorts at once.
@@ -171,6 +171,7 @@ def fold_in(batches, columns: tuple[int, int] = (0, 1)) -> tuple[np.ndarray, np.
         gathered += b.num_rows
         if gathered > GATHER + len(held[0][0]):
             held, gathered = [summed(*map(np.concatenate, zip(*held, strict=True)))], 0
+            pa.default_memory_pool().release_unused()
     return summed(*map(np.concatenate, zip(*held, strict=True))) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -179,6 +180,7 @@ def trie_table(docs: DataFrame, split: list[np.ndarray]) -> DataFrame:
 
     def run(batches):
         gram, n = fold_in(batches)
+        pa.default_memory_pool().release_unused()
         if not len(gram):
             return
         for order in range(ORDER, LOW - 1, -1):
@@ -230,6 +232,7 @@ def load_orders(folders: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for folder in folders:
         system, path = files(folder)
         out.append(by_gram(pq.read_table(path, columns=["g", "n"], filesystem=system)))
+        pa.default_memory_pool().release_unused()
     return out
 
 
