@@ -505,8 +505,8 @@ def _(t):
 def _(t):
     e = stream_of(t, "events").where("user_id is not null and event_type is not null")
     rows = e.select(F.col("user_id").cast("string").alias("document_id"), F.col("event_type").alias("task_type"), F.lit("Running").alias("status"), (F.floor("value").cast("int") % 3 * 50).alias("percent"), F.col("event_id").cast("double").alias("updated_at"))
-    every = landed(t, M.task_state(rows), "update")
-    return every.groupBy("document_id", "task_type").agg(*[F.max_by(c, "updated_at").alias(c) for c in ("percent", "start_time")], F.max("updated_at").alias("updated_at"))
+    every = landed(t, M.task_state(rows), "update")  # a task's row of the last batch is its state
+    return every.groupBy("document_id", "task_type").agg(*[F.max_by(c, "__batch").alias(c) for c in ("percent", "updated_at", "start_time")])
 
 
 @query("m5_status_upkeep", "WITH a AS (SELECT l_orderkey AS id, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS d, count(*) FILTER (l_linestatus <> 'F' AND l_returnflag = 'N') AS b FROM lineitem GROUP BY 1) SELECT o_orderkey AS project_id, CASE WHEN n IS NULL THEN 'Open' WHEN d >= n THEN 'Completed' WHEN d > 0 OR b > 0 THEN 'Active' ELSE 'Not Started' END AS status FROM orders LEFT JOIN a ON id = o_orderkey")

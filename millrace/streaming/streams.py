@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,20 +70,16 @@ def current_state(stream: DataFrame, keys: list[str], cols: list[str], order: st
 
 
 def task_state(stream: DataFrame) -> DataFrame:
-    """M3 with the rule that 0 percent starts the clock anew: document_id, task_type, status, percent, updated_at, start_time (update mode)."""
-    out = "document_id string, task_type string, status string, percent int, updated_at double, start_time double"
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [None, None, None, None]
-        for f in frames:
-            for r in f.sort_values("updated_at").itertuples():
-                start = r.updated_at if r.percent == 0 or held[3] is None else held[3]
-                held = [r.status, int(r.percent), float(r.updated_at), float(start)]
-        state.update(tuple(held))
-        yield pd.DataFrame([[*key, *held]], columns=["document_id", "task_type", "status", "percent", "updated_at", "start_time"])
-
-    rows = stream.select("document_id", "task_type", "status", "percent", "updated_at")
-    return rows.groupBy("document_id", "task_type").applyInPandasWithState(step, out, "status string, percent int, updated_at double, start_time double", "update", "NoTimeout")
+    """M3 with the rule that 0 percent starts the clock anew: document_id, task_type, status, percent, updated_at, start_time (update mode).
+
+    The clock stands at the latest row at 0 percent, or at the first row if there is none; whatever order a task's rows arrive in, within a batch or over several, the state is the same.
+    A row without a percentage leaves that of the row before it.
+    """
+    at = F.col("updated_at")
+    return stream.groupBy("document_id", "task_type").agg(
+        F.max_by("status", at).alias("status"), F.max_by("percent", F.when(F.col("percent").isNotNull(), at)).alias("percent"), F.max(at).alias("updated_at"),
+        F.coalesce(F.max(F.when(F.col("percent") == 0, at)), F.min(at)).alias("start_time"),
+    )
 
 
 def tail(df: DataFrame, last_id: int, key: str = "id") -> DataFrame:

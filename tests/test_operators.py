@@ -317,3 +317,12 @@ def test_task_clock(spark, stream, tmp_path):
     s = stream([[("d", "Map", "Running", 0, 1.0)], [("d", "Map", "Running", 50, 2.0)], [("d", "Map", "Running", 0, 3.0)], [("d", "Map", "Done", 100, 4.0)]], "document_id string, task_type string, status string, percent int, updated_at double")
     run(M.task_state(s), "update", tmp_path, "tasks")
     assert sorted({(r.percent, r.start_time) for r in spark.table("tasks").collect()}) == [(0, 1.0), (0, 3.0), (50, 1.0), (100, 3.0)]
+
+
+def test_task_clock_takes_rows_in_any_order(spark, stream, tmp_path):
+    n = 25_000  # more than a batch of rows that Python gets at once
+    order = sorted(range(n), key=lambda i: i * 7919 % n)
+    first = [("d", "Map", "Running", 0 if i == 20_000 else 50, float(i)) for i in order if i != 7]
+    s = stream([first, [("d", "Map", "Late", 10, 7.0), ("e", "Map", "Running", None, 1.0)]], "document_id string, task_type string, status string, percent int, updated_at double")
+    run(M.task_state(s), "update", tmp_path, "clock")
+    assert {tuple(r) for r in spark.table("clock").collect()} == {("d", "Map", "Running", 50, n - 1.0, 20_000.0), ("e", "Map", "Running", None, 1.0, 1.0)}
