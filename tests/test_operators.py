@@ -326,3 +326,10 @@ def test_task_clock_takes_rows_in_any_order(spark, stream, tmp_path):
     s = stream([first, [("d", "Map", "Late", 10, 7.0), ("e", "Map", "Running", None, 1.0)]], "document_id string, task_type string, status string, percent int, updated_at double")
     run(M.task_state(s), "update", tmp_path, "clock")
     assert {tuple(r) for r in spark.table("clock").collect()} == {("d", "Map", "Running", 50, n - 1.0, 20_000.0), ("e", "Map", "Running", None, 1.0, 1.0)}
+
+
+def test_synced_limits_do_not_depend_on_the_order_of_additions(spark):
+    local = spark.createDataFrame([(1, "a", 0, "s")], "customer_id long, name string, credit_limit long, sector string")
+    limits = spark.createDataFrame([(1, 2024, x) for x in (111215.54, 271481.35, 136848.61)], "customer_id long, as_of int, amount double")  # 519545.50, as doubles 519545.49999999994
+    got = C.sync_customers(local, local.select("customer_id", "name"), limits, spark.createDataFrame([(1, "t", 1)], "customer_id long, sector string, line int"), local)
+    assert rows(got) == [(1, "a", 519546, "t")]
