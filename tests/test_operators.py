@@ -99,6 +99,19 @@ def test_fusion_ties_and_single_lists(spark):
     assert got["y"] == pytest.approx(1 / 61 + 1 / 60) and got["x"] == pytest.approx(1 / 60) and got["z"] == pytest.approx(1 / 61)
 
 
+def test_cells_of_cosines_equal_the_scores_of_pairs(spark, monkeypatch):
+    some = [[float(i % 5), 1.0, i / 7] for i in range(20)] + [[0.0, 0.0, 0.0], None, [1.0, None, 2.0], [1.0, 2.0], []]
+    vectors = spark.createDataFrame(list(enumerate(some)), "id int, embedding array<float>")
+    asked = vectors.where("id % 2 = 0 or id > 19").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    key = lambda r: {(x.id, x.query_id): None if x.score is None else round(x.score, 9) for x in r.collect()}
+    want = key(J.score_pairs(asked, vectors, R.cosine))
+    monkeypatch.setattr(J, "CELL_VECTORS", 7)
+    monkeypatch.setattr(J, "CELL_QUERIES", 4)
+    got = J.cosine_pairs(asked, vectors)
+    assert key(got) == want and got.count() == len(want) == len(some) * asked.count()
+    assert J.cosine_pairs(asked.where("false"), vectors).count() == 0
+
+
 def test_queries_in_blocks_score_the_same(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id int, embedding array<double>")
     asked = vectors.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
