@@ -4,6 +4,7 @@ import random
 
 import pytest
 from millrace.operators import trees as TR
+from pyspark.sql import functions as F
 
 DEFS = "id int, parent_id string, code string, name string, is_leaf int"
 
@@ -61,3 +62,9 @@ def test_a_star_and_an_empty_tree(spark):
     check(spark, {1: None} | {i: 1 for i in range(2, 400)}, {i: 1 for i in range(1, 400)})
     none = spark.createDataFrame([], DEFS)
     assert TR.preorder(none).count() == 0 and TR.rollup_tree(none, spark.createDataFrame([(1, 1, 1.0)], "id int, period_id int, original_value double")).count() == 0
+
+
+def test_tables_as_long_as_the_tree_do_not_pass_the_driver(spark):
+    defs = spark.range(1, 200).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") > 1, F.floor(F.col("id") / 2).cast("string")).alias("parent_id"), F.col("id").cast("string").alias("code"), F.lit("n").alias("name"), F.lit(0).alias("is_leaf"))
+    plan = TR.preorder(defs)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
