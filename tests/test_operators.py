@@ -71,6 +71,24 @@ def test_statement_end_to_end(spark):
     ]
 
 
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_statements_are_dealt_once(spark, tmp_path):
+    """Pages are dealt, not their lines: one shuffle each for the lines and the periods, and no item is worked out twice."""
+    path = str(tmp_path / "pages")
+    spark.createDataFrame([(1, 0, "BALANCE_SHEET", 1000, "31 Aralık 2024\nVARLIKLAR\n1.1.1 Kasa\n1,00\n2,00")], "doc_id int, page_no int, statement string, scale int, text string").write.parquet(path)
+    pages = spark.read.parquet(path)
+    assert exchanges(ST.periods(pages)) == 2 and exchanges(ST.clean_lines(pages)) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert exchanges(ST.statement_lines(ST.clean_lines(pages, 7), ST.periods(pages))) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert ST.line_tasks(pages) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_codes_dashes_and_groups_of_a_statement(spark):
     text = "Gelir Tablosu\n31 Aralık 2024\n31 Aralık 2023\nI. ESAS FAALİYET GELİRLERİ\n100\n90\n1.1 Faiz\n60\n50\n1.1.1 Bireysel\n40\n30\n- Konut\n20\n10\nDiğer\n- Araç\n15\n14\n2.1 Ücret\n17\n16\n2.1.1.1 Alt\n21\n22\nFon\n31\n32\n- Son\n33\n34"
     kept = ST.classify_pages(spark.createDataFrame([(1, 0, text)], "doc_id int, page_no int, text string"))
