@@ -22,6 +22,8 @@ from .position import first_n_per
 
 #: Chunks of a block, about; folders that words are dealt to.
 BLOCK, BUCKETS = 128, 32
+#: Terms of an index that one task groups into blocks, about.
+TASK_TERMS = 1_000_000
 #: Cells that ``search`` scores first.
 FIRST_CELLS = 16
 #: Words of a request that are pushed into the scan as values; beyond them the scan is joined with the words.
@@ -40,6 +42,16 @@ def hash_of(chunk: Column) -> Column:
     return F.xxhash64(F.lit("cell"), chunk)
 
 
+def term_rows(chunks: DataFrame) -> DataFrame:
+    """(id, len, word, tf): a row for each word of each chunk (id, text), and one without word for the chunk. Words are counted within their row."""
+    sorted_ = chunks.select("id", F.array_sort(tokens(F.col("text"))).alias("w")).select("id", "w", F.size("w").alias("len"))
+    first = lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1))
+    runs = sorted_.select("id", "len", "w", F.when(F.col("len") > 0, F.filter(F.sequence(F.lit(0), F.col("len") - 1), first)).otherwise(F.array().cast("array<int>")).alias("starts"))
+    counted = F.transform("starts", lambda s, k: F.struct(F.get("w", s).alias("word"), (F.coalesce(F.get("starts", k + 1), F.col("len")) - s).alias("tf")))
+    chunk = F.array(F.struct(F.lit(None).cast("string").alias("word"), F.lit(0).alias("tf")))
+    return runs.select("id", "len", F.explode(F.concat(chunk, counted)).alias("x")).select("id", "len", "x.word", "x.tf")
+
+
 def add_segment(chunks: DataFrame, path: str, segment: int, floor: float = 0.25) -> None:
     """Index chunks (id, text) as segment ``segment`` (0, 1, ...) of the index at ``path``. Writing a segment anew replaces it; an id belongs to one segment only.
 
@@ -47,17 +59,19 @@ def add_segment(chunks: DataFrame, path: str, segment: int, floor: float = 0.25)
     """
     spark = chunks.sparkSession
     at = lambda table: f"{path}/{table}/segment={segment}"
-    counted = chunks.select("id", tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("len"), F.explode_outer("w").alias("word"))
-    tf = durable(counted.groupBy("id", "len", "word").agg(F.count("word").cast("int").alias("tf")), "terms")  # a chunk without words has one row, without word
-    tf.groupBy("id").agg(F.first("len").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).write.mode("overwrite").parquet(at("sizes"))
-    found = tf.where("word is not null")
+    terms = durable(term_rows(chunks), "terms")
+    terms.where("word is null").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("len")).write.mode("overwrite").parquet(at("sizes"))
+    found = terms.where("word is not null")
     found.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("bucket", bucket_of(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(at("words"))
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / BLOCK)).cast("int"))
-    split = spark.read.parquet(at("words")).select("word", bits.alias("bits"))
-    placed = found.join(split, "word").withColumn("block", hash_of(F.col("id")).bitwiseAND(low_bits("bits")))
-    blocks = placed.groupBy("word", "bits", "block").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("chunks"), F.max("tf").alias("most"), F.min("len").alias("shortest"))
+    split = durable(spark.read.parquet(at("words")).select("word", bits.alias("bits")).where("bits > 0"), "split")  # a table of its own, so that Spark knows how small it is
+    placed = found.join(split, "word", "left").withColumn("bits", F.coalesce("bits", F.lit(0))).withColumn("block", hash_of(F.col("id")).bitwiseAND(low_bits("bits")))
+    # postings are dealt once, by folder and share of its blocks, and are grouped and written where they come
+    shares = terms.count() // (BUCKETS * TASK_TERMS) + 1
+    dealt = placed.withColumn("bucket", bucket_of(F.col("word"))).withColumn("share", F.pmod(F.xxhash64("block", "word"), F.lit(shares))).repartition(BUCKETS * shares, "bucket", "share")
+    blocks = dealt.groupBy("bucket", "share", "word", "bits", "block").agg(F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("chunks"), F.max("tf").alias("most"), F.min("len").alias("shortest")).drop("share")
     # a word's blocks are in order within their file, so that the file's own index of values finds them
-    blocks.withColumn("bucket", bucket_of(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word", "block").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+    blocks.sortWithinPartitions("bucket", "word", "block").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
     sizes, words = (spark.read.parquet(f"{path}/{t}").where(F.col("segment") <= segment) for t in ("sizes", "words"))
     total = sizes.agg(F.sum("n").alias("n"), (F.sum("len") / F.sum("n")).alias("mean"))
     idf = words.groupBy("word").agg(F.sum("df").alias("df")).join(F.broadcast(total)).select(idf_of(F.col("n"), F.col("df")).alias("idf"))  # one row of totals

@@ -91,3 +91,15 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     for block in (64, 4):
         monkeypatch.setattr(R, "QUERY_BLOCK", block)
         assert [(r.id, round(r.score, 12)) for r in R.semantic_multi(vectors, queries, 11).collect()] == want
+
+
+def test_postings_are_dealt_once(spark, corpus, asked, path, tmp_path, monkeypatch):
+    """Words are counted within their chunk, without a shuffle; a folder's postings go to several tasks, with the same answers."""
+    odd = spark.createDataFrame([(1, "b a B"), (2, None), (3, "")], "id long, text string")
+    assert "Exchange" not in X.term_rows(odd)._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in X.term_rows(odd).collect()} == {(1, 3, None, 0), (1, 3, "a", 1), (1, 3, "b", 2), (2, 0, None, 0), (3, 0, None, 0)}
+    monkeypatch.setattr(X, "TASK_TERMS", 10)
+    at = str(tmp_path / "index")
+    X.add_segment(corpus, at, 0)
+    both = [{tuple(r) for r in X.search(spark, p, asked).collect()} for p in (path, at)]
+    assert both[0] == both[1] and both[0]
