@@ -364,3 +364,10 @@ def test_synced_limits_do_not_depend_on_the_order_of_additions(spark):
     limits = spark.createDataFrame([(1, 2024, x) for x in (111215.54, 271481.35, 136848.61)], "customer_id long, as_of int, amount double")  # 519545.50, as doubles 519545.49999999994
     got = C.sync_customers(local, local.select("customer_id", "name"), limits, spark.createDataFrame([(1, "t", 1)], "customer_id long, sector string, line int"), local)
     assert rows(got) == [(1, "a", 519546, "t")]
+
+
+def test_extraction_results_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"nodes": [{"id": "a"}, "stray"], "edges": [{"source": "a", "target": "b"}]}')], "seq int, payload string")
+    plan = G.triples(df, "payload")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "from_json" in line for line in plan.split("\n"))
+    assert [r.kind for r in G.triples(df, "payload").collect()] == ["node", "edge"]
