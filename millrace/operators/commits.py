@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 32
+#: Rows that one task sorts, about. Tasks are counted by rows: keys compress so well that tasks cut by bytes would hold too many.
+TASK_ROWS = 500_000
 
 
 def bucket_of(keys: list[str], buckets: int = BUCKETS) -> Column:
@@ -57,11 +59,23 @@ def write(df: DataFrame, path: str, batch: int, keys: list[str], buckets: int =
     spark = df.sparkSession
     if any(n >= batch for n, _ in folders(spark, path)):
         return
-    put(df, f"{path}/batch={batch}", keys, buckets)
+    put(dealt(df, keys, buckets, df.count()), f"{path}/batch={batch}", keys, buckets)
 
 
 def put(df: DataFrame, folder: str, keys: list[str], buckets: int) -> None:
-    df.withColumn("bucket", bucket_of(keys, buckets)).repartition("bucket").sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    df.withColumn("bucket", bucket_of(keys, buckets)).sortWithinPartitions("bucket", *keys).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+
+
+def dealt(df: DataFrame, keys: list[str], buckets: int, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` rows by bucket; a bucket of more than TASK_ROWS goes to several tasks, which write a file each."""
+    shares = rows // (buckets * TASK_ROWS) + 1
+    tasks = min(buckets * shares, rows // (TASK_ROWS // 4) + 1)
+    return df.repartition(tasks, bucket_of(keys, buckets), F.pmod(F.xxhash64(F.lit("share"), *keys), F.lit(shares)))
+
+
+def dealt_by_rows(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` by its keys in tasks of about TASK_ROWS of ``rows`` rows; what is joined with it by these keys is dealt likewise, and merges."""
+    return df.repartition(max(rows // TASK_ROWS + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys).hint("merge")
 
 
 def read_folders(spark: SparkSession, where: list[str], schema: T.StructType) -> DataFrame:
@@ -88,7 +102,7 @@ def add(rows: DataFrame, path: str, batch: int, keys: list[str], order: list, bu
         return []
     rows = rows.withColumn("__bucket", bucket_of(keys, buckets))
     new = latest_per(rows, keys, order)
-    low_high = [F.min(first).alias("low"), F.max(first).alias("high"), F.max(F.col(first).isNull()).alias("none")]
+    low_high = [F.count(F.lit(1)).alias("n"), F.min(first).alias("low"), F.max(first).alias("high"), F.max(F.col(first).isNull()).alias("none")]
     asked = {r["__bucket"]: r for r in new.groupBy("__bucket").agg(*low_high).collect()}  # a row a bucket at most
     every = [g for g in groups(spark, path) if g[1] in asked]
     known = {}
@@ -109,7 +123,7 @@ def add(rows: DataFrame, path: str, batch: int, keys: list[str], order: list, bu
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
     come = new.join(held, same, "left_anti").drop("__bucket") if opened else new.drop("__bucket")
     describe(come, path, batch, keys, buckets)
-    put(come, f"{path}/batch={batch}", keys, buckets)
+    put(dealt(come, keys, buckets, sum(r.n for r in asked.values())), f"{path}/batch={batch}", keys, buckets)
     return opened
 
 
@@ -127,7 +141,8 @@ def change(rows: DataFrame, path: str, batch: int, keys: list[str], schema: T.St
         return
     touched = [r.b for r in rows.select(bucket_of(keys, buckets).alias("b")).distinct().collect()]  # BUCKETS at most
     if touched:
-        put(apply(read(spark, path, schema, buckets=touched), rows), f"{path}/batch={batch}", keys, buckets)
+        now = read(spark, path, schema, buckets=touched)
+        put(dealt(apply(now, rows), keys, buckets, now.count() + rows.count()), f"{path}/batch={batch}", keys, buckets)
 
 
 def compact(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], ledger: bool = False, buckets: int = BUCKETS) -> None:
@@ -138,7 +153,7 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, keys: list[str
     last, whole = old[-1][0], read(spark, path, schema, ledger)
     if ledger:
         describe(whole, path, last, keys, buckets, "merged")
-    put(whole, f"{path}/merged={last}", keys, buckets)
+    put(dealt(whole, keys, buckets, whole.count()), f"{path}/merged={last}", keys, buckets)
     hadoop = spark._jvm.org.apache.hadoop.fs
     for _, folder in old:
         at = hadoop.Path(folder)

@@ -516,6 +516,7 @@ def _(t):
 
     def apply(projects, changed):
         projects = durable(projects, "projects")  # what is read here is not what is written
+        changed = commits.dealt_by_rows(durable(changed, "changed"), ["project_id"], projects.count() + items(t).count())
         synced = C.sync_status(projects.join(changed, "project_id", "left_semi"), items(t).join(changed, "project_id", "left_semi"), F.lit(1))
         return projects.join(changed, "project_id", "left_anti").unionByName(synced)
 

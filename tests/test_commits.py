@@ -150,3 +150,15 @@ def test_messages_end(spark, tmp_path):
     q = M.assemble_text(stream, "key", "seq", "tok", ts="ts").writeStream.outputMode("append").format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("ended").collect())) == [("m", "hello", 2), ("n", "later", 1)]
+
+
+def test_tasks_are_counted_by_rows(spark, tmp_path, monkeypatch):
+    """Keys that compress to next to nothing are still sorted by several tasks, and a large bucket is written as several files."""
+    monkeypatch.setattr(commits, "TASK_ROWS", 8)
+    rows = spark.range(400).select(F.col("id").alias("key"), F.lit("x").alias("name"))
+    commits.write(rows, str(tmp_path / "t"), 0, ["key"], buckets=2)
+    files = list((tmp_path / "t" / "batch=0" / "bucket=0").glob("*.parquet"))
+    assert len(files) > 3 and sorted(r.key for r in commits.read(spark, str(tmp_path / "t"), rows.schema).collect()) == list(range(400))
+    met = commits.dealt_by_rows(rows, ["key"], 400)
+    assert met.rdd.getNumPartitions() == 51
+    assert rows.join(met, "key", "left_semi").rdd.getNumPartitions() == 51
