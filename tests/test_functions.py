@@ -68,3 +68,16 @@ def test_lists_and_json(spark):
     zero = spark.createDataFrame([([0.0, 0.0], [3.0, 4.0])], "a array<float>, b array<float>")
     r = zero.select(X.normalise(F.col("a")).alias("z"), X.normalise(F.col("b")).alias("n"), X.cosine(F.col("a"), F.col("b")).alias("c"), X.cosine(F.col("b"), F.col("b")).alias("d")).first()
     assert r.z == [0, 0] and r.n == pytest.approx([0.6, 0.8]) and r.c == 0 and r.d == pytest.approx(1)
+
+
+def test_token_tests_ask_the_cheap_question_first(spark):
+    """Tokens without a digit, a dash or a bracket are told by one look; texts are folded only where there is a year."""
+    df = spark.createDataFrame([("x",)], "w string")
+    plan = lambda f: df.select(f(F.col("w")))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan(X.is_date_line).index("20") < plan(X.is_date_line).index("ocak")
+    assert all(plan(f).index(r"[\d(\-—]") < plan(f).index(r"^") for f in (X.is_value, X.is_note, X.is_number))
+    odd = (None, "", "(.)", "(", "-", "—", "()", "012", "100", "101", "1-2", "1,234", "not:7", "60", "61", ".", "٣")
+    assert each(spark, X.is_value, *odd) == [x in ("(.)", "-", "—", "100", "101", "1,234", "61") for x in odd]
+    assert each(spark, X.is_note, *odd) == [x in ("012", "100", "1-2", "not:7", "60", "61") for x in odd]
+    assert each(spark, X.is_number, *odd) == [x in ("-", "—", "012", "100", "101", "1,234", "60", "61") for x in odd]
+    assert each(spark, X.is_date_line, None, "Ocak", "2025", "Ocak 2025", "31 ARALIK 2024", "Ocak 12025") == [False, False, False, True, True, False]
