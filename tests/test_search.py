@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from millrace.functions.scalars import tokens
 from millrace.operators import retrieval as R
 from millrace.operators import search as X
 from pyspark.sql import functions as F
@@ -103,3 +104,35 @@ def test_postings_are_dealt_once(spark, corpus, asked, path, tmp_path, monkeypat
     X.add_segment(corpus, at, 0)
     both = [{tuple(r) for r in X.search(spark, p, asked).collect()} for p in (path, at)]
     assert both[0] == both[1] and both[0]
+
+
+def test_words_are_the_tokens(spark):
+    """Python counts what ``tokens`` finds, also where folding leaves ASCII or ends in other letters."""
+    texts = ["It's İstanbul, K2 xſy café ΣΣ A\u0000b\tc d 9' --", "a" * 5000 + " B b", "'", None, ""]
+    odd = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    words = odd.select("id", F.explode(tokens(F.col("text"))).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    got = X.term_rows(odd).where("word is not null").select("id", "word", "tf")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in words.collect()} != set()
+
+
+def test_words_of_many_chunks_go_as_lists(spark, corpus, asked, path, tmp_path, monkeypatch):
+    """What is dealt is a row for each word of many chunks, not one for each word of each chunk; no term is lost where lists and batches end."""
+    terms, lists = X.term_rows(corpus), X.word_lists(corpus)
+    assert lists.count() * 5 < terms.count()
+    many = {(r.word, r.n, r.length) for r in lists.groupBy("word").agg(F.sum(F.size("ids")).alias("n"), F.sum("length").alias("length")).collect()}
+    assert many == {(r.word, r.n, r.length) for r in terms.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("length")).collect()}
+    rows = lambda p: sorted((r.word, r.bits, r.block, r.most, r.shortest, sorted(map(tuple, r.chunks))) for r in spark.read.parquet(f"{p}/postings").collect())
+    monkeypatch.setattr(X, "BATCH_TERMS", 7)
+    monkeypatch.setattr(X, "LIST_TERMS", 50)
+    small = spark.createDataFrame(corpus.collect(), corpus.schema).repartition(3)
+    for name, size in (("one", X.TASK_TERMS), ("several", 10)):
+        monkeypatch.setattr(X, "TASK_TERMS", size)
+        X.add_segment(small, str(tmp_path / name), 0)
+        assert rows(tmp_path / name) == rows(path)
+
+
+def test_ids_may_be_texts(spark, tmp_path):
+    """An index of chunks with ids of another kind."""
+    X.add_segment(spark.createDataFrame([("p", "a b a"), ("q", "b c"), ("r", None)], "id string, text string"), str(tmp_path / "index"), 0)
+    found = X.search(spark, str(tmp_path / "index"), spark.createDataFrame([("x", "a c")], "query_id string, query string"))
+    assert {r.id for r in found.collect()} == {"p", "q"}
