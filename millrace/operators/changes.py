@@ -160,11 +160,17 @@ def abort(df: DataFrame, status_from: tuple[str, ...], status_to: str, note: str
 def sync_customers(local: DataFrame, source: DataFrame, limits: DataFrame, sectors: DataFrame, ids: DataFrame) -> DataFrame:
     """Customers (customer_id, name, credit_limit, sector) brought up to date from a source (customer_id, name).
 
-    limits (customer_id, as_of, amount) count at their latest snapshot, summed exactly to six decimals, as the order of additions would decide the rounding of some halves, and rounded; one sector (customer_id,
-    sector, line) is taken at the least line. Only the given ids change.
+    limits (customer_id, as_of, amount) count at their latest snapshot, summed and rounded. With a ``line`` amounts are added as doubles from the least line on, as SQL adds rows read in their order;
+    without one exactly to six decimals, as the order of additions would decide the rounding of some halves. One sector (customer_id, sector, line) is taken at the least line. Only the given ids change.
     """
     wanted = source.join(ids.select("customer_id").distinct(), "customer_id", "left_semi")
-    now = latest_snapshot(limits, "as_of").groupBy("customer_id").agg(F.round(F.sum(F.col("amount").cast("decimal(28,6)"))).cast("long").alias("credit_limit"))
+    latest = latest_snapshot(limits, "as_of")
+    if "line" in limits.columns:
+        so_far = Window.partitionBy("customer_id").orderBy("line", "amount").rowsBetween(Window.unboundedPreceding, 0)
+        total = latest.withColumn("__sum", F.sum("amount").over(so_far)).groupBy("customer_id").agg(F.max_by("__sum", F.struct("line", "amount")).alias("__sum"))
+    else:
+        total = latest.groupBy("customer_id").agg(F.sum(F.col("amount").cast("decimal(28,6)")).alias("__sum"))
+    now = total.select("customer_id", F.round("__sum").cast("long").alias("credit_limit"))
     one = any_attribute(sectors, "customer_id", "sector", ["line"])
     new = wanted.join(now, "customer_id", "left").join(one, "customer_id", "left")
     return update_matched(local, new, ["customer_id"], ["name", "credit_limit", "sector"])

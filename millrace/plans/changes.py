@@ -163,6 +163,6 @@ def _(t):
 )
 def _(t):
     local = t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.lit(0).cast("long").alias("credit_limit"), F.col("c_mktsegment").alias("sector"))
-    limits = t.orders.select(F.col("o_custkey").alias("customer_id"), F.date_trunc("year", "o_orderdate").alias("as_of"), F.col("o_totalprice").alias("amount"))
+    limits = t.orders.select(F.col("o_custkey").alias("customer_id"), F.date_trunc("year", "o_orderdate").alias("as_of"), F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("line"))
     sectors = t.orders.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("sector"), F.col("o_orderkey").alias("line"))
     return C.sync_customers(local, local.select("customer_id", F.upper("name").alias("name")), limits, sectors, local.where("customer_id % 2 = 0"))

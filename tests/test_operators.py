@@ -2,6 +2,7 @@
 
 from decimal import Decimal
 
+import duckdb
 import pandas as pd
 import pytest
 from millrace.operators import changes as C
@@ -366,6 +367,16 @@ def test_synced_limits_do_not_depend_on_the_order_of_additions(spark):
     assert rows(got) == [(1, "a", 519546, "t")]
 
 
+def test_synced_limits_with_lines_are_added_as_sql_adds_them(spark):
+    amounts = {1: (111215.54, 271481.35, 136848.61), 2: (0.1, 1e17, -1e17), 3: (1e17, -1e17, 0.7), 4: (0.5, None), 5: (None,)}
+    values = ", ".join(f"({i}, {'NULL' if x is None else repr(x)}::DOUBLE)" for i, xs in amounts.items() for x in xs)
+    want = duckdb.connect(config={"threads": 1}).sql(f"SELECT i, CAST(round(sum(x)) AS BIGINT) FROM (VALUES {values}) v(i, x) GROUP BY 1").fetchall()
+    local = spark.createDataFrame([(i, "a", 0, "s") for i in amounts], "customer_id long, name string, credit_limit long, sector string")
+    limits = spark.createDataFrame([(i, 2024, x, n) for i, xs in amounts.items() for n, x in enumerate(xs)], "customer_id long, as_of int, amount double, line int").orderBy(F.desc("line"))
+    got = C.sync_customers(local, local.select("customer_id", "name"), limits, spark.createDataFrame([(1, "t", 1)], "customer_id long, sector string, line int"), local)
+    assert {r.customer_id: r.credit_limit for r in got.collect()} == dict(want) == {1: 519545, 2: 0, 3: 1, 4: 1, 5: None}
+
+
 def test_extraction_results_are_parsed_once(spark):
     df = spark.createDataFrame([(1, '{"nodes": [{"id": "a"}, "stray"], "edges": [{"source": "a", "target": "b"}]}')], "seq int, payload string")
     plan = G.triples(df, "payload")._jdf.queryExecution().optimizedPlan().toString()
