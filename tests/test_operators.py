@@ -131,6 +131,16 @@ def test_cells_of_cosines_equal_the_scores_of_pairs(spark, monkeypatch):
     assert J.cosine_pairs(asked.where("false"), vectors).count() == 0
 
 
+def test_cells_hold_few_copies_and_all_pairs(spark, monkeypatch):
+    vectors = spark.range(6000).select("id", F.array(F.col("id") % 7 + 1.0, F.lit(1.0)).alias("embedding"))
+    asked = vectors.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    assert J.cells(asked, vectors).count() == 6000 + 1500
+    pairs = J.cosine_pairs(asked, vectors)
+    assert pairs.count() == pairs.select("id", "query_id").distinct().count() == 6000 * 1500
+    monkeypatch.setattr(J, "PIECE", 3000)
+    assert J.cosine_pairs(asked, vectors).agg(F.count(F.lit(1)), F.round(F.sum("score"), 6)).first() == pairs.agg(F.count(F.lit(1)), F.round(F.sum("score"), 6)).first()
+
+
 def test_queries_in_blocks_score_the_same(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id int, embedding array<double>")
     asked = vectors.where("id % 2 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
