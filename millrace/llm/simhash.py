@@ -144,28 +144,41 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     return rows.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def simhash_groups(sets: DataFrame) -> DataFrame:
+    """(node, group) of sets (node, fp): the component of the set's fingerprint over all links of at most RADIUS bits, as in ``groups``."""
+    roots = components(links(sets.select("fp").distinct())).withColumnRenamed("node", "of")
+    return sets.join(roots, F.col("fp") == F.col("of"), "left").select("node", F.coalesce("root", "fp").alias("group"))
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = DEDUP_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the least doc_id, null ids last.
 
     Near-duplicates: sets of shingles of ``width`` words with a Jaccard similarity of ``similarity`` or more, verified on the
-    sets (see ``similar``). The columns are those of ``docs``. Rows equal in all columns count as one; texts without a word are a group.
+    sets (see ``similar``). Candidates are first those whose SimHash fingerprints are linked at RADIUS bits, none of which covering masks miss; pairs at the bar
+    differ in more bits than that, and MinHash tables bring these together. The columns are those of ``docs``. Rows equal in all columns count as one; texts without a word are a group.
     """
     key = docs.withColumn("__row", F.xxhash64(*docs.columns))
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(x, width)) for x in text_bytes(batch.column("text"))]
+            hashes = [shingle_hashes(x, width) for x in text_bytes(batch.column("text"))]
+            fps = [signed(majority(h)) for h in hashes]
+            sets = [np.unique(h) for h in hashes]
             least = [minima(s) if len(s) else None for s in sets]
             columns = [
-                batch.column("doc_id"), batch.column("__row"), pa.array([signed(xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0 for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()),
+                batch.column("doc_id"), batch.column("__row"), pa.array([signed(xxh64_intdigest(s.tobytes(), SEED)) if len(s) else 0 for s in sets], pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(fps, pa.int64()),
                 pa.array([[] if x is None else band_keys(x).view(np.int64) for x in least], pa.list_(pa.int64())), pa.array([b"" if x is None else sketch(x) for x in least], pa.binary()), pa.array([packed(s) for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__row", "node", "n", "keys", "sketch", "hashes"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "__row", "node", "n", "fp", "keys", "sketch", "hashes"])
 
-    schema = T.StructType([field(docs, "doc_id"), *T._parse_datatype_string("__row long, node long, n int, keys array<long>, sketch binary, hashes binary")])
+    schema = T.StructType([field(docs, "doc_id"), *T._parse_datatype_string("__row long, node long, n int, fp long, keys array<long>, sketch binary, hashes binary")])
     rows = materialise(map_arrow(key.select("doc_id", "__row", "text"), run, schema), "fingerprints")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
-    per_set = materialise(rows.groupBy("node").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    near = materialise(simhash_groups(rows.where("n > 0").groupBy("node").agg(F.min("fp").alias("fp"))), "simhash")
+    each = rows.groupBy("node").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    # the SimHash groups are the first table; a set without a word is in none
+    keys = F.when(F.col("group").isNotNull(), F.concat(F.array(F.xxhash64(F.lit("simhash"), "group")), "keys")).otherwise(F.col("keys"))
+    per_set = materialise(each.join(near, "node", "left").select("node", "best", "n", keys.alias("keys"), "sketch"), "classes")
     roots = similar_sets(per_set.select("node", "n", "keys", "sketch"), rows.select("node", "hashes"), similarity).withColumnRenamed("node", "of")
     rooted = per_set.join(roots, F.col("node") == F.col("of"), "left").select("best", F.coalesce("root", "node").alias("root"))
     kept = materialise(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("__id"), F.col("best.row").alias("__of")), "kept")

@@ -1,10 +1,11 @@
 import itertools
 import random
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from millrace.llm.similar import HASHES, Bucket
-from millrace.llm.simhash import covering_masks, drop_near_duplicates, links, near_duplicates, signed
+from millrace.llm.similar import BANDS, HASHES, Bucket
+from millrace.llm.simhash import covering_masks, drop_near_duplicates, fingerprint, links, near_duplicates, signed
 
 
 def brute_fingerprint(text):
@@ -136,3 +137,26 @@ def test_equal_sketches_are_no_earlier_meeting():
 def test_members_of_the_first_table_have_no_past():
     rows = {"node": [7, 9], "n": pa.array([10, 10], pa.int32()), "sketch": [bytes(HASHES)] * 2, "past": pa.array([[], []], pa.list_(pa.int64())), "root": [7, 9], "t": pa.array([0, 0], pa.int32())}
     assert [near.tolist() for _, near in Bucket(pa.table(rows), 0.8).open_pairs()] == [[1]]
+
+
+def keys_that_never_meet(least):
+    return np.arange(BANDS, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(least.tobytes()))
+
+
+def test_dedup_finds_simhash_links_without_minhash(docs_of, monkeypatch):
+    """Pairs within four bits of SimHash are candidates by the covering masks alone; those below the bar stay apart."""
+    monkeypatch.setattr("millrace.llm.simhash.band_keys", keys_that_never_meet)
+    rng, texts = random.Random(14), {}
+    for g in range(80):
+        words = [f"g{g}w{i}" for i in range(600)]
+        changed = list(words)
+        at = rng.randint(20, 560)
+        changed[at : at + g % 8] = ["y"] * (g % 8)
+        texts |= {2 * g: " ".join(words), 2 * g + 1: " ".join(changed)}
+    # a word repeated over and over decides all bits of two texts with little else in common
+    texts |= {1000: "a " * 400 + " ".join(f"p{i}" for i in range(60)), 1001: "a " * 400 + " ".join(f"q{i}" for i in range(60))}
+    fps = {i: fingerprint(t.encode(), 5) for i, t in texts.items()}
+    close = [g for g in range(80) if (fps[2 * g] ^ fps[2 * g + 1]).bit_count() <= 4]
+    assert len(close) > 20 and (fps[1000] ^ fps[1001]).bit_count() <= 4
+    kept = {r.doc_id for r in drop_near_duplicates(docs_of(list(texts.items()))).collect()}
+    assert {1000, 1001} <= kept and kept == set(texts) - {2 * g + 1 for g in close}
