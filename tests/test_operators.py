@@ -387,6 +387,13 @@ def test_synced_limits_with_lines_are_added_as_sql_adds_them(spark):
     assert {r.customer_id: r.credit_limit for r in got.collect()} == dict(want) == {1: 519545, 2: 0, 3: 1, 4: 1, 5: None}
 
 
+def test_pages_are_cut_into_lines_once(spark):
+    pages = spark.createDataFrame([(1, "BALANCE_SHEET", 1000, 0, "VARLIKLAR\nKalem\n5,00"), (1, "BALANCE_SHEET", 1000, 1, ""), (2, "BALANCE_SHEET", 1000, 0, None)], "doc_id long, statement string, scale int, page_no int, text string")
+    lines = ST.clean_lines(pages, 4)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r.line for r in lines.orderBy("page_no", "line_no").collect()] == ["VARLIKLAR", "Kalem", "5,00"]
+
+
 def test_extraction_results_are_parsed_once(spark):
     df = spark.createDataFrame([(1, '{"nodes": [{"id": "a"}, "stray"], "edges": [{"source": "a", "target": "b"}]}')], "seq int, payload string")
     plan = G.triples(df, "payload")._jdf.queryExecution().optimizedPlan().toString()
